@@ -3,17 +3,17 @@
 ``from_json`` is too lenient in some places and too strict in others, so a text is
 parsed to VARIANT once and every field is tested on its own type. A
 :class:`~pyspark.sql.types.StructType` from :mod:`dossier.schemas` states the rules;
-the functions here turn it into columns.
+the functions here turn it into Spark SQL expressions. They take and return expression
+text: a record has about a hundred tests, and text is much cheaper to put together
+than as many column objects.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixed import FALSE_WORDS, TRUE_WORDS
-from .text import strip
+from ..fixed import FALSE_WORDS, TRUE_WORDS, WHITESPACE
+from ..schemas import column_type
 
 _DIGITS = r"\d+(?:_\d+)*"
 _WHOLE = rf"^[+-]?{_DIGITS}(?:\.0+)?$"
@@ -21,178 +21,153 @@ _REAL = (
     rf"(?i)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
     r"|inf|infinity|nan)$"
 )
+_SPACES = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
 
 
-def wrapped(text: Column) -> Column:
+def wrapped(text: str) -> str:
     """Text parsed as the value of a one-key object, null if it is not JSON."""
-    return F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return f"""try_parse_json(concat('{{"v":', {text}, '}}'))"""
 
 
-def lone_value(text: Column) -> Column:
+def lone_value(text: str) -> str:
     """True if the text, put in brackets, is an array of exactly one element.
 
     Text that breaks out of the object wrapper does not survive this one, and the
     other way round; a text that passes both is one complete JSON value.
     """
-    size = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(size == 1, F.lit(False))
+    return f"coalesce(json_array_length(concat('[', {text}, ']')) = 1, false)"
 
 
-def kind(node: Column) -> Column:
-    """Type name of a variant, null if the node is missing."""
-    return F.schema_of_variant(node)
+def get(node: str, target: str, path: str = "$") -> str:
+    return f"try_variant_get({node}, '{path}', '{target}')"
 
 
-def _get(node: Column, target: str) -> Column:
-    return F.try_variant_get(node, "$", target)
+def is_text(node: str) -> str:
+    return f"coalesce(schema_of_variant({node}) = 'STRING', false)"
 
 
-def _field_list(record: T.StructType) -> str:
-    return "struct<" + ",".join(f"{f.name}:variant" for f in record.fields) + ">"
+def field_types(record: T.StructType, *more: str) -> str:
+    """Type of a record whose fields are not typed yet."""
+    return "struct<" + ",".join(f"{n}:variant" for n in [*record.names, *more]) + ">"
 
 
-def fields_of(node: Column, record: T.StructType) -> Column:
+def fields_of(node: str, record: T.StructType) -> str:
     """Struct of untyped fields, null if the node is no object."""
-    return _get(node, _field_list(record))
+    return get(node, field_types(record))
 
 
-def items_of(node: Column, item: T.DataType) -> Column:
+def items_of(node: str, item: T.DataType) -> str:
     """Array of untyped items, null if the node is no list."""
-    inner = _field_list(item) if isinstance(item, T.StructType) else "variant"
-    return _get(node, f"array<{inner}>")
+    return get(node, f"array<{field_types(item) if isinstance(item, T.StructType) else 'variant'}>")
 
 
-def _is_number(type_name: Column) -> Column:
-    return type_name.isin("BIGINT", "DOUBLE", "FLOAT") | type_name.startswith("DECIMAL")
+def _by_kind(node: str, boolean: str, number: str, text: str) -> str:
+    kind = f"schema_of_variant({node})"
+    return (
+        f"CASE WHEN {kind} = 'BOOLEAN' THEN {boolean} WHEN {kind} = 'STRING' THEN {text} "
+        f"WHEN {kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL') "
+        f"THEN {number} END"
+    )
 
 
-def as_flag(node: Column) -> Column:
+def as_flag(node: str) -> str:
     """Boolean a node stands for: true/false, 0/1, or one of the flag words."""
-    type_name = kind(node)
-    word = F.lower(_get(node, "string"))
-    number = _get(node, "double")
-    return (
-        F.when(type_name == "BOOLEAN", _get(node, "boolean"))
-        .when((type_name == "STRING") & word.isin(*TRUE_WORDS), F.lit(True))
-        .when((type_name == "STRING") & word.isin(*FALSE_WORDS), F.lit(False))
-        .when(_is_number(type_name) & (number == 1), F.lit(True))
-        .when(_is_number(type_name) & (number == 0), F.lit(False))
+    word, number = f"lower({get(node, 'string')})", get(node, "double")
+    true, false = (", ".join(f"'{w}'" for w in words) for words in (TRUE_WORDS, FALSE_WORDS))
+    return _by_kind(
+        node,
+        get(node, "boolean"),
+        f"CASE WHEN {number} = 1 THEN true WHEN {number} = 0 THEN false END",
+        f"CASE WHEN {word} IN ({true}) THEN true WHEN {word} IN ({false}) THEN false END",
     )
 
 
-def as_whole(node: Column) -> Column:
+def as_whole(node: str) -> str:
     """Integer a node stands for: whole numbers, booleans, or text that writes one."""
-    type_name = kind(node)
-    number = _get(node, "double")
-    written = strip(_get(node, "string"))
-    digits = F.replace(F.split_part(written, F.lit("."), F.lit(1)), F.lit("_"), F.lit(""))
-    return (
-        F.when(_is_number(type_name) & (number == F.floor(number)), number.try_cast("int"))
-        .when(type_name == "BOOLEAN", _get(node, "boolean").cast("int"))
-        .when((type_name == "STRING") & written.rlike(_WHOLE), digits.try_cast("int"))
+    number = get(node, "double")
+    written = f"btrim({get(node, 'string')}, '{_SPACES}')"
+    return _by_kind(
+        node,
+        f"CAST({get(node, 'boolean')} AS INT)",
+        f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS INT) END",
+        f"CASE WHEN {written} RLIKE r'{_WHOLE}' "
+        f"THEN try_cast(replace(split_part({written}, '.', 1), '_', '') AS INT) END",
     )
 
 
-def as_real(node: Column) -> Column:
+def as_real(node: str) -> str:
     """Double a node stands for: numbers, booleans, or text that writes one."""
-    type_name = kind(node)
-    written = strip(_get(node, "string"))
-    return (
-        F.when(_is_number(type_name), _get(node, "double"))
-        .when(type_name == "BOOLEAN", _get(node, "boolean").cast("double"))
-        .when(
-            (type_name == "STRING") & written.rlike(_REAL),
-            F.replace(written, F.lit("_"), F.lit("")).try_cast("double"),
-        )
+    written = f"btrim({get(node, 'string')}, '{_SPACES}')"
+    return _by_kind(
+        node,
+        f"CAST({get(node, 'boolean')} AS DOUBLE)",
+        get(node, "double"),
+        f"CASE WHEN {written} RLIKE r'{_REAL}' "
+        f"THEN try_cast(replace({written}, '_', '') AS DOUBLE) END",
     )
 
 
-def as_text(node: Column) -> Column:
-    """Text of a text node; numbers are not taken for text."""
-    return F.when(kind(node) == "STRING", _get(node, "string"))
-
-
-def _scalar(node: Column, rule: T.StructField) -> Column:
-    readers = {
-        T.StringType: as_text,
-        T.BooleanType: as_flag,
-        T.IntegerType: as_whole,
-        T.DoubleType: as_real,
-    }
-    value = readers[type(rule.dataType)](node)
-    if "ge" in rule.metadata:
-        low, high = rule.metadata["ge"], rule.metadata["le"]
-        value = F.when(value.between(low, high), value)
-    return value
-
-
-def _item_ok(item: Column, kind_of_item: T.DataType) -> Column:
-    if isinstance(kind_of_item, T.StructType):
-        checks = [item.isNotNull()] + [
-            field_ok(item.getField(f.name), f) for f in kind_of_item.fields
-        ]
-        return _all(checks)
-    return F.coalesce(kind(item) == "STRING", F.lit(False))
+_READERS = {T.BooleanType: as_flag, T.IntegerType: as_whole, T.DoubleType: as_real}
 
 
-def _all(checks: list[Column]) -> Column:
-    ok = checks[0]
-    for check in checks[1:]:
-        ok = ok & check
-    return ok
+def _item_ok(item: str, kind: T.DataType, depth: int) -> str:
+    if not isinstance(kind, T.StructType):
+        return is_text(item)
+    checks = [field_ok(f"{item}.{f.name}", f, depth) for f in kind.fields]
+    return " AND ".join([f"{item} IS NOT NULL", *checks])
 
 
-def items_ok(items: Column, item: T.DataType) -> Column:
+def items_ok(items: str, item: T.DataType, depth: int = 0) -> str:
     """True if every item fits; a null array (no list) does not."""
-    return F.coalesce(F.forall(items, lambda x: _item_ok(x, item)), F.lit(False))
+    x = f"x{depth}"
+    return f"coalesce(forall({items}, {x} -> {_item_ok(x, item, depth + 1)}), false)"
+
 
+def field_ok(node: str, rule: T.StructField, depth: int = 0, opened: str | None = None) -> str:
+    """True if the node fits the rule of its field. Never null.
 
-def field_ok(node: Column, rule: T.StructField) -> Column:
-    """True if the node fits the rule of its field. Never null."""
-    if isinstance(rule.dataType, T.ArrayType):
-        fits = items_ok(items_of(node, rule.dataType.elementType), rule.dataType.elementType)
-    elif isinstance(rule.dataType, T.StructType):
-        fits = _item_ok(fields_of(node, rule.dataType), rule.dataType)
-    elif isinstance(rule.dataType, T.StringType):
-        fits = F.coalesce(kind(node) == "STRING", F.lit(False))
+    ``opened`` names a column that already holds the node's items or fields.
+    """
+    kind = rule.dataType
+    if isinstance(kind, T.ArrayType):
+        fits = items_ok(opened or items_of(node, kind.elementType), kind.elementType, depth)
+    elif isinstance(kind, T.StructType):
+        fits = _item_ok(opened or fields_of(node, kind), kind, depth)
+    elif isinstance(kind, T.StringType):
+        fits = is_text(node)
+    elif "ge" in rule.metadata:
+        low, high = rule.metadata["ge"], rule.metadata["le"]
+        fits = f"coalesce({_READERS[type(kind)](node)} BETWEEN {low} AND {high}, false)"
     else:
-        fits = _scalar(node, rule).isNotNull()
+        fits = f"({_READERS[type(kind)](node)}) IS NOT NULL"
     if rule.nullable:
-        return node.isNull() | F.is_variant_null(node) | fits
+        return f"({node} IS NULL OR is_variant_null({node}) OR ({fits}))"
     if "default" in rule.metadata:
-        return node.isNull() | fits
-    return node.isNotNull() & fits
+        return f"({node} IS NULL OR ({fits}))"
+    return f"({node} IS NOT NULL AND ({fits}))"
 
 
-def struct_value(node_fields: Column, record: T.StructType) -> Column:
+def struct_value(fields: str, record: T.StructType, depth: int = 0) -> str:
     """Typed struct out of a struct of untyped fields."""
-    return F.struct(
-        *[field_value(node_fields.getField(f.name), f).alias(f.name) for f in record.fields]
-    )
-
-
-def items_value(items: Column, item: T.DataType) -> Column:
-    """Typed array out of an array of untyped items; no list gives an empty one."""
-    if isinstance(item, T.StructType):
-        typed = F.transform(items, lambda x: struct_value(x, item))
-    else:
-        typed = F.transform(items, lambda x: _get(x, "string"))
-    empty = F.from_json(F.lit("[]"), T.ArrayType(item))
-    return F.coalesce(typed, empty)
+    parts = [f"'{f.name}', {field_value(f'{fields}.{f.name}', f, depth)}" for f in record.fields]
+    return f"named_struct({', '.join(parts)})"
 
 
-def field_value(node: Column, rule: T.StructField) -> Column:
+def field_value(node: str, rule: T.StructField, depth: int = 0, opened: str | None = None) -> str:
     """Typed value of a node that passed :func:`field_ok`, default filled in."""
-    if isinstance(rule.dataType, T.ArrayType):
-        item = rule.dataType.elementType
-        if isinstance(item, T.StringType):
-            return F.coalesce(_get(node, "array<string>"), F.array().cast("array<string>"))
-        return items_value(items_of(node, item), item)
-    if isinstance(rule.dataType, T.StructType):
-        inner = fields_of(node, rule.dataType)
-        return F.when(inner.isNotNull(), struct_value(inner, rule.dataType))
-    text = isinstance(rule.dataType, T.StringType)
-    value = _get(node, "string") if text else _scalar(node, rule)
+    kind = rule.dataType
+    if isinstance(kind, T.ArrayType):
+        item, x = kind.elementType, f"x{depth}"
+        if isinstance(item, T.StructType):
+            items = opened or items_of(node, item)
+            typed = f"transform({items}, {x} -> {struct_value(x, item, depth + 1)})"
+        else:
+            typed = get(node, "array<string>")
+        return f"coalesce({typed}, CAST(array() AS {column_type(kind).simpleString()}))"
+    if isinstance(kind, T.StructType):
+        fields = opened or fields_of(node, kind)
+        return f"CASE WHEN {fields} IS NOT NULL THEN {struct_value(fields, kind, depth)} END"
+    value = get(node, "string") if isinstance(kind, T.StringType) else _READERS[type(kind)](node)
     if "default" in rule.metadata:
-        return F.coalesce(value, F.expr(rule.metadata["default"]).cast(rule.dataType))
+        return f"coalesce({value}, CAST({rule.metadata['default']} AS {kind.simpleString()}))"
     return value

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import LIST_SECTIONS, RESUME
-from ..skew import repeat_owners, split_children
+from ..schemas import LIST_SECTIONS, RESUME, column_type
+from ..skew import MAX_ITEMS, heavy_keys, repeat_rows, split_rows
 
 # Lists inside a list section.
 INNER_LISTS = {
@@ -19,73 +19,100 @@ INNER_LISTS = {
 }
 
 
-def group_names(
-    rows: DataFrame, key: str, group: str, name: str, heavy: DataFrame | None = None
+def nest_skills(
+    rows: DataFrame, key: str = "person_id", max_items: int = MAX_ITEMS
 ) -> DataFrame:
-    """Sorted distinct names per (key, group), as rows ``key, part, group, names``.
+    """Flat (person, category, skill) to one list of categories per person.
 
     Repeats are dropped by a partial aggregate before anything is shuffled.
     """
-    distinct = rows.select(key, group, name).distinct()
-    parted = split_children(distinct, heavy, key, F.struct(group, name))
-    return parted.groupBy(key, "part", group).agg(
-        F.array_sort(F.collect_list(name)).alias("names")
+    distinct = rows.select(key, "category", "skill").distinct()
+    heavy = heavy_keys([distinct], key, max_items)
+    return (
+        split_rows(distinct, heavy, key, "category, skill")
+        .groupBy(key, "part", "category")
+        .agg(F.expr("array_sort(collect_list(skill)) AS skills"))
+        .groupBy(key, "part")
+        .agg(F.expr("array_sort(collect_list(struct(category, skills))) AS skills"))
     )
 
 
-def nest_skills(rows: DataFrame, key: str = "person_id", heavy: DataFrame | None = None) -> DataFrame:
-    """Flat (person, category, skill) to one list of categories per person."""
-    groups = group_names(rows, key, "category", "skill", heavy)
-    item = F.struct("category", F.col("names").alias("skills"))
-    return groups.groupBy(key, "part").agg(F.array_sort(F.collect_list(item)).alias("skills"))
+# Sections built from (group, name) pairs: an entry per group that lists its names.
+GROUPED = {
+    "skills": "named_struct('category', grp, 'skills', names)",
+    "projects": (
+        "named_struct('name', grp, 'description', CAST(NULL AS STRING), 'technologies', names, "
+        "'url', CAST(NULL AS STRING), 'start_date', CAST(NULL AS STRING), "
+        "'end_date', CAST(NULL AS STRING))"
+    ),
+}
 
 
 def assemble_resumes(
     people: DataFrame,
-    sections: dict[str, DataFrame],
+    children: list[DataFrame],
+    pairs: DataFrame,
     key: str = "person_id",
-    heavy: DataFrame | None = None,
+    max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """One resume per person from child tables; a person without children gets [].
 
-    ``people`` holds ``key``, ``personal_info`` and ``languages``; each section holds
-    ``key, part, ord, item``. All tables are stacked and grouped once, so the whole
-    record costs one exchange instead of a join per section. Children of an unknown
-    person are left out. A heavy person has several rows, told apart by ``part``.
+    ``people`` holds ``key, personal_info, languages``. ``children`` hold ``key`` and a
+    column ``struct<ord, item>`` for one or more list sections, null where a row has no
+    such entry; ``people`` may bring such columns too. ``pairs`` holds ``key, section,
+    grp, name`` for the sections in :data:`GROUPED`.
+
+    All rows are stacked and grouped once, so the whole record costs one exchange
+    instead of a join per section. Children of an unknown person are left out. A person
+    with more than ``max_items`` children has several rows, told apart by ``part``.
     """
-    owners = repeat_owners(people, heavy, key).select(
-        key,
-        "part",
-        F.struct(
-            "personal_info",
-            F.when(F.col("part") == 0, F.col("languages"))
-            .otherwise(F.array().cast("array<string>"))
-            .alias("languages"),
-        ).alias("owner"),
+    distinct = pairs.select(key, "section", "grp", "name").distinct()
+    heavy = heavy_keys([*children, distinct], key, max_items)
+
+    owners = people.withColumn("owner", F.struct("personal_info", "languages")).drop(
+        "personal_info", "languages"
     )
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [
-            child.select(key, "part", F.struct("ord", "item").alias(name))
-            for name, child in sections.items()
-        ],
-        owners,
+    direct = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), children, owners)
+    sections = [c for c in direct.columns if c not in (key, "owner")]
+    placed = repeat_rows(direct, heavy, key, "owner IS NOT NULL", ", ".join(sections))
+    # An owner repeated for a part brings no entries of its own, so none is counted twice.
+    once = [f"CASE WHEN owner IS NULL OR part = 0 THEN {s} END AS {s}" for s in sections]
+    placed = placed.selectExpr(key, "part", "owner", *once)
+
+    named = (
+        split_rows(distinct, heavy, key, "section, grp, name")
+        .groupBy(key, "part", "section", "grp")
+        .agg(F.expr("array_sort(collect_list(name)) AS names"))
+        .selectExpr(
+            key,
+            "part",
+            *[
+                f"CASE WHEN section = '{s}' THEN named_struct('ord', grp, 'item', {item}) END AS {s}"
+                for s, item in GROUPED.items()
+            ],
+        )
     )
-    lists = [F.array_sort(F.collect_list(name)).alias(name) for name in sections]
+    stacked = placed.unionByName(named, allowMissingColumns=True)
+    lists = [s for s in LIST_SECTIONS if s in stacked.columns]
     grouped = stacked.groupBy(key, "part").agg(
-        F.first("owner", ignorenulls=True).alias("owner"), *lists
+        F.expr("first(owner, true) AS owner"),
+        *[F.expr(f"array_sort(collect_list({s})) AS {s}") for s in lists],
     )
 
-    def column(field: T.StructField):
-        if field.name in sections:
-            items = F.transform(F.col(field.name), lambda x: x.getField("item"))
-            return items.cast(field.dataType).alias(field.name)
-        if field.name in ("personal_info", "languages"):
-            return F.col("owner").getField(field.name).cast(field.dataType).alias(field.name)
-        return F.array().cast(field.dataType).alias(field.name)
-
-    return grouped.filter(F.col("owner").isNotNull()).select(
-        key, "part", F.struct(*[column(f) for f in RESUME.fields]).alias("resume")
+    def column(field: T.StructField) -> str:
+        kind = column_type(field.dataType).simpleString()
+        value = "CAST(array() AS " + kind + ")"
+        if field.name in lists:
+            value = f"CAST(transform({field.name}, x -> x.item) AS {kind})"
+        elif field.name == "personal_info":
+            value = f"CAST(owner.personal_info AS {kind})"
+        elif field.name == "languages":
+            value = f"CASE WHEN part = 0 THEN owner.languages ELSE {value} END"
+        return f"'{field.name}', {value}"
+
+    record = ", ".join(column(f) for f in RESUME.fields)
+    return grouped.filter("owner IS NOT NULL").selectExpr(
+        key, "part", f"named_struct({record}) AS resume"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,43 +25,30 @@ def parse_answers(
 
     Each answer is parsed once into ``root``; later checks read that column.
     """
-    keys = list(record.fields)
-    if reserved:
-        keys.append(T.StructField(reserved, T.StringType()))
+    more = [reserved] if reserved else []
     cleaned = df.withColumn("_cleaned", strip_fences(F.coalesce(F.col(text), F.lit(""))))
-    parsed = cleaned.withColumns(
-        {"_lone": V.lone_value(F.col("_cleaned")), "_node": V.wrapped(F.col("_cleaned"))}
+    parsed = cleaned.selectExpr(
+        *_names(df), f"{V.lone_value('_cleaned')} AS _lone", f"{V.wrapped('_cleaned')} AS _node"
     )
-    target = "struct<" + ",".join(f"{k.name}:variant" for k in keys) + ">"
-    rooted = parsed.withColumn("root", F.try_variant_get(F.col("_node"), "$.v", target))
-    problem = F.when(~F.col("_lone") | F.col("_node").isNull(), "malformed").when(
-        F.col("root").isNull(), "not_object"
+    opened = V.get("_node", V.field_types(record, *more), "$.v")
+    rooted = parsed.selectExpr("*", f"{opened} AS root")
+    problem = (
+        "CASE WHEN NOT _lone OR _node IS NULL THEN 'malformed' WHEN root IS NULL THEN 'not_object'"
     )
     if reserved:
-        problem = problem.when(F.col("root").getField(reserved).isNotNull(), "reserved_key")
-    return rooted.withColumn("problem", problem).drop("_cleaned", "_lone", "_node")
-
-
-def _opened(root: Column, rule: T.StructField) -> Column:
-    node = root.getField(rule.name)
-    if isinstance(rule.dataType, T.ArrayType):
-        return V.items_of(node, rule.dataType.elementType)
-    return V.fields_of(node, rule.dataType)
+        problem += f" WHEN root.{reserved} IS NOT NULL THEN 'reserved_key'"
+    return rooted.selectExpr(*_names(df), "root", f"{problem} END AS problem")
 
 
-def _section_ok(root: Column, opened: Column, rule: T.StructField) -> Column:
-    node = root.getField(rule.name)
-    if isinstance(rule.dataType, T.ArrayType):
-        return node.isNull() | V.items_ok(opened, rule.dataType.elementType)
-    return V.field_ok(node, rule)
+def _names(df: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in df.columns]
 
 
-def _section_value(root: Column, opened: Column, rule: T.StructField) -> Column:
+def _open(rule: T.StructField) -> str:
+    node = f"root.{rule.name}"
     if isinstance(rule.dataType, T.ArrayType):
-        return V.items_value(opened, rule.dataType.elementType)
-    if isinstance(rule.dataType, T.StructType):
-        return F.when(opened.isNotNull(), V.struct_value(opened, rule.dataType))
-    return V.field_value(root.getField(rule.name), rule)
+        return V.items_of(node, rule.dataType.elementType)
+    return V.fields_of(node, rule.dataType)
 
 
 def conform(df: DataFrame, text: str, which: str, into: str | None = None) -> DataFrame:
@@ -72,30 +59,38 @@ def conform(df: DataFrame, text: str, which: str, into: str | None = None) -> Da
     One bad element refuses the whole answer; unknown keys are ignored. No rows are lost.
     """
     record, into = RECORDS[which], into or which
-    nested = [f for f in record.fields if not isinstance(f.dataType, T.AtomicType)]
+    # A list or struct is opened once, in a column that its check and its value share.
+    opened = {
+        f.name: f"_open_{f.name}"
+        for f in record.fields
+        if isinstance(f.dataType, (T.ArrayType, T.StructType))
+    }
     parsed = parse_answers(df, text, record, RESERVED[which])
-    root = F.col("root")
-    opened = parsed.withColumns({f"_open_{f.name}": _opened(root, f) for f in nested})
+    split = parsed.selectExpr(
+        "*", *[f"{_open(f)} AS {opened[f.name]}" for f in record.fields if f.name in opened]
+    )
 
-    def section(f):
-        return F.col(f"_open_{f.name}") if f in nested else F.lit(None)
+    def built(make) -> list[str]:
+        return [make(f"root.{f.name}", f, opened=opened.get(f.name)) for f in record.fields]
 
-    misfit = F.coalesce(
-        *[F.when(~_section_ok(root, section(f), f), F.lit(f.name)) for f in record.fields]
+    misfit = " ".join(
+        f"WHEN NOT {ok} THEN '{name}'" for ok, name in zip(built(V.field_ok), record.names)
     )
-    judged = opened.withColumn(
-        "bad_field", F.when(F.col("problem").isNull(), misfit)
-    ).withColumn(
-        "reason",
-        F.coalesce(F.col("problem"), F.when(F.col("bad_field").isNotNull(), F.lit("invalid"))),
+    judged = split.selectExpr(
+        "*", f"CASE WHEN problem IS NULL THEN CASE {misfit} END END AS bad_field"
+    ).selectExpr("*", "coalesce(problem, nvl2(bad_field, 'invalid', NULL)) AS reason")
+    status = " ".join(f"WHEN '{reason}' THEN {code}" for reason, code in STATUS.items())
+    value = ", ".join(
+        f"'{name}', {typed}" for typed, name in zip(built(V.field_value), record.names)
     )
-    status = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
-    value = F.struct(
-        *[_section_value(root, section(f), f).alias(f.name) for f in record.fields]
+    verdict = (
+        f"named_struct('bad_field', bad_field, 'reason', reason, "
+        f"'status', CASE reason {status} END, "
+        f"'{into}', CASE WHEN reason IS NULL THEN named_struct({value}) END)"
     )
-    return judged.withColumns(
-        {"status": status[F.col("reason")], into: F.when(F.col("reason").isNull(), value)}
-    ).drop("root", "problem", *[f"_open_{f.name}" for f in nested])
+    # The one-row inline keeps a later filter on the reason above the checks. Pushed
+    # below them, the filter would repeat every parse and check in its condition.
+    return judged.selectExpr(*_names(df), f"inline(array({verdict}))")
 
 
 def accepted(df: DataFrame) -> DataFrame:

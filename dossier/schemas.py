@@ -117,6 +117,17 @@ PROFILE = T.StructType(
     ]
 )
 
+
+
+def column_type(kind: T.DataType) -> T.DataType:
+    """Spark type of a record without its rules: everything may be null."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, column_type(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(column_type(kind.elementType))
+    return kind
+
+
 LIST_SECTIONS = ("education", "experience", "projects", "certifications", "skills", "languages")
 
 # Stored profile rows. The payload is JSON text, so any reader can load it.

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Children nested into one row before a key is split.
@@ -39,23 +39,24 @@ def heavy_keys(
     )
 
 
-def split_children(rows: DataFrame, heavy: DataFrame | None, key: str, spread: Column) -> DataFrame:
-    """Add ``part``: 0, or for a heavy key the part that ``spread`` hashes to."""
+def split_rows(rows: DataFrame, heavy: DataFrame | None, key: str, spread: str) -> DataFrame:
+    """Add ``part``: 0, or for a heavy key the part that the expression ``spread`` hashes to."""
     if heavy is None:
-        return rows.withColumn("part", F.lit(0))
-    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("n_parts")).cast("int"), F.lit(0))
-    return (
-        rows.join(F.broadcast(heavy), key, "left").withColumn("part", part).drop("n_parts")
+        return rows.selectExpr("*", "0 AS part")
+    part = f"nvl2(n_parts, CAST(pmod(xxhash64({spread}), n_parts) AS INT), 0) AS part"
+    return rows.join(F.broadcast(heavy), key, "left").selectExpr(
+        *[f"`{c}`" for c in rows.columns], part
     )
 
 
-def repeat_owners(rows: DataFrame, heavy: DataFrame | None, key: str) -> DataFrame:
-    """One row per key and part, so that every part finds its owner."""
+def repeat_rows(rows: DataFrame, heavy: DataFrame | None, key: str, where: str, spread: str) -> DataFrame:
+    """Like :func:`split_rows`, but rows that match ``where`` go to every part."""
     if heavy is None:
-        return rows.withColumn("part", F.lit(0))
-    parts = F.sequence(F.lit(0), F.coalesce(F.col("n_parts"), F.lit(1)) - 1)
-    return (
-        rows.join(F.broadcast(heavy), key, "left")
-        .withColumn("part", F.explode(parts))
-        .drop("n_parts")
+        return rows.selectExpr("*", "0 AS part")
+    parts = (
+        f"CASE WHEN n_parts IS NULL THEN array(0) WHEN {where} THEN sequence(0, n_parts - 1) "
+        f"ELSE array(CAST(pmod(xxhash64({spread}), n_parts) AS INT)) END"
+    )
+    return rows.join(F.broadcast(heavy), key, "left").selectExpr(
+        *[f"`{c}`" for c in rows.columns], f"explode({parts}) AS part"
     )
