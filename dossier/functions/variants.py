@@ -42,23 +42,49 @@ def get(node: str, target: str, path: str = "$") -> str:
     return f"try_variant_get({node}, '{path}', '{target}')"
 
 
+# Of all JSON values only text turns into binary, so this target tells text from the rest.
+STRICT_TEXT = "binary"
+
+
 def is_text(node: str) -> str:
-    return f"coalesce(schema_of_variant({node}) = 'STRING', false)"
+    return f"{get(node, STRICT_TEXT)} IS NOT NULL"
+
+
+def plain_text(rule: T.StructField) -> bool:
+    """True for a text field without default: its null and missing mean the same."""
+    return isinstance(rule.dataType, T.StringType) and "default" not in rule.metadata
+
 
+def has_text_fields(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and any(map(plain_text, kind.fields))
 
-def field_types(record: T.StructType, *more: str) -> str:
-    """Type of a record whose fields are not typed yet."""
-    return "struct<" + ",".join(f"{n}:variant" for n in [*record.names, *more]) + ">"
+
+def _struct(fields: list[tuple[str, str]]) -> str:
+    return "struct<" + ",".join(f"{name}:{kind}" for name, kind in fields) + ">"
+
+
+def loose_type(kind: T.DataType) -> str:
+    """Type a node is read as: text fields as text (whatever they hold), the rest untyped."""
+    if isinstance(kind, T.ArrayType):
+        return f"array<{loose_type(kind.elementType)}>"
+    if isinstance(kind, T.StructType):
+        return _struct([(f.name, "string" if plain_text(f) else "variant") for f in kind.fields])
+    return "string"
 
 
-def fields_of(node: str, record: T.StructType) -> str:
-    """Struct of untyped fields, null if the node is no object."""
-    return get(node, field_types(record))
+def strict_type(kind: T.DataType) -> str:
+    """Type that holds a value only where a text field really is text."""
+    if isinstance(kind, T.ArrayType):
+        return f"array<{strict_type(kind.elementType)}>"
+    if isinstance(kind, T.StructType):
+        return _struct([(f.name, STRICT_TEXT) for f in kind.fields if plain_text(f)])
+    return STRICT_TEXT
 
 
-def items_of(node: str, item: T.DataType) -> str:
-    """Array of untyped items, null if the node is no list."""
-    return get(node, f"array<{field_types(item) if isinstance(item, T.StructType) else 'variant'}>")
+def needs_strict(kind: T.DataType) -> bool:
+    """True if a node must be read a second time, to tell text from other values."""
+    item = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    return isinstance(item, T.StringType) or has_text_fields(item)
 
 
 def _by_kind(node: str, boolean: str, number: str, text: str) -> str:
@@ -110,29 +136,48 @@ def as_real(node: str) -> str:
 _READERS = {T.BooleanType: as_flag, T.IntegerType: as_whole, T.DoubleType: as_real}
 
 
-def _item_ok(item: str, kind: T.DataType, depth: int) -> str:
-    if not isinstance(kind, T.StructType):
-        return is_text(item)
-    checks = [field_ok(f"{item}.{f.name}", f, depth) for f in kind.fields]
-    return " AND ".join([f"{item} IS NOT NULL", *checks])
-
-
-def items_ok(items: str, item: T.DataType, depth: int = 0) -> str:
-    """True if every item fits; a null array (no list) does not."""
-    x = f"x{depth}"
-    return f"coalesce(forall({items}, {x} -> {_item_ok(x, item, depth + 1)}), false)"
-
-
-def field_ok(node: str, rule: T.StructField, depth: int = 0, opened: str | None = None) -> str:
+def _record_ok(loose: str, strict: str, record: T.StructType, depth: int) -> str:
+    checks = [f"{loose} IS NOT NULL"]
+    for f in record.fields:
+        if not plain_text(f):
+            checks.append(field_ok(f"{loose}.{f.name}", f, depth))
+        elif f.nullable:
+            checks.append(f"({loose}.{f.name} IS NULL OR {strict}.{f.name} IS NOT NULL)")
+        else:
+            checks.append(f"{strict}.{f.name} IS NOT NULL")
+    return " AND ".join(checks)
+
+
+def _list_ok(loose: str, strict: str, item: T.DataType, depth: int) -> str:
+    x, y = f"x{depth}", f"y{depth}"
+    if not isinstance(item, T.StructType):
+        return f"coalesce(NOT exists({strict}, {y} -> {y} IS NULL), false)"
+    if not has_text_fields(item):
+        good = _record_ok(x, y, item, depth + 1)
+        return f"coalesce(forall({loose}, {x} -> {good}), false)"
+    pairs = f"zip_with({loose}, {strict}, ({x}, {y}) -> {_record_ok(x, y, item, depth + 1)})"
+    return f"coalesce(forall({pairs}, {x} -> {x}), false)"
+
+
+def field_ok(
+    node: str,
+    rule: T.StructField,
+    depth: int = 0,
+    loose: str | None = None,
+    strict: str | None = None,
+) -> str:
     """True if the node fits the rule of its field. Never null.
 
-    ``opened`` names a column that already holds the node's items or fields.
+    ``loose`` and ``strict`` name columns that already hold the node in these types.
     """
     kind = rule.dataType
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        loose = loose or get(node, loose_type(kind))
+        strict = strict or get(node, strict_type(kind))
     if isinstance(kind, T.ArrayType):
-        fits = items_ok(opened or items_of(node, kind.elementType), kind.elementType, depth)
+        fits = _list_ok(loose, strict, kind.elementType, depth)
     elif isinstance(kind, T.StructType):
-        fits = _item_ok(opened or fields_of(node, kind), kind, depth)
+        fits = _record_ok(loose, strict, kind, depth)
     elif isinstance(kind, T.StringType):
         fits = is_text(node)
     elif "ge" in rule.metadata:
@@ -147,26 +192,27 @@ def field_ok(node: str, rule: T.StructField, depth: int = 0, opened: str | None
     return f"({node} IS NOT NULL AND ({fits}))"
 
 
-def struct_value(fields: str, record: T.StructType, depth: int = 0) -> str:
-    """Typed struct out of a struct of untyped fields."""
-    parts = [f"'{f.name}', {field_value(f'{fields}.{f.name}', f, depth)}" for f in record.fields]
+def record_value(loose: str, record: T.StructType, depth: int = 0) -> str:
+    """Typed struct out of a loosely read one."""
+    parts = []
+    for f in record.fields:
+        field = f"{loose}.{f.name}"
+        parts.append(f"'{f.name}', {field if plain_text(f) else field_value(field, f, depth)}")
     return f"named_struct({', '.join(parts)})"
 
 
-def field_value(node: str, rule: T.StructField, depth: int = 0, opened: str | None = None) -> str:
+def field_value(node: str, rule: T.StructField, depth: int = 0, loose: str | None = None) -> str:
     """Typed value of a node that passed :func:`field_ok`, default filled in."""
     kind = rule.dataType
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        loose = loose or get(node, loose_type(kind))
     if isinstance(kind, T.ArrayType):
         item, x = kind.elementType, f"x{depth}"
         if isinstance(item, T.StructType):
-            items = opened or items_of(node, item)
-            typed = f"transform({items}, {x} -> {struct_value(x, item, depth + 1)})"
-        else:
-            typed = get(node, "array<string>")
-        return f"coalesce({typed}, CAST(array() AS {column_type(kind).simpleString()}))"
+            loose = f"transform({loose}, {x} -> {record_value(x, item, depth + 1)})"
+        return f"coalesce({loose}, CAST(array() AS {column_type(kind).simpleString()}))"
     if isinstance(kind, T.StructType):
-        fields = opened or fields_of(node, kind)
-        return f"CASE WHEN {fields} IS NOT NULL THEN {struct_value(fields, kind, depth)} END"
+        return f"CASE WHEN {loose} IS NOT NULL THEN {record_value(loose, kind, depth)} END"
     value = get(node, "string") if isinstance(kind, T.StringType) else _READERS[type(kind)](node)
     if "default" in rule.metadata:
         return f"coalesce({value}, CAST({rule.metadata['default']} AS {kind.simpleString()}))"

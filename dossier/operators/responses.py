@@ -30,7 +30,8 @@ def parse_answers(
     parsed = cleaned.selectExpr(
         *_names(df), f"{V.lone_value('_cleaned')} AS _lone", f"{V.wrapped('_cleaned')} AS _node"
     )
-    opened = V.get("_node", V.field_types(record, *more), "$.v")
+    root = ",".join(f"{name}:variant" for name in [*record.names, *more])
+    opened = V.get("_node", f"struct<{root}>", "$.v")
     rooted = parsed.selectExpr("*", f"{opened} AS root")
     problem = (
         "CASE WHEN NOT _lone OR _node IS NULL THEN 'malformed' WHEN root IS NULL THEN 'not_object'"
@@ -44,13 +45,6 @@ def _names(df: DataFrame) -> list[str]:
     return [f"`{c}`" for c in df.columns]
 
 
-def _open(rule: T.StructField) -> str:
-    node = f"root.{rule.name}"
-    if isinstance(rule.dataType, T.ArrayType):
-        return V.items_of(node, rule.dataType.elementType)
-    return V.fields_of(node, rule.dataType)
-
-
 def conform(df: DataFrame, text: str, which: str, into: str | None = None) -> DataFrame:
     """Check answers against a record and type them.
 
@@ -59,30 +53,34 @@ def conform(df: DataFrame, text: str, which: str, into: str | None = None) -> Da
     One bad element refuses the whole answer; unknown keys are ignored. No rows are lost.
     """
     record, into = RECORDS[which], into or which
-    # A list or struct is opened once, in a column that its check and its value share.
-    opened = {
-        f.name: f"_open_{f.name}"
-        for f in record.fields
-        if isinstance(f.dataType, (T.ArrayType, T.StructType))
-    }
     parsed = parse_answers(df, text, record, RESERVED[which])
+    # A list or struct is read once as loose and once as strict, for all its entries;
+    # its check and its value share these columns.
+    nested = [f for f in record.fields if isinstance(f.dataType, (T.ArrayType, T.StructType))]
+    loose = {f.name: f"_loose_{f.name}" for f in nested}
+    strict = {f.name: f"_strict_{f.name}" for f in nested if V.needs_strict(f.dataType)}
     split = parsed.selectExpr(
-        "*", *[f"{_open(f)} AS {opened[f.name]}" for f in record.fields if f.name in opened]
+        "*",
+        *[f"{V.get(f'root.{f.name}', V.loose_type(f.dataType))} AS {loose[f.name]}" for f in nested],
+        *[
+            f"{V.get(f'root.{f.name}', V.strict_type(f.dataType))} AS {strict[f.name]}"
+            for f in nested
+            if f.name in strict
+        ],
     )
-
-    def built(make) -> list[str]:
-        return [make(f"root.{f.name}", f, opened=opened.get(f.name)) for f in record.fields]
-
+    fits = [
+        V.field_ok(f"root.{f.name}", f, loose=loose.get(f.name), strict=strict.get(f.name))
+        for f in record.fields
+    ]
+    typed = [V.field_value(f"root.{f.name}", f, loose=loose.get(f.name)) for f in record.fields]
     misfit = " ".join(
-        f"WHEN NOT {ok} THEN '{name}'" for ok, name in zip(built(V.field_ok), record.names)
+        f"WHEN NOT {ok} THEN '{name}'" for ok, name in zip(fits, record.names)
     )
     judged = split.selectExpr(
         "*", f"CASE WHEN problem IS NULL THEN CASE {misfit} END END AS bad_field"
     ).selectExpr("*", "coalesce(problem, nvl2(bad_field, 'invalid', NULL)) AS reason")
     status = " ".join(f"WHEN '{reason}' THEN {code}" for reason, code in STATUS.items())
-    value = ", ".join(
-        f"'{name}', {typed}" for typed, name in zip(built(V.field_value), record.names)
-    )
+    value = ", ".join(f"'{name}', {made}" for name, made in zip(record.names, typed))
     verdict = (
         f"named_struct('bad_field', bad_field, 'reason', reason, "
         f"'status', CASE reason {status} END, "
