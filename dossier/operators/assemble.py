@@ -52,17 +52,18 @@ def leading_text(parts: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
     """First ``limit`` characters of each document, across its parts.
 
     Only parts that begin before the limit are joined: at most ``limit`` of them, since
-    each part after the first adds at least its line break.
+    each part with units adds at least its line break. A part without units (all its
+    paragraphs were blank) adds nothing.
     """
     w = Window.partitionBy("doc_id").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    begins = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
-    near = (
-        parts.filter((F.col("part") == 0) | (F.length("text") > 0))
-        .withColumn("begins", begins)
-        .filter(F.col("begins") < limit)
+    filled = F.col("n_units") > 0
+    begins = F.sum(F.when(filled, F.length("text") + 1)).over(w)
+    near = parts.withColumn("begins", F.coalesce(begins, F.lit(0))).filter(
+        F.col("begins") <= limit
     )
-    pieces = F.array_sort(F.collect_list(F.struct("part", truncate(F.col("text"), limit).alias("t"))))
+    piece = F.struct("part", truncate(F.col("text"), limit).alias("t"))
+    pieces = F.array_sort(F.collect_list(F.when(filled, piece)))
     joined = F.array_join(F.transform(pieces, lambda p: p.getField("t")), "\n")
     return near.groupBy("doc_id").agg(truncate(joined, limit).alias("text"))

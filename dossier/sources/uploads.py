@@ -16,7 +16,11 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upload_files(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest of a folder of files. Sizes come from the listing; contents are not read."""
+    """Manifest of a folder of files. Sizes come from the listing; contents are not read.
+
+    Spark's file scan leaves out files of zero bytes. Where the gate for empty files
+    matters, read a manifest table with :func:`uploads`, which lists them.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
