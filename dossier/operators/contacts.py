@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..skew import with_group_size
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 # Country code, area in brackets, number. Looser shapes also hit addresses and card numbers.
 PHONE = r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"
@@ -13,11 +15,9 @@ PHONE = r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"
 def contacts(docs: DataFrame) -> DataFrame:
     """One row per (document, kind, value) with the number of documents that share it.
 
-    Repeats inside a document are dropped within its row. The narrow result is hashed
-    by all three columns once, so the texts are searched a single time although both
-    sides of the join need the finds; a value that a third of all documents share is
-    spread over all tasks, counted by a partial aggregate, and met again in a join
-    whose skewed partitions adaptive execution splits.
+    Repeats inside a document are dropped within its row. The narrow finds are hashed by
+    all three columns once, so each text is searched a single time and a value that a
+    third of all documents share is spread over all tasks.
     """
 
     def found(kind: str, pattern: str):
@@ -31,5 +31,4 @@ def contacts(docs: DataFrame) -> DataFrame:
         .select("doc_id", "f.kind", "f.value")
         .repartition("doc_id", "kind", "value")
     )
-    shared = finds.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_docs"))
-    return finds.join(shared, ["kind", "value"])
+    return with_group_size(finds, ["kind", "value"], "n_docs")

@@ -16,7 +16,7 @@ from ..operators.contacts import contacts as find_contacts
 from ..operators.envelope import envelope as make_envelope
 from ..operators.intake import CALLERS, intake, judge_uploads
 from ..schemas import LIST_SECTIONS
-from ..session import prepare, shared_dir
+from ..session import prepare, shared_dir, written
 from ..sources.profiles import append_changes, read_profiles, write_profiles
 from ..streaming.upsert import stream_upsert
 from . import standins as S
@@ -307,8 +307,13 @@ _LABELS = {
 }
 
 
+def _stored_resumes(spark, sf_dir) -> DataFrame:
+    """Resumes for queries that read them more than once."""
+    return written(S.resumes(spark, sf_dir), "resumes")
+
+
 def flatten_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = S.resumes(spark, sf_dir)
+    made = _stored_resumes(spark, sf_dir)
     return _union(
         [
             nested.flatten(made, section, ["person_id"]).select(
@@ -323,7 +328,7 @@ def flatten_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flatten_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = S.resumes(spark, sf_dir)
+    made = _stored_resumes(spark, sf_dir)
     return _union(
         [
             nested.flatten_inner(made, section, ["person_id"]).select(
@@ -339,7 +344,7 @@ def flatten_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _attached(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    made = S.resumes(spark, sf_dir)
+    made = _stored_resumes(spark, sf_dir)
     answers = _accepted_profiles(made).select("request_id", "profile")
     return nested.attach_resume(answers, requests.profile_requests(made), made)
 
@@ -355,7 +360,7 @@ def attach_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unanswered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = S.resumes(spark, sf_dir)
+    made = _stored_resumes(spark, sf_dir)
     answers = S.profile_answers(made).select("request_id", "answer")
     _, missing = nested.attach_resume(answers, requests.profile_requests(made), made)
     return missing.select("request_id", "person_id")
@@ -429,7 +434,7 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stat_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = S.resumes(spark, sf_dir)
+    made = _stored_resumes(spark, sf_dir)
     return marts.stat_cards(made, _accepted_profiles(made).select("person_id", "profile"))
 
 
@@ -514,8 +519,8 @@ def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result of every run over the resumes: both payloads, or the error."""
-    made = S.resumes(spark, sf_dir)
-    judged = S.profiles(made)
+    made = _stored_resumes(spark, sf_dir)
+    judged = written(S.profiles(made).drop("answer"), "profiles")
     attached, _ = nested.attach_resume(
         responses.accepted(judged).select("request_id", "profile"),
         requests.profile_requests(made),

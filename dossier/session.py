@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A JSON object that repeats a key keeps the last value, as strict JSON readers do.
 REQUIRED_CONF = {"spark.sql.variant.allowDuplicateKeys": "true"}
@@ -48,3 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named.rstrip("/") if named else tempfile.mkdtemp(prefix="dossier-")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read back.
+
+    For a frame that several branches of a job read: the table cuts the lineage, survives
+    the loss of executors, and each branch reads only the columns it needs.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

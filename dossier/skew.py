@@ -1,9 +1,11 @@
 """Keys that hold a large share of the rows.
 
 Aggregates with a partial step cope with such keys by themselves, and adaptive
-execution splits skewed joins. What is left is nesting: all children of a key end in
-one array. The functions here split the children of heavy keys into parts, so that no
-array, and no task, has to take an unbounded group. All parts are kept.
+execution splits skewed joins of two plain shuffles. Two cases are left. Nesting puts
+all children of a key into one array: the children of heavy keys are split into parts,
+so that no array, and no task, has to take an unbounded group. A join with an aggregate
+of the same rows is not split by adaptive execution: the largest groups go through a
+broadcast of fixed length. All rows are kept in both cases.
 """
 
 from __future__ import annotations
@@ -60,3 +62,42 @@ def repeat_rows(rows: DataFrame, heavy: DataFrame | None, key: str, where: str,
     return rows.join(F.broadcast(heavy), key, "left").selectExpr(
         *[f"`{c}`" for c in rows.columns], f"explode({parts}) AS part"
     )
+
+
+# Groups whose size is attached by broadcast. Their keys are short, so this many fit in
+# well under a megabyte. Any other group holds less than one in TOP_GROUPS of all rows.
+TOP_GROUPS = 1_000
+KEY_CHARS = 320
+
+
+def with_group_size(
+    rows: DataFrame,
+    keys: list[str],
+    out: str,
+    min_rows: int = 10_000,
+    top: int = TOP_GROUPS,
+) -> DataFrame:
+    """Add the number of rows that share ``keys``, as a window count would. Keys are not null.
+
+    Sizes are counted with a partial aggregate and joined back. The largest groups are
+    joined by broadcast, so that no task receives one of them whole; all others meet
+    their size in an ordinary join. ``rows`` is read three times: give it an exchange of
+    its own (``repartition``), which Spark then reuses.
+    """
+    # Stated once for all branches; inferred from the joins alone, they would differ.
+    rows = rows.dropna(subset=keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+    length = " + ".join(f"length(CAST(`{k}` AS STRING))" for k in keys)
+    # Long keys are left out after the limit: an earlier filter would reach into ``rows``
+    # and keep Spark from reusing its exchange. An anti join would do the same.
+    hot = (
+        sizes.filter(F.col(out) > min_rows)
+        .orderBy(F.desc(out), *keys)
+        .limit(top)
+        .filter(f"{length} <= {KEY_CHARS}")
+        .withColumnRenamed(out, "_size")
+    )
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    large = marked.filter("_size IS NOT NULL").withColumnRenamed("_size", out)
+    other = marked.filter("_size IS NULL").drop("_size").join(sizes, keys)
+    return large.unionByName(other)
