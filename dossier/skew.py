@@ -85,7 +85,7 @@ def with_group_size(
     its own (``repartition``), which Spark then reuses.
     """
     # Stated once for all branches; inferred from the joins alone, they would differ.
-    rows = rows.dropna(subset=keys)
+    rows = rows.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
     length = " + ".join(f"length(CAST(`{k}` AS STRING))" for k in keys)
     # Long keys are left out after the limit: an earlier filter would reach into ``rows``
