@@ -23,6 +23,7 @@ SERVICE_MESSAGES = {
     "blank_text": "Could not extract any text from the uploaded file.",
     "internal": "An unexpected error occurred while parsing the resume. Please try again.",
 }
+PARSER_MESSAGES = {"type": "Unsupported file type: {type}. Only PDF and DOCX are supported."}
 GATEWAY_MESSAGES = {
     "auth": "Unauthorized",
     "no_file": "No file provided",

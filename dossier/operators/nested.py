@@ -162,3 +162,15 @@ def attach_resume(
     )
     unanswered = asked.join(answers.select("request_id"), "request_id", "left_anti")
     return attached, unanswered
+
+
+def with_raw_text(rows: DataFrame, texts: DataFrame, key: str, record: str = "resume") -> DataFrame:
+    """Add ``raw_text`` as the last field of a record, null where there is no text.
+
+    ``texts`` holds ``key, text``, one row per key. Texts are joined last, so that they
+    take no part in earlier shuffles.
+    """
+    joined = rows.join(texts.select(key, F.col("text").alias("_text")), key, "left")
+    return joined.withColumn(
+        record, F.struct(f"{record}.*", F.col("_text").alias("raw_text"))
+    ).drop("_text")

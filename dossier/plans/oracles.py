@@ -366,6 +366,16 @@ ORACLES: dict[str, str] = {
         CAST(length(string_agg(text, chr(10) ORDER BY turn)) AS BIGINT) AS n_chars,
         md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5
         FROM conversations GROUP BY conv_id""",
+    "text_units": f"""WITH units AS (
+        SELECT conv_id * 3 + CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END
+            AS doc_id, turn, role, text FROM conversations)
+        SELECT doc_id, CASE WHEN max(role) = 'system' THEN '' ELSE md5(coalesce(
+                string_agg(text, chr(10) ORDER BY turn)
+                    FILTER (role = 'user' OR NOT ({_blank('text')})), '')) END AS text_md5,
+            CASE WHEN max(role) = 'system' THEN
+                'Unsupported file type: text/plain. Only PDF and DOCX are supported.'
+            ELSE '' END AS error
+        FROM units GROUP BY doc_id""",
     "paragraph_assembly": _with(
         _LINES,
         """SELECT doc_id, CAST(0 AS BIGINT) AS part, n_units, CAST(length(t) AS BIGINT) AS n_chars,
@@ -601,7 +611,9 @@ loose AS (SELECT CASE WHEN success THEN user_id END AS user_id,
             CASE WHEN bad_field = '' THEN name ELSE '' END AS name,
             CASE WHEN bad_field = '' THEN '' ELSE 'answer refused: invalid' END AS error_in_json,
             CASE WHEN bad_field = '' THEN 'true' ELSE 'false' END AS success_in_json,
-            bad_field = '' AS keeps_nulls
-        FROM verdicts""",
+            bad_field = '' AS keeps_nulls,
+            md5(CASE WHEN bad_field = '' THEN coalesce(text, '') ELSE '' END) AS text_md5,
+            md5(CASE WHEN bad_field = '' THEN coalesce(text, '') ELSE '' END) AS inner_text_md5
+        FROM verdicts LEFT JOIN documents ON doc_id = k""",
     ),
 }

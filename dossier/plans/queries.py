@@ -18,6 +18,7 @@ from ..operators.intake import CALLERS, intake, judge_uploads
 from ..schemas import LIST_SECTIONS
 from ..session import prepare, shared_dir, written
 from ..sources.profiles import append_changes, read_profiles, write_profiles
+from ..sources.uploads import split_units
 from ..streaming.upsert import stream_upsert
 from . import standins as S
 
@@ -124,6 +125,18 @@ def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(assemble.assemble_pages(S.pages(spark, sf_dir)))
 
 
+def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every document by the rule of its type, or the error of its type."""
+    known, other = split_units(S.typed_units(spark, sf_dir))
+    texts = assemble.assemble_units(known)
+    return _union(
+        [
+            texts.select("doc_id", F.md5("text").alias("text_md5"), F.lit("").alias("error")),
+            other.select("doc_id", F.lit("").alias("text_md5"), "error"),
+        ]
+    )
+
+
 def paragraph_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(assemble.assemble_paragraphs(S.paragraphs(spark, sf_dir)))
 
@@ -526,7 +539,10 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         requests.profile_requests(made),
         made,
     )
-    ok = attached.select(
+    full = nested.with_raw_text(
+        attached, S.resume_texts(spark, sf_dir), "person_id", "original_resume"
+    )
+    ok = full.select(
         "request_id",
         F.col("original_resume").alias("parsed_resume"),
         F.struct("profile.*", "original_resume").alias("profile_intelligence"),
@@ -546,6 +562,13 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
         "success",
         _or(F.col("error"), "").alias("error"),
         *[_or(F.get_json_object("json", p), "").alias(n) for n, p in path.items()],
+        *[
+            F.md5(_or(F.get_json_object("json", f"$.{p}.raw_text"), "")).alias(n)
+            for n, p in (
+                ("text_md5", "parsed_resume"),
+                ("inner_text_md5", "profile_intelligence.original_resume"),
+            )
+        ],
         F.col("json").contains('"linkedin":null').alias("keeps_nulls"),
     )
 
@@ -560,6 +583,7 @@ QUERIES = {
         run_summary,
         error_texts,
         page_assembly,
+        text_units,
         paragraph_assembly,
         paragraph_lines,
         leading_text,

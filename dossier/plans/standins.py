@@ -74,6 +74,22 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as units of one file per conversation and role: PDF, DOCX and plain text."""
+    role = "CASE role WHEN 'user' THEN {} WHEN 'assistant' THEN {} ELSE {} END"
+    return table(spark, sf_dir, "conversations").selectExpr(
+        f"conv_id * 3 + {role.format(0, 1, 2)} AS doc_id",
+        "turn AS seq",
+        "text",
+        role.format(f"'{PDF}'", f"'{DOCX}'", "'text/plain'") + " AS mime",
+    )
+
+
+def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts of the customers who have one."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id * 2 AS person_id", "text")
+
+
 def spaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a blank line after every line."""
     return table(spark, sf_dir, "documents").select(

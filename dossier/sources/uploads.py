@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed import DOCX, MSWORD, PDF
+from ..fixed import DOCX, MSWORD, PARSER_MESSAGES, PDF
 
 MANIFEST = ("upload_id", "user_id", "filename", "mime", "size_bytes", "uploaded_at")
 
@@ -37,28 +37,26 @@ def upload_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Text layer of parsed files: ``doc_id, seq, text, kind``, and units of other types.
+    """Text layer table of parsed files, split by :func:`split_units`."""
+    return split_units(spark.read.parquet(path))
 
-    PDF text comes in pages, DOCX text in paragraphs. Units whose ``mime`` is neither go
-    to the second frame with an error, one row per document.
+
+def split_units(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units of known types as ``doc_id, seq, text, kind``, and documents of other types.
+
+    PDF text comes in pages, DOCX text in paragraphs. A document whose ``mime`` is neither
+    goes to the second frame with an error.
     """
-    units = spark.read.parquet(path)
     kind = F.when(F.col("mime") == PDF, "page").when(
         F.col("mime").isin(DOCX, MSWORD), "paragraph"
     )
     typed = units.withColumn("kind", kind)
     known = typed.filter(F.col("kind").isNotNull()).select("doc_id", "seq", "text", "kind")
+    said_before, said_after = PARSER_MESSAGES["type"].split("{type}")
     other = (
         typed.filter(F.col("kind").isNull())
         .select("doc_id", F.coalesce("mime", F.lit("")).alias("mime"))
         .distinct()
-        .withColumn(
-            "error",
-            F.concat(
-                F.lit("Unsupported file type: "),
-                F.col("mime"),
-                F.lit(". Only PDF and DOCX are supported."),
-            ),
-        )
+        .withColumn("error", F.concat(F.lit(said_before), F.col("mime"), F.lit(said_after)))
     )
     return known, other

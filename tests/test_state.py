@@ -160,3 +160,18 @@ def test_envelopes(spark):
     assert got[1][1]["profile_intelligence"] is None
     assert got[2] == (False, {"success": False, "error": "broken"})
     assert got[3] == (False, {"success": False, "error": None})
+
+
+class Conf:
+    def __init__(self, **named):
+        self.named, self.conf = named, self
+
+    def get(self, key, default=None):
+        return self.named.get(key.replace(".", "_"), default)
+
+
+def test_shared_folder_is_the_one_the_cluster_names():
+    from dossier.session import shared_dir
+
+    assert shared_dir(Conf(spark_checkpoint_dir="hdfs:///shared/cp/")) == "hdfs:///shared/cp"
+    assert "dossier-" in shared_dir(Conf())
