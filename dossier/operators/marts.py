@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.display import display_name, avatar, plain_number
+from ..functions.display import avatar, display_name, plain_number
 
 
 def _said(number, unit: str):
@@ -15,6 +15,8 @@ def _said(number, unit: str):
 def stat_cards(resumes: DataFrame, profiles: DataFrame, key: str = "person_id") -> DataFrame:
     """Four cards per person: from the profile if there is one, else from the resume.
 
+    ``profiles`` holds ``key, profile``, at most one row per person.
+
     List sizes are taken inside the row; only narrow counts are shuffled. Skills listed
     under two categories count twice. Parts of one person are added up.
     """

@@ -448,7 +448,9 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stat_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _stored_resumes(spark, sf_dir)
-    return marts.stat_cards(made, _accepted_profiles(made).select("person_id", "profile"))
+    # A heavy person has an answer per part; the cards show the first one.
+    shown = _accepted_profiles(made).filter("part = 0").select("person_id", "profile")
+    return marts.stat_cards(made, shown)
 
 
 # Keyed state
