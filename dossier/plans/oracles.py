@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..fixed import DOCX, MSWORD, PDF, PROMPT_CHARS, WHITESPACE
 from ..operators.requests import ANALYSIS, EXTRACTION, Template
-from .standins import AS_OF, SNAPSHOT_END
+from .standins import AS_OF
 
 
 def _q(text: str) -> str:

@@ -22,8 +22,6 @@ from ..sources.uploads import split_units
 from ..streaming.upsert import stream_upsert
 from . import standins as S
 
-PERSON = ["person_id", "part"]
-
 
 def _long(column):
     return column.cast("long")

@@ -255,11 +255,10 @@ def with_key(json: str, extra: str) -> str:
     return f"concat(substr({json}, 1, length({json}) - 1), ',{extra}}}')"
 
 
-def pick(selector: str, *values: str | None) -> str:
+def pick(selector: str, *values: str, otherwise: str = "NULL") -> str:
     """Expression number ``selector`` (from 0) of the list."""
-    return f"CASE {selector} " + " ".join(
-        f"WHEN {i} THEN {v}" for i, v in enumerate(values)
-    ) + " END"
+    cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+    return f"CASE {selector} {cases} ELSE {otherwise} END"
 
 
 def resume_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +280,8 @@ def resume_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('[', json, ']')",
         "concat('Here you go: ', json)",
         r"concat('  \n```\n ', json, ' \n``` \n')",
-    ).replace(" END", " ELSE json END")
+        otherwise="json",
+    )
     made = resumes(spark, sf_dir).select(
         "person_id", "part", resume_json(F.col("resume")).alias("json")
     )
@@ -333,7 +333,8 @@ def profile_answers(made: DataFrame) -> DataFrame:
         with_key("json", '"original_resume":{"x":1}'),
         with_key("json", '"inferred_job_roles":[{"title":"t","confidence":"High"}]'),
         with_key("json", '"profile_completeness":{"overall_score":true,"has_summary":"on"}'),
-    ).replace(" END", " ELSE json END")
+        otherwise="json",
+    )
     return (
         made.filter("startswith(resume.personal_info.name, 'Customer')")
         .selectExpr("person_id", "part", f"to_json({PROFILE_ANSWER}) AS json")
