@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,10 +46,16 @@ def build_session(master: str, shuffle_partitions: int, memory: str = "8g") -> S
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors reach, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a local test) a temporary folder is made.
+    Where it is unset, a temporary folder is made, but only for a session that runs in this
+    one process; on a cluster other machines would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="dossier-")
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir has to name a shared folder (master: {master})")
+    return tempfile.mkdtemp(prefix="dossier-")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
