@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, licenses, shards, simhash, spots
+from . import decontaminate, hmm, langid, licenses, pieces, shards, simhash, spots, suffixes
 from .common import small_batches
 
 
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    found = pieces.encode(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_pieces", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "exact"
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by hyperdimensional profiles."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -26,6 +34,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat earlier ones, and what is left."""
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text."""
     return spots.fingerprints(table(spark, sf_dir, "documents"))
@@ -55,8 +68,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_array": op4_suffix_array,
     "op5_spotsigs": op5_spotsigs,
     "op6_hmm": op6_hmm,
     "op7_simhash": op7_simhash,
