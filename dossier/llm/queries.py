@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, licenses, pieces, shards, simhash, spots, suffixes
+from . import decontaminate, extract, hmm, langid, licenses, pieces, shards, simhash, spots, suffixes
 from .common import small_batches
 
 
@@ -55,6 +55,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     placed = shards.shard(table(spark, sf_dir, "documents"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_spotsigs": op5_spotsigs,
     "op6_hmm": op6_hmm,
     "op7_simhash": op7_simhash,
+    "op8_extraction": op8_extraction,
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
 }
