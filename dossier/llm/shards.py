@@ -65,12 +65,14 @@ def first_map(sizes: list[int], shards: int = SHARDS) -> SlotMap:
 def rebalance(old: SlotMap, sizes: list[int], shards: int | None = None) -> SlotMap:
     """Next version: move slots off overfull shards until no move brings them closer together.
 
-    ``shards`` may add shards, which start empty. Slots that are not moved keep their shard.
+    ``shards`` may add shards, which start empty; then slots move only into these. Slots that
+    are not moved keep their shard.
     """
     shards = shards or old.shards
     if shards < old.shards:
         raise ValueError("shards are only added")
     owner, load = list(old.owner), [0] * shards
+    takers = range(old.shards, shards) if shards > old.shards else range(shards)
     for slot, k in enumerate(owner):
         load[k] += sizes[slot]
     held: list[list[int]] = [[] for _ in range(shards)]
@@ -78,7 +80,7 @@ def rebalance(old: SlotMap, sizes: list[int], shards: int | None = None) -> Slot
         held[owner[slot]].append(slot)
     while True:
         full = max(range(shards), key=lambda k: (load[k], -k))
-        free = min(range(shards), key=lambda k: (load[k], k))
+        free = min(takers, key=lambda k: (load[k], k))
         gap = load[full] - load[free]
         # The largest slot that still leaves both closer together than before.
         fit = [i for i, s in enumerate(held[full]) if 0 < sizes[s] <= gap // 2]
