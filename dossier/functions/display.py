@@ -64,6 +64,8 @@ def avatar(name: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """A double as a browser prints it: whole numbers carry no decimals."""
-    whole = (value == F.floor(value)) & (F.abs(value) < F.lit(1e15))
-    return F.when(whole, F.floor(value).cast("string")).otherwise(value.cast("string"))
+    """A double as a browser prints it: no exponent from 1e-6 up to 1e21, no trailing zeros."""
+    size = F.abs(value)
+    digits = F.regexp_replace(value.cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
+    plain = (size >= F.lit(1e-6)) & (size < F.lit(1e21))
+    return F.when(value == 0, F.lit("0")).when(plain, digits).otherwise(value.cast("string"))

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import PROMPT_CHARS
 from ..functions.text import has_text, truncate
 
-# Units (pages, paragraphs) joined into one row. A longer document gets several parts
-# in order; joined by a line break they give its text. This bounds every group.
-UNITS_PER_PART = 16_384
-
 
 def _join_units(units: DataFrame, keep: Column) -> DataFrame:
-    part = F.floor(F.col("seq") / UNITS_PER_PART).cast("int")
+    """One row per document: its units in order. A text is one value, as large as its file."""
     unit = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
     kept = F.array_sort(F.collect_list(F.when(keep, unit)))
     return (
-        units.withColumn("part", part)
-        .groupBy("doc_id", "part")
+        units.groupBy("doc_id")
         .agg(kept.alias("units"))
         .select(
             "doc_id",
-            "part",
             F.size("units").alias("n_units"),
             F.array_join(F.transform("units", lambda u: u.getField("text")), "\n").alias("text"),
         )
@@ -48,22 +42,6 @@ def assemble_units(units: DataFrame) -> DataFrame:
     return _join_units(units, (F.col("kind") == "page") | has_text(F.col("text")))
 
 
-def leading_text(parts: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
-    """First ``limit`` characters of each document, across its parts.
-
-    Only parts that begin before the limit are joined: at most ``limit`` of them, since
-    each part with units adds at least its line break. A part without units (all its
-    paragraphs were blank) adds nothing.
-    """
-    w = Window.partitionBy("doc_id").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    filled = F.col("n_units") > 0
-    begins = F.sum(F.when(filled, F.length("text") + 1)).over(w)
-    near = parts.withColumn("begins", F.coalesce(begins, F.lit(0))).filter(
-        F.col("begins") <= limit
-    )
-    piece = F.struct("part", truncate(F.col("text"), limit).alias("t"))
-    pieces = F.array_sort(F.collect_list(F.when(filled, piece)))
-    joined = F.array_join(F.transform(pieces, lambda p: p.getField("t")), "\n")
-    return near.groupBy("doc_id").agg(truncate(joined, limit).alias("text"))
+def leading_text(texts: DataFrame, limit: int = PROMPT_CHARS) -> DataFrame:
+    """First ``limit`` characters of each document."""
+    return texts.select("doc_id", truncate(F.col("text"), limit).alias("text"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import LIST_SECTIONS, RESUME, column_type
-from ..skew import MAX_ITEMS, heavy_keys, repeat_rows, split_rows
 
 # Lists inside a list section.
 INNER_LISTS = {
@@ -19,20 +18,18 @@ INNER_LISTS = {
 }
 
 
-def nest_skills(
-    rows: DataFrame, key: str = "person_id", max_items: int = MAX_ITEMS
-) -> DataFrame:
+def nest_skills(rows: DataFrame, key: str = "person_id") -> DataFrame:
     """Flat (person, category, skill) to one list of categories per person.
 
-    Repeats are dropped by a partial aggregate before anything is shuffled.
+    Repeats are dropped by a partial aggregate before anything is shuffled, and categories
+    are grouped before persons are.
     """
-    distinct = rows.select(key, "category", "skill").distinct()
-    heavy = heavy_keys([distinct], key, max_items)
     return (
-        split_rows(distinct, heavy, key, "category, skill")
-        .groupBy(key, "part", "category")
+        rows.select(key, "category", "skill")
+        .distinct()
+        .groupBy(key, "category")
         .agg(F.expr("array_sort(collect_list(skill)) AS skills"))
-        .groupBy(key, "part")
+        .groupBy(key)
         .agg(F.expr("array_sort(collect_list(struct(category, skills))) AS skills"))
     )
 
@@ -53,7 +50,6 @@ def assemble_resumes(
     children: list[DataFrame],
     pairs: DataFrame,
     key: str = "person_id",
-    max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """One resume per person from child tables; a person without children gets [].
 
@@ -63,38 +59,29 @@ def assemble_resumes(
     grp, name`` for the sections in :data:`GROUPED`.
 
     All rows are stacked and grouped once, so the whole record costs one exchange
-    instead of a join per section. Children of an unknown person are left out. A person
-    with more than ``max_items`` children has several rows, told apart by ``part``.
+    instead of a join per section. Children of an unknown person are left out. Groups of
+    pairs are nested first, so what meets last is one entry per child or group.
     """
-    distinct = pairs.select(key, "section", "grp", "name").distinct()
-    heavy = heavy_keys([*children, distinct], key, max_items)
-
     owners = people.withColumn("owner", F.struct("personal_info", "languages")).drop(
         "personal_info", "languages"
     )
     direct = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), children, owners)
-    sections = [c for c in direct.columns if c not in (key, "owner")]
-    placed = repeat_rows(direct, heavy, key, "owner IS NOT NULL", ", ".join(sections))
-    # An owner repeated for a part brings no entries of its own, so none is counted twice.
-    once = [f"CASE WHEN owner IS NULL OR part = 0 THEN {s} END AS {s}" for s in sections]
-    placed = placed.selectExpr(key, "part", "owner", *once)
-
     named = (
-        split_rows(distinct, heavy, key, "section, grp, name")
-        .groupBy(key, "part", "section", "grp")
+        pairs.select(key, "section", "grp", "name")
+        .distinct()
+        .groupBy(key, "section", "grp")
         .agg(F.expr("array_sort(collect_list(name)) AS names"))
         .selectExpr(
             key,
-            "part",
             *[
                 f"CASE WHEN section = '{s}' THEN named_struct('ord', grp, 'item', {item}) END AS {s}"
                 for s, item in GROUPED.items()
             ],
         )
     )
-    stacked = placed.unionByName(named, allowMissingColumns=True)
+    stacked = direct.unionByName(named, allowMissingColumns=True)
     lists = [s for s in LIST_SECTIONS if s in stacked.columns]
-    grouped = stacked.groupBy(key, "part").agg(
+    grouped = stacked.groupBy(key).agg(
         F.expr("first(owner, true) AS owner"),
         *[F.expr(f"array_sort(collect_list({s})) AS {s}") for s in lists],
     )
@@ -107,12 +94,12 @@ def assemble_resumes(
         elif field.name == "personal_info":
             value = f"CAST(owner.personal_info AS {kind})"
         elif field.name == "languages":
-            value = f"CASE WHEN part = 0 THEN owner.languages ELSE {value} END"
+            value = "owner.languages"
         return f"'{field.name}', {value}"
 
     record = ", ".join(column(f) for f in RESUME.fields)
     return grouped.filter("owner IS NOT NULL").selectExpr(
-        key, "part", f"named_struct({record}) AS resume"
+        key, f"named_struct({record}) AS resume"
     )
 
 
@@ -132,6 +119,32 @@ def flatten(resumes: DataFrame, section: str, keys: list[str], record: str = "re
     return exploded.withColumnRenamed("item", "value")
 
 
+def flatten_labels(resumes: DataFrame, labels: dict[str, str], keys: list[str], record: str = "resume") -> DataFrame:
+    """``section, pos, label`` of the entries of several sections, in one pass over the records.
+
+    ``labels`` names the field that is shown for each section; any name for text lists.
+    """
+    parts = []
+    for section, label in labels.items():
+        text = isinstance(RESUME[section].dataType.elementType, T.StringType)
+        field = "x" if text else f"x.`{label}`"
+        parts.append(
+            f"transform({record}.{section}, (x, i) -> named_struct('section', '{section}', "
+            f"'pos', i, 'label', CAST({field} AS STRING)))"
+        )
+    return resumes.select(*keys, F.expr(f"inline(concat({', '.join(parts)}))"))
+
+
+def flatten_inner_values(resumes: DataFrame, keys: list[str], record: str = "resume") -> DataFrame:
+    """``section, pos, inner_pos, value`` of all lists inside sections, in one pass."""
+    parts = [
+        f"flatten(transform({record}.{section}, (x, i) -> transform(x.{inner}, (v, j) -> "
+        f"named_struct('section', '{section}', 'pos', i, 'inner_pos', j, 'value', v))))"
+        for section, inner in INNER_LISTS.items()
+    ]
+    return resumes.select(*keys, F.expr(f"inline(concat({', '.join(parts)}))"))
+
+
 def flatten_inner(
     resumes: DataFrame, section: str, keys: list[str], record: str = "resume"
 ) -> DataFrame:

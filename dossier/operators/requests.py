@@ -20,11 +20,9 @@ from ..fixed import (
     EXTRACTION_TEMPERATURE,
     MAX_TOKENS,
     PROFICIENCIES,
-    PROMPT_CHARS,
     ROLE_COUNT,
     STRENGTH_COUNT,
 )
-from ..functions.text import truncate
 from ..schemas import PROFILE, RESUME
 
 
@@ -102,13 +100,13 @@ def _request(template: Template, body) -> list:
 
 
 def extraction_requests(
-    docs: DataFrame, template: Template = EXTRACTION, limit: int = PROMPT_CHARS
+    docs: DataFrame, template: Template = EXTRACTION
 ) -> DataFrame:
-    """One request per document. The prompt holds the first ``limit`` characters, as the
-    model accepts no more; the document text itself stays whole in its own table."""
+    """One request per document, with the text as it is given. For a model that accepts only so
+    much, give the result of :func:`~dossier.operators.assemble.leading_text`."""
     request_id = F.concat(F.lit("extraction-"), F.col("doc_id").cast("string"))
     return docs.select(
-        request_id.alias("request_id"), "doc_id", *_request(template, truncate(F.col("text"), limit))
+        request_id.alias("request_id"), "doc_id", *_request(template, F.col("text"))
     )
 
 
@@ -119,10 +117,9 @@ def resume_json(resume: Column) -> Column:
 
 def profile_requests(resumes: DataFrame, template: Template = ANALYSIS) -> DataFrame:
     """One request per resume record; the raw text is not part of the record."""
-    request_id = F.concat_ws("-", F.lit("analysis"), "person_id", "part")
+    request_id = F.concat_ws("-", F.lit("analysis"), "person_id")
     return resumes.select(
         request_id.alias("request_id"),
         "person_id",
-        "part",
         *_request(template, resume_json(F.col("resume"))),
     )

@@ -21,12 +21,12 @@ def batch_changes(runs: DataFrame) -> DataFrame:
     """Profile rows a batch of runs leaves behind, one per user.
 
     ``runs`` holds ``run_id, user_id, ts, success, profile_data, source_filename``. A
-    failed run writes nothing. The latest success wins whole: its null filename replaces
+    failed run writes nothing, nor does one that :func:`refused_runs` lists. The latest success wins whole: its null filename replaces
     a known one. Grouping has a partial step, so a user with a third of all runs is
     reduced to one row per task before the shuffle.
     """
     return (
-        runs.filter("success")
+        runs.filter("success AND user_id IS NOT NULL AND profile_data IS NOT NULL")
         .groupBy("user_id")
         .agg(
             F.max_by(F.struct("profile_data", "source_filename"), F.struct("ts", "run_id")).alias("p"),
@@ -44,6 +44,12 @@ def batch_changes(runs: DataFrame) -> DataFrame:
     )
 
 
+def refused_runs(runs: DataFrame) -> DataFrame:
+    """Successful runs that the table does not take, with the rule they break."""
+    reason = F.when(F.col("user_id").isNull(), "null_user_id").when(F.col("profile_data").isNull(), "null_profile_data")
+    return runs.filter("success").withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def fold_profiles(layers: DataFrame, order: str) -> DataFrame:
     """Current row per user out of layers stacked in ``order``.
 
@@ -77,6 +83,18 @@ def visible_profiles(profiles: DataFrame, user_id: str | None, role: str) -> Dat
     return profiles.filter(F.col("user_id") == F.lit(user_id))
 
 
+def visible_to(profiles: DataFrame, readers: dict[str, tuple[str | None, str]]) -> DataFrame:
+    """``reader`` and the rows it may see, for several readers in one pass.
+
+    ``readers`` gives the user and the role of each.
+    """
+    seen = [
+        F.lit(name) if role == "service_role" else F.when(F.col("user_id") == F.lit(user), F.lit(name))
+        for name, (user, role) in readers.items()
+    ]
+    return profiles.select(F.explode(F.array_compact(F.array(*seen))).alias("reader"), *profiles.columns)
+
+
 def cascade(profiles: DataFrame, users: DataFrame) -> DataFrame:
     """Profiles whose user still exists."""
     return profiles.join(users.select("user_id"), "user_id", "left_semi")

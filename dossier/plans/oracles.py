@@ -362,7 +362,7 @@ ORACLES: dict[str, str] = {
     "error_texts": """SELECT event_id, CASE WHEN value >= 20 THEN props
         WHEN value >= 2 AND value < 10 THEN event_type
         ELSE 'Pipeline exited with an error.' END AS error FROM events""",
-    "page_assembly": """SELECT conv_id AS doc_id, CAST(0 AS BIGINT) AS part, count(*) AS n_units,
+    "page_assembly": """SELECT conv_id AS doc_id, count(*) AS n_units,
         CAST(length(string_agg(text, chr(10) ORDER BY turn)) AS BIGINT) AS n_chars,
         md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5
         FROM conversations GROUP BY conv_id""",
@@ -378,7 +378,7 @@ ORACLES: dict[str, str] = {
         FROM units GROUP BY doc_id""",
     "paragraph_assembly": _with(
         _LINES,
-        """SELECT doc_id, CAST(0 AS BIGINT) AS part, n_units, CAST(length(t) AS BIGINT) AS n_chars,
+        """SELECT doc_id, n_units, CAST(length(t) AS BIGINT) AS n_chars,
             md5(t) AS text_md5 FROM joined""",
     ),
     "paragraph_lines": _with(
@@ -393,13 +393,13 @@ ORACLES: dict[str, str] = {
         EXTRACTION,
         "doc_id",
         "'extraction-' || doc_id",
-        f"substr(text, 1, {PROMPT_CHARS})",
+        "text",
         "documents",
     ),
     "profile_requests": _with(
         _RESUMES,
         _request(
-            ANALYSIS, "person_id", "'analysis-' || person_id || '-0'", _json(), "resumes"
+            ANALYSIS, "person_id", "'analysis-' || person_id", _json(), "resumes"
         ),
     ),
     "contacts": f"""WITH found AS (
@@ -478,7 +478,7 @@ judged AS (
     ),
     "assemble_resume": _with(
         _RESUMES,
-        f"""SELECT person_id, CAST(0 AS BIGINT) AS part, {_SIZES}, md5({_json()}) AS resume_md5
+        f"""SELECT person_id, {_SIZES}, md5({_json()}) AS resume_md5
         FROM resumes""",
     ),
     "flatten_sections": _with(
@@ -502,10 +502,10 @@ judged AS (
     ),
     "attach_resume": _with(
         _PROFILES,
-        f"""SELECT 'analysis-' || person_id || '-0' AS request_id, person_id,
+        f"""SELECT 'analysis-' || person_id AS request_id, person_id,
             level AS career_level, md5({_json()}) AS resume_md5 FROM accepted""",
     ),
-    "unanswered_requests": """SELECT 'analysis-' || (s_suppkey * 2 + 1) || '-0' AS request_id,
+    "unanswered_requests": """SELECT 'analysis-' || (s_suppkey * 2 + 1) AS request_id,
         s_suppkey * 2 + 1 AS person_id FROM supplier""",
     "years_experience": _with(
         _DATED,
@@ -605,7 +605,7 @@ loose AS (SELECT CASE WHEN success THEN user_id END AS user_id,
     ),
     "envelope": _with(
         _PROFILES,
-        """SELECT 'analysis-' || person_id || '-0' AS request_id, bad_field = '' AS success,
+        """SELECT 'analysis-' || person_id AS request_id, bad_field = '' AS success,
             CASE WHEN bad_field = '' THEN '' ELSE 'answer refused: invalid' END AS error,
             CASE WHEN bad_field = '' THEN level ELSE '' END AS level,
             CASE WHEN bad_field = '' THEN name ELSE '' END AS name,

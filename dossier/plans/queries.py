@@ -14,7 +14,7 @@ from ..functions.text import drop_blank_lines, strip_fences
 from ..operators import assemble, audits, derive, marts, nested, requests, responses, state
 from ..operators.contacts import contacts as find_contacts
 from ..operators.envelope import envelope as make_envelope
-from ..operators.intake import CALLERS, intake, judge_uploads
+from ..operators.intake import CALLERS, intake, judge_for_callers
 from ..schemas import LIST_SECTIONS
 from ..session import prepare, shared_dir, written
 from ..sources.profiles import append_changes, read_profiles, write_profiles
@@ -49,15 +49,13 @@ def intake_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _judged(spark, sf_dir, caller: str) -> DataFrame:
-    return judge_uploads(S.uploads(spark, sf_dir), caller).select(
-        F.lit(caller).alias("caller"), "upload_id", "reason", "status", "error"
-    )
+def _judged(spark, sf_dir) -> DataFrame:
+    return judge_for_callers(S.uploads(spark, sf_dir), list(CALLERS), ["upload_id"])
 
 
 def intake_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every upload under the rules of each caller."""
-    return _union([_judged(spark, sf_dir, c) for c in CALLERS]).select(
+    return _judged(spark, sf_dir).select(
         "caller",
         "upload_id",
         _or(F.col("reason"), "").alias("reason"),
@@ -79,7 +77,7 @@ def intake_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gates = _union([_judged(spark, sf_dir, c) for c in CALLERS]).select(
+    gates = _judged(spark, sf_dir).select(
         F.col("caller").alias("source"), F.col("reason").isNull().alias("success"), "reason", "status"
     )
     events = S.runs(spark, sf_dir).select(
@@ -112,7 +110,6 @@ def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _texts(df: DataFrame) -> DataFrame:
     return df.select(
         "doc_id",
-        _long(F.col("part")).alias("part"),
         _long(F.col("n_units")).alias("n_units"),
         _long(F.length("text")).alias("n_chars"),
         F.md5("text").alias("text_md5"),
@@ -259,7 +256,7 @@ def profile_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _accepted_profiles(made: DataFrame) -> DataFrame:
     return responses.accepted(S.profiles(made)).select(
-        "request_id", "person_id", "part", "profile"
+        "request_id", "person_id", "profile"
     )
 
 
@@ -302,7 +299,6 @@ def assemble_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     resume = F.col("resume")
     return S.resumes(spark, sf_dir).select(
         "person_id",
-        _long(F.col("part")).alias("part"),
         *[_long(F.size(resume.getField(s))).alias(f"n_{s}") for s in LIST_SECTIONS],
         F.md5(requests.resume_json(resume)).alias("resume_md5"),
     )
@@ -324,34 +320,13 @@ def _stored_resumes(spark, sf_dir) -> DataFrame:
 
 
 def flatten_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _stored_resumes(spark, sf_dir)
-    return _union(
-        [
-            nested.flatten(made, section, ["person_id"]).select(
-                "person_id",
-                F.lit(section).alias("section"),
-                _long(F.col("pos")).alias("pos"),
-                F.col(label).alias("label"),
-            )
-            for section, label in _LABELS.items()
-        ]
-    )
+    flat = nested.flatten_labels(S.resumes(spark, sf_dir), _LABELS, ["person_id"])
+    return flat.withColumn("pos", _long(F.col("pos")))
 
 
 def flatten_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _stored_resumes(spark, sf_dir)
-    return _union(
-        [
-            nested.flatten_inner(made, section, ["person_id"]).select(
-                "person_id",
-                F.lit(section).alias("section"),
-                _long(F.col("pos")).alias("pos"),
-                _long(F.col("inner_pos")).alias("inner_pos"),
-                "value",
-            )
-            for section in nested.INNER_LISTS
-        ]
-    )
+    flat = nested.flatten_inner_values(S.resumes(spark, sf_dir), ["person_id"])
+    return flat.withColumns({c: _long(F.col(c)) for c in ("pos", "inner_pos")})
 
 
 def _attached(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -415,7 +390,8 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def education_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = nested.flatten(S.resumes(spark, sf_dir), "education", ["person_id"])
+    entries = S.people(spark, sf_dir).filter("education IS NOT NULL")
+    entries = entries.select("person_id", F.lit(0).alias("pos"), "education.item.*")
     return derive.education_lines(entries, ["person_id"])
 
 
@@ -446,8 +422,7 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stat_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _stored_resumes(spark, sf_dir)
-    # A heavy person has an answer per part; the cards show the first one.
-    shown = _accepted_profiles(made).filter("part = 0").select("person_id", "profile")
+    shown = _accepted_profiles(made).select("person_id", "profile")
     return marts.stat_cards(made, shown)
 
 
@@ -506,14 +481,7 @@ def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _current(spark, sf_dir)
     views = {"user 7": ("7", "authenticated"), "nobody": (None, "anon"), "service": (None, "service_role")}
-    return _union(
-        [
-            state.visible_profiles(table, user, role).select(
-                F.lit(reader).alias("reader"), "user_id", "profile_data"
-            )
-            for reader, (user, role) in views.items()
-        ]
-    )
+    return state.visible_to(table, views).select("reader", "user_id", "profile_data")
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,9 +283,9 @@ def resume_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         otherwise="json",
     )
     made = resumes(spark, sf_dir).select(
-        "person_id", "part", resume_json(F.col("resume")).alias("json")
+        "person_id", resume_json(F.col("resume")).alias("json")
     )
-    return made.selectExpr("person_id", "part", f"{damaged} AS answer")
+    return made.selectExpr("person_id", f"{damaged} AS answer")
 
 
 PROFILE_ANSWER = f"""named_struct(
@@ -337,11 +337,10 @@ def profile_answers(made: DataFrame) -> DataFrame:
     )
     return (
         made.filter("startswith(resume.personal_info.name, 'Customer')")
-        .selectExpr("person_id", "part", f"to_json({PROFILE_ANSWER}) AS json")
+        .selectExpr("person_id", f"to_json({PROFILE_ANSWER}) AS json")
         .selectExpr(
-            "concat_ws('-', 'analysis', person_id, part) AS request_id",
+            "concat_ws('-', 'analysis', person_id) AS request_id",
             "person_id",
-            "part",
             f"{damaged} AS answer",
         )
     )

@@ -1,103 +1,30 @@
 """Keys that hold a large share of the rows.
 
-Aggregates with a partial step cope with such keys by themselves, and adaptive
-execution splits skewed joins of two plain shuffles. Two cases are left. Nesting puts
-all children of a key into one array: the children of heavy keys are split into parts,
-so that no array, and no task, has to take an unbounded group. A join with an aggregate
-of the same rows is not split by adaptive execution: the largest groups go through a
-broadcast of fixed length. All rows are kept in both cases.
+Aggregates with a partial step cope with such keys by themselves, and adaptive execution
+splits skewed joins of two plain shuffles. A join of rows with an aggregate of the same rows
+is not split by it: there the rows get a salt, and the narrow aggregate is repeated for every
+salt. The plan is the same at every size.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Children nested into one row before a key is split.
-MAX_ITEMS = 10_000
-
-# Heavy keys that are split. The list is broadcast, so its length is fixed: at most
-# this many narrow rows. A key beyond the list holds less than one in TOP_KEYS of all
-# rows, and is nested whole.
-TOP_KEYS = 100_000
-
-
-def heavy_keys(
-    children: list[DataFrame], key: str, max_items: int = MAX_ITEMS, top: int = TOP_KEYS
-) -> DataFrame:
-    """Keys with more than ``max_items`` children, with the number of parts each needs.
-
-    Children are counted with a partial aggregate over the key column alone.
-    """
-    keys = reduce(DataFrame.unionByName, [c.select(key) for c in children])
-    counts = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        counts.filter(F.col("n") > max_items)
-        .orderBy(F.desc("n"), key)
-        .limit(top)
-        .select(key, F.ceil(F.col("n") / max_items).cast("int").alias("n_parts"))
-    )
-
-
-def split_rows(rows: DataFrame, heavy: DataFrame | None, key: str, spread: str) -> DataFrame:
-    """Add ``part``: 0, or for a heavy key the part that the expression ``spread`` hashes to."""
-    if heavy is None:
-        return rows.selectExpr("*", "0 AS part")
-    part = f"nvl2(n_parts, CAST(pmod(xxhash64({spread}), n_parts) AS INT), 0) AS part"
-    return rows.join(F.broadcast(heavy), key, "left").selectExpr(
-        *[f"`{c}`" for c in rows.columns], part
-    )
-
-
-def repeat_rows(rows: DataFrame, heavy: DataFrame | None, key: str, where: str, spread: str) -> DataFrame:
-    """Like :func:`split_rows`, but rows that match ``where`` go to every part."""
-    if heavy is None:
-        return rows.selectExpr("*", "0 AS part")
-    parts = (
-        f"CASE WHEN n_parts IS NULL THEN array(0) WHEN {where} THEN sequence(0, n_parts - 1) "
-        f"ELSE array(CAST(pmod(xxhash64({spread}), n_parts) AS INT)) END"
-    )
-    return rows.join(F.broadcast(heavy), key, "left").selectExpr(
-        *[f"`{c}`" for c in rows.columns], f"explode({parts}) AS part"
-    )
-
-
-# Groups whose size is attached by broadcast. Their keys are short, so this many fit in
-# well under a megabyte. Any other group holds less than one in TOP_GROUPS of all rows.
-TOP_GROUPS = 1_000
-KEY_CHARS = 320
+# A key's rows meet their group's size in this many places; a power of two. The salt is cut
+# out by bits, which is never null, so that no filter on it keeps the exchange from being reused.
+SALTS = 32
 
 
-def with_group_size(
-    rows: DataFrame,
-    keys: list[str],
-    out: str,
-    min_rows: int = 10_000,
-    top: int = TOP_GROUPS,
-) -> DataFrame:
+def with_group_size(rows: DataFrame, keys: list[str], spread: str, out: str) -> DataFrame:
     """Add the number of rows that share ``keys``, as a window count would. Keys are not null.
 
-    Sizes are counted with a partial aggregate and joined back. The largest groups are
-    joined by broadcast, so that no task receives one of them whole; all others meet
-    their size in an ordinary join. ``rows`` is read three times: give it an exchange of
-    its own (``repartition``), which Spark then reuses.
+    ``spread`` is the column whose hash salts the rows. Sizes are counted with a partial
+    aggregate and joined back. ``rows`` is read twice: give it an exchange of its own
+    (``repartition``), which Spark then reuses.
     """
-    # Stated once for all branches; inferred from the joins alone, they would differ.
     rows = rows.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-    length = " + ".join(f"length(CAST(`{k}` AS STRING))" for k in keys)
-    # Long keys are left out after the limit: an earlier filter would reach into ``rows``
-    # and keep Spark from reusing its exchange. An anti join would do the same.
-    hot = (
-        sizes.filter(F.col(out) > min_rows)
-        .orderBy(F.desc(out), *keys)
-        .limit(top)
-        .filter(f"{length} <= {KEY_CHARS}")
-        .withColumnRenamed(out, "_size")
-    )
-    marked = rows.join(F.broadcast(hot), keys, "left")
-    large = marked.filter("_size IS NOT NULL").withColumnRenamed("_size", out)
-    other = marked.filter("_size IS NULL").drop("_size").join(sizes, keys)
-    return large.unionByName(other)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = rows.withColumn("_salt", F.xxhash64(spread).bitwiseAND(SALTS - 1).cast("int"))
+    return salted.join(sizes.select("*", salts), [*keys, "_salt"]).drop("_salt")

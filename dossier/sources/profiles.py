@@ -32,7 +32,9 @@ def layers_log(spark: SparkSession, path: str) -> DataFrame:
     """Published layers; empty if nothing was written yet."""
     try:
         return spark.read.schema(LOG).parquet(f"{path}/log")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOG)
 
 

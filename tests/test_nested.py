@@ -3,8 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from dossier.operators import nested
+from dossier.operators.marts import stat_cards
 from dossier.operators.responses import conform
-from dossier.skew import heavy_keys
 
 PEOPLE = "person_id long, personal_info struct<name string>, languages array<string>"
 
@@ -56,44 +56,46 @@ def test_one_exchange_groups_the_record(spark):
     assert top.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in top
 
 
-def test_heavy_person_is_split_and_stays_whole(spark):
-    """One person holds well over a third of all children."""
-    hot = [(0, i) for i in range(1000)]
-    cold = [(p, i) for p in range(1, 60) for i in range(20)]
-    skills = [(0, "skills", f"k{i % 3}", f"s{i}") for i in range(300)]
-    made = nested.assemble_resumes(
-        people(spark, 61), [jobs(spark, hot + cold)], pairs(spark, skills), max_items=50
-    ).cache()
-    parts = made.filter("person_id = 0").collect()
-    assert len(parts) == 26, "1300 children in parts of about 50"
-    assert max(len(p.resume.experience) for p in parts) < 150
-    assert sorted(e.company for p in parts for e in p.resume.experience) == sorted(
-        f"c{i}" for i in range(1000)
+def test_a_record_is_one_row_at_any_size(spark):
+    """One person with 50,000 children, many names in few groups, against a plain model."""
+    hot = [(0, i) for i in range(20_000)]
+    cold = [(p, i) for p in range(1, 60) for i in range(5)]
+    named = [(0, s, f"g{i % 3}", f"n{i}") for s in ("skills", "projects") for i in range(15_000)]
+    made = nested.assemble_resumes(people(spark, 61), [jobs(spark, hot + cold)], pairs(spark, named)).cache()
+    assert made.count() == 61
+    record = made.filter("person_id = 0").first().resume
+    assert [e.company for e in record.experience] == [f"c{i}" for i in range(20_000)]
+    want = [(f"g{g}", sorted(f"n{i}" for i in range(g, 15_000, 3))) for g in range(3)]
+    assert [(s.category, s.skills) for s in record.skills] == want
+    assert [(p.name, p.technologies) for p in record.projects] == want
+    cards = stat_cards(made, spark.createDataFrame([], "person_id long, profile struct<career_level string, profile_completeness struct<overall_score int>, total_years_experience double, inferred_job_roles array<string>>"))
+    shown = cards.filter("person_id = 0").first()
+    assert (shown.card_1, shown.card_2, shown.card_3, shown.card_4) == (
+        "20000 roles", "15000 found", "3 listed", "0 entries",
     )
-    held = [(s.category, n) for p in parts for s in p.resume.skills for n in s.skills]
-    assert sorted(held) == sorted((f"k{i % 3}", f"s{i}") for i in range(300))
-    assert sum(len(p.resume.languages) for p in parts) == 1, "owner columns are not repeated"
-    assert all(p.resume.personal_info.name == "n0" for p in parts)
-    rest = made.filter("person_id > 0")
-    assert rest.filter("part <> 0").count() == 0 and rest.count() == 60
-    assert rest.select(F.sum(F.size("resume.experience"))).first()[0] == len(cold)
+    flat = nested.flatten(made, "experience", ["person_id"]).filter("person_id = 0")
+    assert sorted((r.pos, r.company) for r in flat.collect()) == [(i, f"c{i}") for i in range(20_000)]
 
 
-def test_heavy_list_has_a_fixed_length(spark):
-    frame = spark.createDataFrame([(p,) for p in range(30) for _ in range(p)], "k long")
-    heavy = heavy_keys([frame], "k", max_items=5, top=4)
-    assert {r.k: r.n_parts for r in heavy.collect()} == {29: 6, 28: 6, 27: 6, 26: 6}
+def test_nest_skills_gives_one_row_per_person(spark):
+    rows = [(1, f"c{i % 4}", f"s{i % 9973}") for i in range(50_000)] + [(2, "c", "x"), (2, "c", "x")]
+    made = nested.nest_skills(spark.createDataFrame(rows, "person_id long, category string, skill string")).collect()
+    got = {r.person_id: [(s.category, s.skills) for s in r.skills] for r in made}
+    want = {c: sorted({s for p, k, s in rows if p == 1 and k == c}) for c in ("c0", "c1", "c2", "c3")}
+    assert len(made) == 2 and got == {1: list(want.items()), 2: [("c", ["x"])]}
 
 
-def test_nest_skills_with_a_heavy_person(spark):
-    rows = [(1, f"c{i % 4}", f"s{i % 97}") for i in range(2000)] + [(2, "c", "x"), (2, "c", "x")]
-    frame = spark.createDataFrame(rows, "person_id long, category string, skill string")
-    whole = nested.nest_skills(frame)
-    assert {r.person_id: len(r.skills) for r in whole.collect()} == {1: 4, 2: 1}
-    split = nested.nest_skills(frame, max_items=40).collect()
-    got = sorted((r.person_id, s.category, n) for r in split for s in r.skills for n in s.skills)
-    assert got == sorted(set(rows))
-    assert sum(r.person_id == 1 for r in split) > 5
+def test_one_pass_flattening_equals_the_others(spark):
+    frame = spark.createDataFrame([(1, json.dumps(RECORD)), (2, "{}")], "id int, a string")
+    made = conform(frame, "a", "resume")
+    flat = nested.flatten_labels(made, {"experience": "company", "languages": "value"}, ["id"]).collect()
+    assert sorted((r.section, r.pos, r.label) for r in flat) == [
+        ("experience", 0, "a"), ("experience", 1, "b"), ("languages", 0, "de"), ("languages", 1, "fr"),
+    ]
+    inner = nested.flatten_inner_values(made, ["id"]).collect()
+    assert sorted((r.section, r.pos, r.inner_pos, r.value) for r in inner) == [
+        ("experience", 0, 0, "x"), ("experience", 0, 1, "y"), ("skills", 0, 0, "p"), ("skills", 0, 1, "q"),
+    ]
 
 
 RECORD = {
@@ -125,10 +127,10 @@ def test_flatten_and_back(spark):
 
 def test_every_request_is_answered_or_listed(spark):
     resumes = conform(
-        spark.createDataFrame([(i, 0, "{}") for i in range(4)], "person_id int, part int, a string"),
+        spark.createDataFrame([(i, "{}") for i in range(4)], "person_id int, a string"),
         "a", "resume",
-    ).select("person_id", "part", "resume")
-    requests = resumes.selectExpr("concat('r', person_id) AS request_id", "person_id", "part")
+    ).select("person_id", "resume")
+    requests = resumes.selectExpr("concat('r', person_id) AS request_id", "person_id")
     answers = spark.createDataFrame([("r1", "p"), ("r3", "p"), ("r9", "p")], "request_id string, profile string")
     joined, missing = nested.attach_resume(answers, requests, resumes)
     assert sorted(r.request_id for r in joined.collect()) == ["r1", "r3"]

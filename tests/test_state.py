@@ -1,3 +1,4 @@
+import pytest
 import json
 import random
 from datetime import datetime, timedelta
@@ -174,4 +175,16 @@ def test_shared_folder_is_the_one_the_cluster_names():
     from dossier.session import shared_dir
 
     assert shared_dir(Conf(spark_checkpoint_dir="hdfs:///shared/cp/")) == "hdfs:///shared/cp"
-    assert "dossier-" in shared_dir(Conf())
+    assert "dossier-" in shared_dir(Conf(spark_master="local[4]"))
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077", ""):
+        with pytest.raises(ValueError):
+            shared_dir(Conf(spark_master=master))
+
+
+def test_the_table_refuses_rows_without_user_or_payload(spark):
+    runs = frame(spark, [run(1, "a"), run(2, None), run(3, "b")]).withColumn(
+        "profile_data", F.when(F.col("run_id") != 3, F.col("profile_data"))
+    )
+    assert [r.user_id for r in state.batch_changes(runs).collect()] == ["a"]
+    refused = {r.run_id: r.reason for r in state.refused_runs(runs).collect()}
+    assert refused == {2: "null_user_id", 3: "null_profile_data"}

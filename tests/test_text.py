@@ -58,25 +58,14 @@ def test_pages_keep_blanks_and_paragraphs_drop_them(spark):
     assert got == {1: ("a\n \nc\n", 4), 2: (" a \nb", 2), 3: ("", 0)}
 
 
-def test_long_documents_come_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(assemble, "UNITS_PER_PART", 3)
-    rows = [(1, i, f"p{i}", "page") for i in range(10)] + [(2, 0, "x", "page")]
-    parts = assemble.assemble_pages(units(spark, rows))
-    texts = sorted((r.part, r.text, r.n_units) for r in parts.filter("doc_id = 1").collect())
-    assert "\n".join(t for _, t, _ in texts) == "\n".join(f"p{i}" for i in range(10))
-    assert max(n for _, _, n in texts) == 3
-    for limit in (1, 4, 8, 9, 10, 20, 1000):
-        lead = {r.doc_id: r.text for r in assemble.leading_text(parts, limit).collect()}
-        assert lead == {1: "\n".join(f"p{i}" for i in range(10))[:limit], 2: "x"}
-
-
-def test_parts_without_units_add_nothing(spark, monkeypatch):
-    monkeypatch.setattr(assemble, "UNITS_PER_PART", 2)
-    blank_then_text = [(1, i, t, "paragraph") for i, t in enumerate([" ", "", "a", " ", "", "", "b"])]
-    blank_pages = [(2, i, t, "page") for i, t in enumerate(["", "", "", "c"])]
-    parts = assemble.assemble_units(units(spark, blank_then_text + blank_pages))
-    lead = {r.doc_id: r.text for r in assemble.leading_text(parts, 100).collect()}
-    assert lead == {1: "a\nb", 2: "\n\n\nc"}
+def test_a_document_is_one_row_at_any_size(spark):
+    rows = [(1, i, f"p{i}", "page") for i in range(40_000)] + [(2, 7, "x", "page"), (2, 10**9, "y", "page")]
+    texts = assemble.assemble_pages(units(spark, rows))
+    got = {r.doc_id: (r.text, r.n_units) for r in texts.collect()}
+    whole = "\n".join(f"p{i}" for i in range(40_000))
+    assert got == {1: (whole, 40_000), 2: ("x\ny", 2)}
+    lead = {r.doc_id: r.text for r in assemble.leading_text(texts).collect()}
+    assert lead == {1: whole[:12_000], 2: "x\ny"}
 
 
 def test_requests_take_text_as_data(spark):
@@ -85,7 +74,7 @@ def test_requests_take_text_as_data(spark):
     rows = {r.doc_id: r for r in requests.extraction_requests(docs).collect()}
     t = requests.EXTRACTION
     assert rows[1].prompt == t.before + text + t.after
-    assert rows[2].prompt == t.before + "z" * 12000 + t.after
+    assert rows[2].prompt == t.before + "z" * 13000 + t.after
     assert (rows[1].temperature, rows[1].max_tokens) == (0.1, 4096)
 
 
