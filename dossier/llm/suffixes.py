@@ -33,6 +33,9 @@ WINDOW = LENGTH - SEED + 1  # strings of SEED bytes in a window; anchors are les
 
 # Texts are hashed in parts of this many bytes; bounds memory, not results.
 PART = 1 << 20
+# Symbols of a prefix that the suffix array tells apart. In text of very short periods a window
+# holds more anchors; such windows are compared exactly like those at edges.
+DEPTH = 27
 GAP = -1  # stands for anchors that occur once
 END = -2  # what follows a string
 
@@ -126,15 +129,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Parsed:
-    """Anchors of one stored row."""
+    """Anchors of one row: places, and the windows of each."""
 
-    def __init__(self, n: int, hashes: bytes, places: bytes, firsts: bytes):
-        self.n = n
-        self.hash = np.frombuffer(hashes, dtype="<u8")
+    def __init__(self, n: int, places: bytes, firsts: bytes):
         self.place = np.cumsum(np.frombuffer(places, dtype="<u1").astype(np.int64))
         self.first = self.place - np.frombuffer(firsts, dtype="<u1")
         # Windows of an anchor end where those of the next begin.
-        self.last = np.append(self.first[1:] - 1, n - LENGTH) if len(self.hash) else self.first
+        self.last = np.append(self.first[1:] - 1, n - LENGTH) if len(self.place) else self.first
 
 
 def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,29 +168,41 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(h[out]), pa.array(row[out])], ["h", "row"])
 
 
+_LIVE = (
+    "row long, doc long, n long, places binary, firsts binary, repeated binary, hashes binary, suffix binary, "
+    "symbols array<long>, need array<long>, digest array<long>"
+)
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: its string of symbols, and for each suffix how much of it its windows need.
 
     ``digest`` stands for the needed prefix; 0 where no window asks for this suffix or the
-    string of repeated anchors ends too early.
+    string of repeated anchors ends too early. ``suffix`` gives for each anchor the suffix
+    that covers its windows, -1 if none does. Hashes are kept of repeated anchors only.
     """
-    names = ["row", "symbols", "need", "digest"]
+    names = [f.split()[0] for f in _LIVE.split(", ")]
+    types = [*[pa.binary()] * 4, *[pa.list_(pa.int64())] * 3]
     for batch in batches:
-        out: list[list] = [[], [], []]
-        for n, h, p, f, known in zip(*[batch.column(i).to_pylist() for i in range(1, 6)], strict=True):
-            t = Parsed(n, h, p, f)
-            s = _string_of(t, np.array(known, dtype=np.int64).view(np.uint64))
-            for c, v in zip(out, s[:3], strict=True):
+        out: list[list] = [[] for _ in range(7)]
+        firsts = []
+        for n, h, p, f, known in zip(*[batch.column(i).to_pylist() for i in range(2, 7)], strict=True):
+            hashes = np.frombuffer(h, dtype="<u8")
+            repeated = np.isin(hashes, np.array(known, dtype=np.int64).view(np.uint64))
+            symbols, need, digest, suffix = _string_of(Parsed(n, p, f), hashes, repeated)
+            firsts.append(f)
+            blobs = (p, repeated.tobytes(), hashes[repeated].tobytes(), suffix.astype("<i4").tobytes())
+            for c, v in zip(out, (*blobs, symbols, need, digest), strict=True):
                 c.append(v)
-        kind = pa.list_(pa.int64())
-        yield pa.record_batch([batch.column(0), *[pa.array(c, kind) for c in out]], names)
+        made = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+        head = [batch.column(i) for i in range(3)]
+        yield pa.record_batch([*head, made[0], pa.array(firsts, pa.binary()), *made[1:]], names)
 
 
-def _string_of(t: Parsed, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, needs, digests; the string's position of each anchor (-1: none); the suffix for it (-1: none)."""
-    rep = np.isin(t.hash, known)
+def _string_of(t: Parsed, hashes: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, needs and digests of a string, and the suffix for each anchor."""
     far = np.append(np.diff(t.place), 0).astype(np.uint64)
-    symbol = (_mix(t.hash + far * _B) >> np.uint64(1)).view(np.int64)
+    symbol = (_mix(hashes + far * _B) >> np.uint64(1)).view(np.int64)
     # A run of unrepeated anchors becomes one gap.
     kept = rep | np.append(True, rep[:-1])
     where = np.where(rep, np.cumsum(kept) - 1, -1)
@@ -206,7 +219,7 @@ def _string_of(t: Parsed, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         v = np.searchsorted(t.place + SEED, t.last[u] + LENGTH)
         inside = (p >= 0) & (v < len(rep))
         p, v = np.where(inside, p, u), np.where(inside, v, u)
-        inside &= rep[p] & rep[v] & (run[p] == run[v])
+        inside &= rep[p] & rep[v] & (run[p] == run[v]) & (v - p < DEPTH)
         u, p, v = u[inside], p[inside], v[inside]
         suffix[u] = where[p]
         np.maximum.at(need, where[p], where[v] - where[p] + 1)
@@ -214,7 +227,7 @@ def _string_of(t: Parsed, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(symbols.view(np.uint64) * up[:size])))
         at = np.flatnonzero(need)
         digest[at] = (_mix((sums[at + need[at]] - sums[at]) * down[at]) ^ need[at].astype(np.uint64)).view(np.int64) | 1
-    return symbols, need, digest, where, suffix
+    return symbols, need, digest, suffix
 
 
 def _long_powers(size: int) -> list[np.ndarray]:
@@ -225,69 +238,78 @@ def _long_powers(size: int) -> list[np.ndarray]:
 
 
 def ordered(
-    store: Stored, rows: DataFrame, keys: list[str], ties: list[str], count: str = "false", names: list[str] | None = None
+    store: Stored,
+    rows: DataFrame,
+    keys: list[str],
+    ties: list[str],
+    keep: list[str],
+    count: str = "false",
+    names: list[str] | None = None,
 ) -> DataFrame:
-    """Rows with their global place ``pos`` in the order of keys and ties, from 0, and two more.
+    """Columns ``keep`` of all rows, with their places in the order of keys and ties.
 
-    ``before``: rows before it for which ``count`` holds. ``name``: how often the keys (or the
-    columns ``names``) have changed up to it, from 1. Rows are dealt by ranges of keys and ties, so a very frequent key
-    is spread over tasks; the driver gets one summary per partition.
+    ``pos``: global place from 0. ``before``: rows before it for which ``count`` holds.
+    ``name``: how often the keys (or the columns ``names``) have changed up to it, from 1. Rows
+    are dealt by ranges of keys and ties, so a very frequent key is spread over tasks. Each
+    partition closes with a summary row; these alone come to the driver.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("counted", F.expr(count))
     columns = rows.columns
-    k = [columns.index(c) for c in names or keys]
-    at_counted = columns.index("counted")
+    by = [columns.index(c) for c in names or keys]
+    at_counted, kept = columns.index("counted"), [columns.index(c) for c in keep]
+    out_names = [*keep, "part", "pos", "before", "name", "summary"]
+    nothing = pa.list_(pa.int64())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last, pos, before, name = None, 0, 0, 0
+        first = last = None
+        pos = before = name = 0
+        types: list[pa.DataType] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in k]
-            first = tuple(c[0] for c in cols)
+            cols = [batch.column(i).to_numpy() for i in by]
+            head = [int(c[0]) for c in cols]
             new = np.zeros(batch.num_rows, dtype=bool)
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
-            new[0] = last is None or last != first
+            new[0] = last != head
             named = name + np.cumsum(new)
             held = batch.column(at_counted).to_numpy(zero_copy_only=False).astype(np.int64)
             counts = before + np.cumsum(held) - held
             places = pos + np.arange(batch.num_rows)
-            last, name = tuple(c[-1] for c in cols), int(named[-1])
-            pos, before = pos + batch.num_rows, int(counts[-1] + held[-1])
+            first, last = first or head, [int(c[-1]) for c in cols]
+            pos, before, name = pos + batch.num_rows, int(counts[-1] + held[-1]), int(named[-1])
+            types = [batch.column(i).type for i in kept]
             add = [pa.array(np.full(batch.num_rows, part, dtype=np.int32)), *map(pa.array, (places, counts, named))]
-            yield pa.record_batch([*batch.columns, *add], [*columns, "part", "pos", "before", "name"])
+            yield pa.record_batch([*[batch.column(i) for i in kept], *add, pa.nulls(batch.num_rows, nothing)], out_names)
+        if last is not None:
+            summary = pa.array([[pos, before, name, *first, *last]], nothing)
+            none = [pa.nulls(1, t) for t in [*types, *[pa.int64()] * 3]]
+            yield pa.record_batch([*none[: len(kept)], pa.array([part], pa.int32()), *none[len(kept) :], summary], out_names)
 
     dealt = rows.repartitionByRange(n, *keys, *ties).sortWithinPartitions(*keys, *ties)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    local = store.write(dealt.mapInArrow(number, f"{schema}, part int, pos long, before long, name long"))
-    key = F.struct(*(names or keys))
-    parts = (
-        local.groupBy("part")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("counted").cast("long")).alias("held"),
-            F.max("name").alias("names"),
-            F.min_by(key, "pos").alias("low"),
-            F.max_by(key, "pos").alias("high"),
-        )
-        .orderBy("part")
-        .collect()
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    local = store.write(
+        dealt.mapInArrow(number, f"{schema}, part int, pos long, before long, name long, summary array<long>")
     )
-    offsets = [(0, 0, 0)] * (max((r.part for r in parts), default=0) + 1)
+    parts = {r.part: r.summary for r in local.filter("summary IS NOT NULL").select("part", "summary").collect()}
+    offsets = [(0, 0, 0)] * (max(parts, default=0) + 1)
     pos = before = name = 0
     last = None
-    for r in parts:
-        name -= last is not None and r.low == last
-        offsets[r.part] = (pos, before, name)
-        pos, before, name, last = pos + r.n, before + r.held, name + r.names, r.high
+    for part in sorted(parts):
+        size, held, changes, *ends = parts[part]
+        # A key that goes on from the partition before keeps its name.
+        name -= last == ends[: len(by)]
+        offsets[part] = (pos, before, name)
+        pos, before, name, last = pos + size, before + held, name + changes, ends[len(by) :]
 
     def shifted(column: str, i: int) -> Column:
-        return (F.col(column) + F.expr(f"element_at(array({','.join(f'{o[i]}L' for o in offsets)}), part + 1)")).alias(column)
+        offset = F.expr(f"element_at(array({','.join(f'{o[i]}L' for o in offsets)}), part + 1)")
+        return (F.col(column) + offset).alias(column)
 
-    out = local.select(*columns, shifted("pos", 0), shifted("before", 1), shifted("name", 2))
+    out = local.filter("summary IS NULL").select(*keep, shifted("pos", 0), shifted("before", 1), shifted("name", 2))
     out.stored_at, out.n_rows, out.n_names = local.stored_at, pos, name
     return out
 
@@ -323,7 +345,7 @@ def suffix_ranks(store: Stored, strings: DataFrame, depth: int) -> DataFrame:
             )
         ),
     )
-    named = ordered(store, sample, ["a", "b", "c"], ["row", "i"], "false")
+    named = ordered(store, sample, ["a", "b", "c"], ["row", "i"], ["row", "i"])
     total, spent = named.n_rows, [named]
     if depth <= 3 or named.n_names == total:
         ranked = named.select("row", "i", F.col("pos").alias("r"))
@@ -350,34 +372,28 @@ def suffix_ranks(store: Stored, strings: DataFrame, depth: int) -> DataFrame:
         at = F.when(i % 3 == 1, F.floor(i / 3)).otherwise(F.col("half") + F.floor(i / 3)).cast("int")
         return F.when(i < F.size(s), F.get(F.col("r"), at)).otherwise(F.lit(-1).cast("long"))
 
+    both = store.write(both.filter(F.size(s) > 0))
     every = F.sequence(F.lit(0), F.size(s) - 1)
-    rows = both.filter(F.size(s) > 0).select(
-        "row",
-        F.inline(
-            F.transform(
-                every,
-                lambda i: F.struct(
-                    i.alias("i"),
-                    symbol(i).alias("a"),
-                    F.when(i % 3 != 1, symbol(i + 1)).alias("b"),
-                    F.when(i % 3 != 2, rank(i + 1)).alias("r1"),
-                    F.when(i % 3 != 1, rank(i + 2)).alias("r2"),
-                    F.when(i % 3 != 0, rank(i)).alias("r"),
-                ),
-            )
-        ),
-    )
-    rows = store.write(rows)
-    zero = "i % 3 = 0"
-    first = ordered(store, rows.filter("i % 3 <> 2").select("row", "i", "a", "r1", F.coalesce("r", F.lit(0)).alias("r")), ["a", "r1"], ["row", "i"], zero)
-    second = ordered(store, rows.filter("i % 3 <> 1").select("row", "i", "a", "b", "r2", F.coalesce("r", F.lit(0)).alias("r")), ["a", "b", "r2"], ["row", "i"], zero)
+
+    def merged(left_out: int, **fields: Callable[[Column], Column]) -> DataFrame:
+        """Positions but those with one remainder, with their keys and, if sampled, their rank."""
+        places = F.filter(every, lambda i: i % 3 != left_out)
+        own = lambda i: F.when(i % 3 != 0, rank(i)).otherwise(F.lit(0).cast("long"))
+        fields = {"i": lambda i: i, **fields, "r": own}
+        return both.select("row", F.inline(F.transform(places, lambda i: F.struct(*[f(i).alias(c) for c, f in fields.items()]))))
+
+    zero, keep = "i % 3 = 0", ["row", "i", "r"]
+    first = merged(2, a=symbol, r1=lambda i: rank(i + 1))
+    first = ordered(store, first, ["a", "r1"], ["row", "i"], keep, zero)
+    second = merged(1, a=symbol, b=lambda i: symbol(i + 1), r2=lambda i: rank(i + 2))
+    second = ordered(store, second, ["a", "b", "r2"], ["row", "i"], keep, zero)
     parts = first.select("row", "i", F.expr(f"CASE WHEN {zero} THEN pos - before ELSE r + before END AS rank")).unionByName(
         second.select("row", "i", F.expr(f"CASE WHEN {zero} THEN pos ELSE r + before END AS rank"))
     )
     n = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     summed = parts.repartition(n, "row").groupBy("row", "i").agg(F.sum("rank").alias("rank"))
     out = store.write(_per_string(summed, "rank", ["i"]))
-    store.drop(ranks, rows, first, second)
+    store.drop(ranks, both, first, second)
     return out
 
 
@@ -394,37 +410,61 @@ def _numbered(docs: DataFrame) -> DataFrame:
     )
 
 
+def _asked(row: tuple) -> tuple[Parsed, np.ndarray, np.ndarray]:
+    """Anchors whose windows are compared one by one, and their hashes.
+
+    These are the first places of passages, and repeated anchors that are in none.
+    """
+    n, places, firsts, repeated, hashes, suffix, open_ = row
+    rep = np.flatnonzero(np.frombuffer(repeated, dtype=bool))
+    own = np.frombuffer(suffix, dtype="<i4")[rep]
+    asked = (own < 0) | np.isin(own, np.array(open_ or [], dtype=np.int64))
+    return Parsed(n, places, firsts), rep[asked], np.frombuffer(hashes, dtype="<u8")[asked]
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the asked anchors, once per text and a second time if one occurs again."""
+    for batch in batches:
+        found, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for row, *rest in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+            h, n = np.unique(_asked(tuple(rest))[2], return_counts=True)
+            found.append(np.repeat(h, np.minimum(n, 2)))
+            rows.append(np.full(len(found[-1]), row))
+        yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["h", "row"])
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the passages' first places: ``h, doc, row, at``."""
+    """Windows of asked anchors that others share: ``h, no, at, again``.
+
+    A window that stands earlier in the same text is marked as such and takes any ``h``, so
+    that a text of one period is spread.
+    """
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+        parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
         cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for row, doc, text, n, h, p, f, known, open_ in zip(*cols, strict=True):
-            t = Parsed(n, h, p, f)
-            suffix = _string_of(t, np.array(known or [], dtype=np.int64).view(np.uint64))[4]
-            rep = np.isin(t.hash, np.array(known or [], dtype=np.int64).view(np.uint64))
-            # Without a suffix of their own, and first places of passages.
-            ask = np.flatnonzero(rep & ((suffix < 0) | np.isin(suffix, np.array(open_ or [], dtype=np.int64))))
-            if not len(ask):
-                continue
+        for no, text, shared, *rest in zip(*cols, strict=True):
+            t, ask, hashes = _asked(tuple(rest))
+            ask = ask[np.isin(hashes, np.array(shared, dtype=np.int64).view(np.uint64)) & (t.last[ask] >= t.first[ask])]
             many = t.last[ask] - t.first[ask] + 1
             starts = np.repeat(t.first[ask] - np.cumsum(many) + many, many) + np.arange(many.sum())
             found = window_hashes(np.frombuffer(_bytes_of(text), dtype=np.uint8), starts)
-            for c, v in zip(parts, (found.view(np.int64), np.full(len(starts), doc), np.full(len(starts), row), starts), strict=True):
+            again = np.ones(len(found), dtype=np.int64)
+            again[np.unique(found, return_index=True)[1]] = 0
+            found = np.where(again == 1, _mix(found + starts.astype(np.uint64)), found)
+            for c, v in zip(parts, (found.view(np.int64), np.full(len(starts), no), starts, again), strict=True):
                 c.append(v)
-        flat = [np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in parts]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in flat], ["h", "doc", "row", "at"])
+        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in parts], ["h", "no", "at", "again"])
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h and place those that are not the first of their h."""
+    """Of rows sorted by h and place those that are not the first of their h, or are marked."""
     last = None
     for batch in batches:
         if batch.num_rows:
-            h = batch.column(0).to_numpy()
+            h, marked = batch.column(0).to_numpy(), batch.column(3).to_numpy() == 1
             same = np.append(h[0] == last, h[1:] == h[:-1])
             last = h[-1]
-            yield batch.filter(pa.array(same)).select(["row", "at"])
+            yield batch.filter(pa.array(same | marked)).select(["no", "at"])
 
 
 def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -455,23 +495,22 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     # Of copies of a whole text only the first takes part from here on.
     whole = parsed.filter(f"n >= {LENGTH}").groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("f"))
     firsts = store.write(whole.select("f.row"))
-    kept = store.write(parsed.join(firsts, "row", "left_semi"))
-    store.drop(parsed)
     # Anchors that occur again, in this text or another.
-    emitted = kept.select("row", "hashes").mapInArrow(_emit_hashes, "h long, row long")
+    emitted = parsed.select("row", "hashes").join(firsts, "row", "left_semi").mapInArrow(_emit_hashes, "h long, row long")
     again = emitted.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, row long")
-    live = store.write(kept.join(again.groupBy("row").agg(F.collect_set("h").alias("known")), "row"))
-    store.drop(kept)
-    parts = "row long, symbols array<long>, need array<long>, digest array<long>"
-    strings = store.write(live.select("row", "n", "hashes", "places", "firsts", "known").mapInArrow(_strings, parts))
-    depth = strings.agg(F.max(F.array_max("need")).alias("d")).first().d or 0
+    known = again.groupBy("row").agg(F.collect_set("h").alias("known"))
+    columns = ["row", "doc", "n", "hashes", "places", "firsts", "known"]
+    live = store.write(parsed.join(known, "row").select(*columns).mapInArrow(_strings, _LIVE))
+    store.drop(parsed)
+    depth = live.agg(F.max(F.array_max("need")).alias("d")).first().d or 0
     marks = spark.createDataFrame([], "row long, open array<int>, gone array<int>")
     if depth:
-        ranks = suffix_ranks(store, strings.select("row", "symbols"), depth)
+        ranks = suffix_ranks(store, live.select("row", "symbols"), depth)
         zipped = F.posexplode(F.arrays_zip("rank", "digest")).alias("i", "x")
-        suffix = strings.join(ranks, "row").select("row", zipped).select("row", "i", "x.*").filter("digest <> 0")
+        suffix = live.select("row", "doc", "digest").join(ranks, "row").select("row", "doc", zipped)
+        suffix = suffix.select("row", "doc", "i", "x.*").filter("digest <> 0")
         # Neighbours in the suffix array with equal prefixes are one passage.
-        array = ordered(store, suffix.join(live.select("row", "doc"), "row"), ["rank"], [], names=["digest"])
+        array = ordered(store, suffix, ["rank"], [], ["row", "doc", "i"], names=["digest"])
         lead = array.groupBy("name").agg(F.min(F.struct("doc", "row", "i")).alias("f"))
         lead = lead.select("name", "f.row", "f.i", F.lit(True).alias("lead"))
         marked = array.select("name", "row", "i").join(lead, ["name", "row", "i"], "left")
@@ -482,17 +521,23 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
             )
         )
         store.drop(array, ranks)
-    store.drop(strings)
-    judged = store.write(live.drop("digest", "doc").join(marks, "row", "left"))
+    # Rows get numbers in the order that decides which place is first.
+    order = ordered(store, live.select("row", "doc"), ["doc", "row"], [], ["row"]).select("row", F.col("pos").alias("no"))
+    string = ["n", "places", "firsts", "repeated", "hashes", "suffix", "open"]
+    judged = live.join(marks, "row", "left").join(order, "row").select("row", "no", *string, "gone")
+    judged = store.write(judged)
     store.drop(live)
-    # Windows that begin or end outside a passage's agreed part: compared one by one.
-    columns = ["row", "doc", "text", "n", "hashes", "places", "firsts", "known", "open"]
-    edge = texts.select("row", "doc", "text").join(judged.drop("gone"), "row").select(*columns)
-    windows = edge.mapInArrow(_edges, "h long, doc long, row long, at long")
-    windows = windows.repartition(n, "h").sortWithinPartitions("h", "doc", "row", "at")
-    later = windows.mapInArrow(_again, "row long, at long").groupBy("row").agg(F.collect_list("at").alias("at"))
-    found = store.write(judged.drop("open").join(later, "row", "left"))
-    store.drop(judged)
+    # Windows that begin or end outside a passage's agreed part: compared one by one, if another
+    # such window has the same anchor.
+    asks = judged.select("row", *string).mapInArrow(_ask, "h long, row long").repartition(n, "h").sortWithinPartitions("h")
+    shared = asks.mapInArrow(_repeated, "h long, row long").groupBy("row").agg(F.collect_set("h").alias("shared"))
+    edge = judged.select("row", "no", *string).join(shared, "row")
+    edge = texts.select("row", "text").join(edge, "row").select("no", "text", "shared", *string)
+    windows = edge.mapInArrow(_edges, "h long, no long, at long, again long")
+    windows = windows.repartition(n, "h").sortWithinPartitions("h", "no", "at")
+    later = windows.mapInArrow(_again, "no long, at long").groupBy("no").agg(F.collect_list("at").alias("at"))
+    later = store.write(later)
+    found = judged.join(later, "no", "left").select("row", "n", "places", "firsts", "suffix", "gone", "at")
     every = texts.join(firsts.select("row", F.lit(True).alias("leads")), "row", "left").join(found, "row", "left")
     fields = [f.strip().split()[0] for f in schema.split(",")]
     kinds = {"long": pa.int64(), "string": pa.string()}
@@ -510,7 +555,7 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
             yield pa.record_batch([cols["rest"], *made.columns], ["rest", *fields])
 
     rest = every.schema["rest"].dataType.simpleString()
-    return every.select("text", "leads", "n", "hashes", "places", "firsts", "known", "gone", "at", "rest").mapInArrow(
+    return every.select("text", "leads", "n", "places", "firsts", "suffix", "gone", "at", "rest").mapInArrow(
         finished, f"rest {rest}, {schema}"
     )
 
@@ -520,15 +565,12 @@ def _spans(raw: bytes, row: dict) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64)
     if len(raw) >= LENGTH and not row["leads"]:
         return np.array([0]), np.array([len(raw)])
-    if row["hashes"] is None:
+    if row["places"] is None:
         return none, none
-    t = Parsed(row["n"], row["hashes"], row["places"], row["firsts"])
+    t = Parsed(row["n"], row["places"], row["firsts"])
     gone, at = (np.array(row[c] or [], dtype=np.int64) for c in ("gone", "at"))
-    u = none
-    if len(gone):
-        suffix = _string_of(t, np.array(row["known"], dtype=np.int64).view(np.uint64))[4]
-        u = np.flatnonzero((suffix >= 0) & np.isin(suffix, gone))
-        u = u[t.last[u] >= t.first[u]]
+    suffix = np.frombuffer(row["suffix"], dtype="<i4")
+    u = np.flatnonzero((suffix >= 0) & np.isin(suffix, gone) & (t.last >= t.first))
     return _union(np.concatenate((t.first[u], at)), np.concatenate((t.last[u], at)) + LENGTH)
 
 
