@@ -289,7 +289,8 @@ def ordered(
             none = [pa.nulls(1, t) for t in [*types, *[pa.int64()] * 3]]
             yield pa.record_batch([*none[: len(kept)], pa.array([part], pa.int32()), *none[len(kept) :], summary], out_names)
 
-    dealt = rows.repartitionByRange(n, *keys, *ties).sortWithinPartitions(*keys, *ties)
+    # The table is written once, so equal keys may stand in any order inside a partition.
+    dealt = rows.repartitionByRange(n, *keys, *ties).sortWithinPartitions(*keys)
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     local = store.write(
         dealt.mapInArrow(number, f"{schema}, part int, pos long, before long, name long, summary array<long>")
@@ -314,10 +315,104 @@ def ordered(
     return out
 
 
-def _per_string(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """One array of values per string; a string is as long as its text at most."""
-    packed = F.array_sort(F.collect_list(F.struct(*order, value)))
-    return rows.groupBy("row").agg(F.transform(packed, lambda x: x[value]).alias(value))
+class Places:
+    """Every position of the strings of a batch, and what stands behind it."""
+
+    def __init__(self, rows: pa.Array, symbols: pa.Array, ranks: pa.Array | None = None):
+        size = _sizes(symbols)
+        self.symbols = symbols.flatten().to_numpy()
+        self.row = np.repeat(rows.to_numpy(), size)
+        self.i = np.arange(len(self.symbols)) - np.repeat(np.cumsum(size) - size, size)
+        self.left = np.repeat(size, size) - self.i
+        self.rank = np.zeros(len(self.i), dtype=np.int64)
+        if ranks is not None:
+            # Ranks of sampled positions: first those after a multiple of three, then the others.
+            known = _sizes(ranks)
+            at = np.repeat(np.cumsum(known) - known, size) + self.i // 3
+            at += np.where(self.i % 3 == 2, np.repeat((size + 1) // 3, size), 0)
+            sampled = self.i % 3 != 0
+            self.rank[sampled] = ranks.flatten().to_numpy()[at[sampled]]
+
+    def ahead(self, values: np.ndarray, step: int, end: int) -> np.ndarray:
+        """The values ``step`` positions further on, ``end`` past the end of the string."""
+        out = np.full(len(values), end, dtype=np.int64)
+        inside = np.flatnonzero(self.left > step)
+        out[inside] = values[inside + step]
+        return out
+
+    def batch(self, take: np.ndarray, **keys: np.ndarray) -> pa.RecordBatch:
+        columns = {"row": self.row, "i": self.i.astype(np.int32), **keys}
+        return pa.record_batch([pa.array(c[take]) for c in columns.values()], list(columns))
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _triples(every: bool) -> Callable:
+    """Three symbols from each position on, or from those not divisible by three."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = Places(*batch.columns)
+            s = p.symbols
+            yield p.batch((p.i % 3 != 0) | every, a=s, b=p.ahead(s, 1, END), c=p.ahead(s, 2, END))
+
+    return make
+
+
+def _halves(left_out: int) -> Callable:
+    """Positions but those with one remainder, with the keys that order them, and known ranks."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = Places(*batch.columns)
+            s = p.symbols
+            keys = {"a": s, "r1": p.ahead(p.rank, 1, -1)} if left_out == 2 else {"a": s, "b": p.ahead(s, 1, END), "r2": p.ahead(p.rank, 2, -1)}
+            yield p.batch(p.i % 3 != left_out, **keys, r=p.rank)
+
+    return make
+
+
+def _per_string(rows: DataFrame, value: str, sampled: bool = False, gap: bool = False) -> DataFrame:
+    """One array of values per string, in the order of positions ``i``; values of one place are added.
+
+    ``sampled`` puts positions after a multiple of three first, and ``gap`` a 0 behind these.
+    A string is as long as its text at most; a task holds one string and one batch.
+    """
+
+    def close(pieces: list[list[np.ndarray]]) -> pa.RecordBatch:
+        row, i, v = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        place = np.where(i % 3 == 1, 0, 1 << 32) + i if sampled else i
+        by = np.lexsort((place, row))
+        row, i, v = row[by], i[by], v[by]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (i[1:] != i[:-1])))
+        row, i, v = row[new], i[new], np.add.reduceat(v, new)
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        names, ends = row[starts], np.append(starts[1:], len(row))
+        if gap:
+            v = np.insert(v, starts + np.add.reduceat((i % 3 == 1).astype(np.int64), starts), 0)
+            ends = ends + np.arange(1, len(ends) + 1)
+        offsets = pa.array(np.append(0, ends).astype(np.int32))
+        return pa.record_batch([pa.array(names), pa.ListArray.from_arrays(offsets, pa.array(v))], ["row", value])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                cols = [c.to_numpy() for c in batch.columns]
+                # Strings before the last one of the batch are complete.
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                if cut:
+                    yield close([*held, [c[:cut] for c in cols]])
+                    held = []
+                held.append([c[cut:] for c in cols])
+        if held:
+            yield close(held)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("row", "i", value).repartition(n, "row").sortWithinPartitions("row")
+    return dealt.mapInArrow(pack, f"row long, {value} array<long>")
 
 
 def suffix_ranks(store: Stored, strings: DataFrame, depth: int) -> DataFrame:
@@ -327,73 +422,43 @@ def suffix_ranks(store: Stored, strings: DataFrame, depth: int) -> DataFrame:
     first ``depth`` symbols may stand in any order. Strings are compared as if each ended in a
     symbol less than all others.
     """
-    s = "symbols"
+    triple = "row long, i int, a long, b long, c long"
+    strings = strings.select("row", "symbols").filter("size(symbols) > 0")
+    if depth <= 3:
+        # Three symbols are all that counts.
+        named = ordered(store, strings.mapInArrow(_triples(True), triple), ["a", "b", "c"], ["row", "i"], ["row", "i"])
+        out = store.write(_per_string(named.select("row", "i", F.col("pos").alias("rank")), "rank"))
+        store.drop(named)
+        return out
     # 1. Triples at the positions not divisible by three, sorted and named.
-    places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: i % 3 != 0)
-
-    def symbol(i: Column) -> Column:
-        return F.coalesce(F.get(F.col(s), i), F.lit(END).cast("long"))
-
-    sample = strings.filter(F.size(s) > 1).select(
-        "row",
-        F.inline(
-            F.transform(
-                places,
-                lambda i: F.struct(
-                    i.alias("i"), symbol(i).alias("a"), symbol(i + 1).alias("b"), symbol(i + 2).alias("c")
-                ),
-            )
-        ),
-    )
+    sample = strings.filter("size(symbols) > 1").mapInArrow(_triples(False), triple)
     named = ordered(store, sample, ["a", "b", "c"], ["row", "i"], ["row", "i"])
-    total, spent = named.n_rows, [named]
-    if depth <= 3 or named.n_names == total:
-        ranked = named.select("row", "i", F.col("pos").alias("r"))
-        ranks = _per_string(ranked.select("row", (F.col("i") % 3).alias("m"), "i", "r"), "r", ["m", "i"])
+    spent = [named]
+    if named.n_names == named.n_rows:
+        ranks = _per_string(named.select("row", "i", F.col("pos").alias("r")), "r", sampled=True)
     else:
         # 2. The names are the symbols of a shorter string: first those after a multiple of three,
         # then, past a gap, the others. Its suffix ranks order the sampled suffixes.
-        shorter = named.select("row", (F.col("i") % 3).alias("m"), "i", F.col("name").alias("symbols"))
-        cut = shorter.select("row").distinct().select("row", F.lit(1).alias("m"), F.lit(2**31 - 1).alias("i"), F.lit(0).cast("long").alias("symbols"))
-        shorter = store.write(_per_string(shorter.unionByName(cut), "symbols", ["m", "i"]))
+        shorter = store.write(_per_string(named.select("row", "i", F.col("name").alias("symbols")), "symbols", sampled=True, gap=True))
         cuts = shorter.count()
         below = suffix_ranks(store, shorter, -(-depth // 3))
         spent += [shorter, below]
         # Gaps are the least symbol, so they hold the first ranks.
         clean = F.filter(F.transform("rank", lambda x: x - cuts), lambda x: x >= 0)
         ranks = below.select("row", clean.alias("r"))
-    ranks = store.write(ranks)
-    store.drop(*spent)
     # 3. Merge: a suffix at a multiple of three is compared with the others by one or two symbols and a rank.
-    both = strings.join(ranks, "row", "left").withColumn("half", F.expr("cast((size(symbols) + 1) / 3 as int)"))
-
-    def rank(i: Column) -> Column:
-        """Rank of a sampled position; -1 past the end."""
-        at = F.when(i % 3 == 1, F.floor(i / 3)).otherwise(F.col("half") + F.floor(i / 3)).cast("int")
-        return F.when(i < F.size(s), F.get(F.col("r"), at)).otherwise(F.lit(-1).cast("long"))
-
-    both = store.write(both.filter(F.size(s) > 0))
-    every = F.sequence(F.lit(0), F.size(s) - 1)
-
-    def merged(left_out: int, **fields: Callable[[Column], Column]) -> DataFrame:
-        """Positions but those with one remainder, with their keys and, if sampled, their rank."""
-        places = F.filter(every, lambda i: i % 3 != left_out)
-        own = lambda i: F.when(i % 3 != 0, rank(i)).otherwise(F.lit(0).cast("long"))
-        fields = {"i": lambda i: i, **fields, "r": own}
-        return both.select("row", F.inline(F.transform(places, lambda i: F.struct(*[f(i).alias(c) for c, f in fields.items()]))))
-
+    both = store.write(strings.join(ranks, "row", "left").select("row", "symbols", "r"))
+    store.drop(*spent)
     zero, keep = "i % 3 = 0", ["row", "i", "r"]
-    first = merged(2, a=symbol, r1=lambda i: rank(i + 1))
+    first = both.mapInArrow(_halves(2), "row long, i int, a long, r1 long, r long")
     first = ordered(store, first, ["a", "r1"], ["row", "i"], keep, zero)
-    second = merged(1, a=symbol, b=lambda i: symbol(i + 1), r2=lambda i: rank(i + 2))
+    second = both.mapInArrow(_halves(1), "row long, i int, a long, b long, r2 long, r long")
     second = ordered(store, second, ["a", "b", "r2"], ["row", "i"], keep, zero)
     parts = first.select("row", "i", F.expr(f"CASE WHEN {zero} THEN pos - before ELSE r + before END AS rank")).unionByName(
         second.select("row", "i", F.expr(f"CASE WHEN {zero} THEN pos ELSE r + before END AS rank"))
     )
-    n = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    summed = parts.repartition(n, "row").groupBy("row", "i").agg(F.sum("rank").alias("rank"))
-    out = store.write(_per_string(summed, "rank", ["i"]))
-    store.drop(ranks, both, first, second)
+    out = store.write(_per_string(parts, "rank"))
+    store.drop(both, first, second)
     return out
 
 
