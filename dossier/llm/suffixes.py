@@ -186,9 +186,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(7)]
         firsts = []
-        for n, h, p, f, known in zip(*[batch.column(i).to_pylist() for i in range(2, 7)], strict=True):
+        known = (x.values.to_numpy().view(np.uint64) for x in batch.column(6))
+        for n, h, p, f, again in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], known, strict=True):
             hashes = np.frombuffer(h, dtype="<u8")
-            repeated = np.isin(hashes, np.array(known, dtype=np.int64).view(np.uint64))
+            repeated = np.isin(hashes, again)
             symbols, need, digest, suffix = _string_of(Parsed(n, p, f), hashes, repeated)
             firsts.append(f)
             blobs = (p, repeated.tobytes(), hashes[repeated].tobytes(), suffix.astype("<i4").tobytes())
@@ -499,13 +500,13 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of asked anchors that others share: ``h, no, at, again``.
+    """Windows of asked anchors that others share: ``h, no, at``.
 
-    A window that stands earlier in the same text is marked as such and takes any ``h``, so
-    that a text of one period is spread.
+    A window that stands earlier in the same text is marked by ``-1 - at`` and takes any ``h``,
+    so that a text of one period is spread.
     """
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+        parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(3)]
         cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
         for no, text, shared, *rest in zip(*cols, strict=True):
             t, ask, hashes = _asked(tuple(rest))
@@ -513,23 +514,28 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = t.last[ask] - t.first[ask] + 1
             starts = np.repeat(t.first[ask] - np.cumsum(many) + many, many) + np.arange(many.sum())
             found = window_hashes(np.frombuffer(_bytes_of(text), dtype=np.uint8), starts)
-            again = np.ones(len(found), dtype=np.int64)
-            again[np.unique(found, return_index=True)[1]] = 0
-            found = np.where(again == 1, _mix(found + starts.astype(np.uint64)), found)
-            for c, v in zip(parts, (found.view(np.int64), np.full(len(starts), no), starts, again), strict=True):
+            again = np.ones(len(found), dtype=bool)
+            again[np.unique(found, return_index=True)[1]] = False
+            found = np.where(again, _mix(found + starts.astype(np.uint64)), found)
+            values = (found.view(np.int64), np.full(len(starts), no), np.where(again, -1 - starts, starts))
+            for c, v in zip(parts, values, strict=True):
                 c.append(v)
-        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in parts], ["h", "no", "at", "again"])
+        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in parts], ["h", "no", "at"])
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h and place those that are not the first of their h, or are marked."""
-    last = None
+    """Of rows sorted by h those that are not the first of their h by text and place, or are marked."""
+    held = np.zeros((3, 0), dtype=np.int64)  # the first of the last h, as far as seen
     for batch in batches:
-        if batch.num_rows:
-            h, marked = batch.column(0).to_numpy(), batch.column(3).to_numpy() == 1
-            same = np.append(h[0] == last, h[1:] == h[:-1])
-            last = h[-1]
-            yield batch.filter(pa.array(same | marked)).select(["no", "at"])
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        marked = rows[2] < 0
+        own = np.concatenate((held, rows[:, ~marked]), axis=1)
+        own = own[:, np.lexsort(own[::-1])]
+        first = np.append(True, own[0, 1:] != own[0, :-1])[: own.shape[1]]
+        held = own[:, first][:, -1:]
+        out = np.concatenate((own[1:, ~first], np.stack((rows[1, marked], -1 - rows[2, marked]))), axis=1)
+        if out.shape[1]:
+            yield pa.record_batch([pa.array(c) for c in out], ["no", "at"])
 
 
 def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -598,8 +604,8 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     shared = asks.mapInArrow(_repeated, "h long, row long").groupBy("row").agg(F.collect_set("h").alias("shared"))
     edge = judged.select("row", "no", *string).join(shared, "row")
     edge = texts.select("row", "text").join(edge, "row").select("no", "text", "shared", *string)
-    windows = edge.mapInArrow(_edges, "h long, no long, at long, again long")
-    windows = windows.repartition(n, "h").sortWithinPartitions("h", "no", "at")
+    windows = edge.mapInArrow(_edges, "h long, no long, at long")
+    windows = windows.repartition(n, "h").sortWithinPartitions("h")
     later = windows.mapInArrow(_again, "no long, at long").groupBy("no").agg(F.collect_list("at").alias("at"))
     later = store.write(later)
     found = judged.join(later, "no", "left").select("row", "n", "places", "firsts", "suffix", "gone", "at")
@@ -613,7 +619,9 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             out = []
             for k in range(batch.num_rows):
-                row = {name: cols[name][k].as_py() for name in batch.schema.names if name != "rest"}
+                row = {name: cols[name][k].as_py() for name in batch.schema.names if name not in ("rest", "gone", "at")}
+                for name in ("gone", "at"):
+                    row[name] = cols[name][k].values.to_numpy() if cols[name][k].is_valid else []
                 raw = _bytes_of(row["text"])
                 out.append(dict(zip(fields, finish(raw, *_spans(raw, row)), strict=True)))
             made = pa.RecordBatch.from_pylist(out, schema=arrow)
@@ -633,7 +641,7 @@ def _spans(raw: bytes, row: dict) -> tuple[np.ndarray, np.ndarray]:
     if row["places"] is None:
         return none, none
     t = Parsed(row["n"], row["places"], row["firsts"])
-    gone, at = (np.array(row[c] or [], dtype=np.int64) for c in ("gone", "at"))
+    gone, at = (np.asarray(row[c], dtype=np.int64) for c in ("gone", "at"))
     suffix = np.frombuffer(row["suffix"], dtype="<i4")
     u = np.flatnonzero((suffix >= 0) & np.isin(suffix, gone) & (t.last >= t.first))
     return _union(np.concatenate((t.first[u], at)), np.concatenate((t.last[u], at)) + LENGTH)
