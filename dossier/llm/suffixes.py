@@ -254,7 +254,6 @@ def ordered(
     are dealt by ranges of keys and ties, so a very frequent key is spread over tasks. Each
     partition closes with a summary row; these alone come to the driver.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("counted", F.expr(count))
     columns = rows.columns
     by = [columns.index(c) for c in names or keys]
@@ -291,7 +290,7 @@ def ordered(
             yield pa.record_batch([*none[: len(kept)], pa.array([part], pa.int32()), *none[len(kept) :], summary], out_names)
 
     # The table is written once, so equal keys may stand in any order inside a partition.
-    dealt = rows.repartitionByRange(n, *keys, *ties).sortWithinPartitions(*keys)
+    dealt = rows.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys)
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     local = store.write(
         dealt.mapInArrow(number, f"{schema}, part int, pos long, before long, name long, summary array<long>")
@@ -411,8 +410,7 @@ def _per_string(rows: DataFrame, value: str, sampled: bool = False, gap: bool =
         if held:
             yield close(held)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("row", "i", value).repartition(n, "row").sortWithinPartitions("row")
+    dealt = rows.select("row", "i", value).repartition("row").sortWithinPartitions("row")
     return dealt.mapInArrow(pack, f"row long, {value} array<long>")
 
 
@@ -559,7 +557,6 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     spark = docs.sparkSession
     # Each step ends in a stored table, so its shuffle files can go when it is written.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     store = Stored(spark, "suffixes")
     texts = _numbered(docs)
     parsed = store.write(texts.select("row", "doc", "text").mapInArrow(_parse, _PARSED))
@@ -568,7 +565,7 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     firsts = store.write(whole.select("f.row"))
     # Anchors that occur again, in this text or another.
     emitted = parsed.select("row", "hashes").join(firsts, "row", "left_semi").mapInArrow(_emit_hashes, "h long, row long")
-    again = emitted.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, row long")
+    again = emitted.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, row long")
     known = again.groupBy("row").agg(F.collect_set("h").alias("known"))
     columns = ["row", "doc", "n", "hashes", "places", "firsts", "known"]
     live = store.write(parsed.join(known, "row").select(*columns).mapInArrow(_strings, _LIVE))
@@ -600,12 +597,12 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     store.drop(live)
     # Windows that begin or end outside a passage's agreed part: compared one by one, if another
     # such window has the same anchor.
-    asks = judged.select("row", *string).mapInArrow(_ask, "h long, row long").repartition(n, "h").sortWithinPartitions("h")
+    asks = judged.select("row", *string).mapInArrow(_ask, "h long, row long").repartition("h").sortWithinPartitions("h")
     shared = asks.mapInArrow(_repeated, "h long, row long").groupBy("row").agg(F.collect_set("h").alias("shared"))
     edge = judged.select("row", "no", *string).join(shared, "row")
     edge = texts.select("row", "text").join(edge, "row").select("no", "text", "shared", *string)
     windows = edge.mapInArrow(_edges, "h long, no long, at long")
-    windows = windows.repartition(n, "h").sortWithinPartitions("h")
+    windows = windows.repartition("h").sortWithinPartitions("h")
     later = windows.mapInArrow(_again, "no long, at long").groupBy("no").agg(F.collect_list("at").alias("at"))
     later = store.write(later)
     found = judged.join(later, "no", "left").select("row", "n", "places", "firsts", "suffix", "gone", "at")
