@@ -557,6 +557,11 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     spark = docs.sparkSession
     # Each step ends in a stored table, so its shuffle files can go when it is written.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    # How a scan is split depends on the cores at hand, and rows are numbered by it: keep the split
+    # of now for all scans, also if executors are lost in between.
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
     store = Stored(spark, "suffixes")
     texts = _numbered(docs)
     parsed = store.write(texts.select("row", "doc", "text").mapInArrow(_parse, _PARSED))
