@@ -79,3 +79,32 @@ class Stored:
 def column_named(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads, so that others cannot clash with its own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows stored once with a number of their own, and the name of its column."""
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return Stored(docs.sparkSession, label).write(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def one_per_component(kept: DataFrame, row: str, found: DataFrame) -> DataFrame:
+    """The one row of each component that is first by id (null last), text and number.
+
+    ``kept`` holds the rows with their number, ``found`` gives ``row, component`` for each.
+    Ids decide alone where they can; texts are read only where an id is null or repeated.
+    """
+    store = Stored(kept.sparkSession, "keepers")
+    ids = kept.select(F.col(row).alias("row"), "doc_id")
+    narrow = store.write(found.join(ids, "row").select("row", "component", "doc_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first"))
+    least = narrow.groupBy("component").agg(F.min(key).alias("k"))
+    tied = narrow.join(least, "component").filter(F.col("doc_id").eqNullSafe(F.col("k.first")))
+    best = tied.groupBy("component").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    several = tied.select("component", "row").join(best.filter("n > 1").select("component"), "component")
+    texts = kept.select(F.col(row).alias("row"), "text").join(several, "row")
+    chosen = texts.groupBy("component").agg(F.min(F.struct("text", "row")).alias("k")).select("k.row")
+    stay = best.filter("n = 1").select("row").unionByName(chosen)
+    gone = store.write(narrow.join(stay, "row", "left_anti").select(F.col("row").alias(row)))
+    return kept.join(gone, row, "left_anti").drop(row).select(*[F.col(f"`{c}`") for c in kept.columns if c != row])
