@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -130,6 +131,37 @@ def phrase_places(w: list[bytes], phrases: list[tuple[list[bytes], str]]) -> tup
     return at, labels
 
 
+def run_lengths(templates: dict[str, str], share: float) -> dict[str, int]:
+    """Words of the longest run that counts as a notice: the template fills ``share`` of it."""
+    return {label: int(len(split_words(t.encode())) / share + 1e-9) for label, t in templates.items()}
+
+
+def best_runs(w: list[bytes], members: frozenset[bytes], need: int, length: int) -> list[tuple[int, int, int]]:
+    """Runs of up to ``length`` words that hold ``need`` of ``members``, wherever they start.
+
+    ``(first word, last word, members held)``; of runs that overlap the one that holds most,
+    then the first. A run that begins and ends with a member stands for all around it.
+    """
+    places = [i for i, x in enumerate(w) if x in members]
+    out: list[tuple[int, int, int]] = []
+    held: Counter[bytes] = Counter()
+    lo = 0
+    for i in places:
+        held[w[i]] += 1
+        while places[lo] <= i - length:
+            held[w[places[lo]]] -= 1
+            if not held[w[places[lo]]]:
+                del held[w[places[lo]]]
+            lo += 1
+        if len(held) >= need:
+            run = (places[lo], i, len(held))
+            if not out or out[-1][1] < run[0]:
+                out.append(run)
+            elif run[2] > out[-1][2]:
+                out[-1] = run
+    return out
+
+
 RESULT = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, blocks array<struct<block:int,label:string,share:double>>"
@@ -141,18 +173,24 @@ def scan(
     phrases: dict[str, str] | None = None,
     templates: dict[str, str] | None = None,
     containment: float = CONTAINMENT,
+    runs: bool = False,
 ) -> DataFrame:
     """Licenses of every document: ``doc_id`` and the columns of ``RESULT``.
 
     Base labels come from phrases in the running words; the other labels from text blocks
-    (lines) that hold at least ``containment`` of a template's distinct words. ``score`` is 1
-    where a phrase stands, else the best share found, else 0. ``blocks`` lists the matches.
+    (lines) that hold at least ``containment`` of a template's distinct words. With ``runs``
+    blocks are also the runs of words across line breaks, from every word on, as long as
+    ``run_lengths`` says, so that wrapped notices are found. ``score`` is 1 where a phrase
+    stands, else the best share found, else 0. ``blocks`` lists the matches by line, a run by
+    the line it begins in; a run over a line that matches itself only raises its share.
     Null and empty texts have no words and no labels; repeated rows are scanned one by one.
     Words are counted over all texts first, then each text is read once; documents are
     neither shuffled nor paired with each other, and the index is as small as the templates.
     """
     phrases = PHRASES if phrases is None else phrases
-    sets = template_sets(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    sets = template_sets(templates)
+    lengths = run_lengths(templates, containment)
     known = set().union(*sets.values())
     index = TemplateIndex(sets, word_counts(docs, known), containment)
     wanted = [(split_words(p.encode()), label) for p, label in phrases.items()]
@@ -164,14 +202,27 @@ def scan(
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
     rare = min(index.need.values())
 
+    def with_runs(w: list[bytes], starts: list[int], blocks: list[tuple]) -> list[tuple]:
+        found = {(block, label): share for block, label, share in blocks}
+        # A text that does not hold a template's words has no run that does.
+        for label in index.matches(w):
+            for first, last, held in best_runs(w, sets[label], index.need[label], lengths[label]):
+                lines = range(bisect_right(starts, first) - 1, bisect_right(starts, last))
+                own = next((k for k in lines if (k, label) in found), lines[0])
+                found[own, label] = max(found.get((own, label), 0.0), held / len(sets[label]))
+        return sorted((block, label, share) for (block, label), share in found.items())
+
     def judge(text: bytes) -> tuple:
-        n, running, blocks = 0, [], []
+        n, running, blocks, starts = 0, [], [], []
         for block, line in enumerate(text.split(b"\n")):
             w = split_words(line)
+            starts.append(n)
             n += len(w)
             running += w
             if len(w) >= rare:
                 blocks += [(block, label, share) for label, share in sorted(index.matches(w).items())]
+        if runs:
+            blocks = with_runs(running, starts, blocks)
         at, labels = phrase_places(running, wanted)
         every = sorted(labels | {b[1] for b in blocks})
         score = 1.0 if at else max((b[2] for b in blocks), default=0.0)
