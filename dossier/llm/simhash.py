@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, column_named, token_list
+from .common import Stored, column_named, numbered, one_per_component, token_list
 from .components import components
 
 SHINGLE = 3
@@ -220,11 +220,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the smallest id, with all its columns.
+    """One document of each component stays, with all its columns.
 
-    Rows that repeat this id are told apart by text, and one of them stays.
+    Rows count one by one, so a null or repeated id does not matter. That with the smallest
+    id stays (null last), then that with the smallest text.
     """
-    near = near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    first = near.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"])
+    kept, row = numbered(docs, "simhash")
+    found = near_duplicates(kept.select(F.col(row).alias("doc_id"), "text"))
+    return one_per_component(kept, row, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
