@@ -7,6 +7,7 @@ the sum of its texts. A text belongs to the language whose profile has the large
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,14 @@ SPAN = 1 << 20
 BLOCK_CHARS = 1 << 20
 BLOCK_TEXTS = 256
 
-# A text whose score is lower is not in any learned language.
+# A text whose score is lower is not in any learned language. A cosine's noise is larger than
+# this, so it is the share of known triples that decides about languages not learned.
 FLOOR = 0.02
+# A triple is known in a language if it is at least this share of the triples of its texts.
+KNOWN = 1e-5
+# A text is in a language if at least this share of its triples is known there, less one
+# standard deviation of a share of so many triples (short texts are noisy).
+KNOWN_SHARE = 0.5
 
 
 def _code_table() -> np.ndarray:
@@ -139,6 +146,56 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -
     return [r.lang for r in found], unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
 
 
+def _text_triples(text: str | None) -> Iterator[np.ndarray]:
+    """Triples of a text span by span, without those around a gap alone."""
+    for start in range(0, len(text or ""), SPAN):
+        g = triples(codes(text[start : start + SPAN]))
+        yield g[g // CODES % CODES != 0]
+
+
+def known_triples(labelled: DataFrame, least: float = KNOWN) -> tuple[np.ndarray, np.ndarray]:
+    """Triples known in a language of ``text, lang``, and for each in which languages.
+
+    The driver gets at most ``1 / least`` triples a language, so also the languages' number
+    bounds it. Languages are in order; one without any triple has no column.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for text, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for g in _text_triples(text):
+                    own = total.setdefault(lang, np.zeros(CODES**3, dtype=np.int64))
+                    np.add.at(own, g, 1)
+        for lang, times in total.items():
+            at = np.flatnonzero(times)
+            yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at), pa.array(times[at])], ["lang", "gram", "n"])
+
+    rows = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    whole = sums.groupBy("lang").agg(F.sum("n").alias("whole"))
+    found = sums.join(F.broadcast(whole), "lang").filter(F.col("n") >= F.col("whole") * F.lit(least)).collect()
+    langs = {lang: k for k, lang in enumerate(sorted({r.lang for r in found}))}
+    grams = np.unique(np.array([r.gram for r in found], dtype=np.int64))
+    within = np.zeros((len(grams), len(langs)), dtype=bool)
+    for r in found:
+        within[np.searchsorted(grams, r.gram), langs[r.lang]] = True
+    return grams, within
+
+
+def is_known(text: str | None, place: np.ndarray, within: np.ndarray, share: float = KNOWN_SHARE) -> bool:
+    """Whether one language knows enough of a text's triples.
+
+    ``place`` gives each triple's row in ``within``, whose first row is that of unknown ones.
+    """
+    seen, total = np.zeros(within.shape[1], dtype=np.int64), 0
+    for g in _text_triples(text):
+        seen += within[place[g]].sum(axis=0, dtype=np.int64)
+        total += len(g)
+    noise = math.sqrt(share * (1 - share) * total)
+    return total > 0 and len(seen) > 0 and bool(seen.max() >= share * total - noise)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], seed: int = SEED) -> DataFrame:
     """``doc_id, lang_pred, score`` for every document, from its text alone.
 
@@ -177,20 +234,28 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def in_known_language(docs: DataFrame, floor: float = FLOOR) -> DataFrame:
+def in_known_language(docs: DataFrame, floor: float = FLOOR, share: float = KNOWN_SHARE) -> DataFrame:
     """Documents in one of the languages learned from them; all columns stay.
 
-    Rejected are texts that are null, have no letter, or whose score is below ``floor``.
+    Rejected are texts that are null, have no letter, whose score is below ``floor``, or of
+    whose letter triples no language knows ``share``, less the noise at their number.
     """
-    langs, profiles = train(docs.filter(~held_out()))
+    learned = docs.filter(~held_out())
+    langs, profiles = train(learned)
     letters = letter_vectors(profiles.shape[1]) if langs else None
+    grams, within = known_triples(learned) if langs else (None, None)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.zeros(CODES**3, dtype=np.int32)
+        place[grams] = np.arange(1, len(grams) + 1)
+        table = np.concatenate((np.zeros((1, within.shape[1]), dtype=bool), within))
         for batch in batches:
-            vectors, has = bundles([t or "" for t in batch.column(at).to_pylist()], letters)
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            vectors, has = bundles(texts, letters)
             norm = np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)
             best = (vectors @ profiles.T.astype(np.float32) / norm[:, None]).max(axis=1)
-            yield batch.filter(pa.array(has & (best >= floor)))
+            known = np.array([is_known(t, place, table, share) for t in texts], dtype=bool)
+            yield batch.filter(pa.array(has & (best >= floor) & known))
 
     return docs.mapInArrow(keep, docs.schema) if langs else docs.limit(0)
