@@ -187,7 +187,8 @@ def similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     Signatures are ordered from rare to frequent over all documents; sets whose Jaccard
     reaches ``t`` share one of their first ``size - ceil(t*size) + 1``. Candidates meet by
     length bucket and such a signature, and are compared in full. Equal fingerprints are one
-    representative (smallest id), so copies are not paired.
+    representative (smallest id), so copies are not paired. Fingerprints are told apart by a
+    row number; one whose rows all have a null id is paired with null as its id.
     """
     spark = docs.sparkSession
     store = Stored(spark, "spots")
@@ -198,7 +199,8 @@ def similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "sigs"])
 
     rows = column_named(docs, "doc_id", "text").mapInArrow(sets, "doc_id long, sigs array<long>")
-    distinct = store.write(rows.groupBy("sigs").agg(F.min("doc_id").alias("doc_id")).filter("size(sigs) > 0"))
+    distinct = rows.groupBy("sigs").agg(F.min("doc_id").alias("id")).filter("size(sigs) > 0")
+    distinct = store.write(distinct.withColumn("doc_id", F.monotonically_increasing_id()))
     long = store.write(distinct.select("doc_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig")))
     ranked = long.join(long.groupBy("sig").agg(F.count("*").alias("df")), "sig")
     ordered = ranked.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
@@ -214,10 +216,12 @@ def similar(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
         & (F.col("na") >= F.col("nb") * threshold)
     )
     pairs = near.select("a", "b").distinct()
-    full = distinct.select(F.col("doc_id"), "sigs")
-    both = pairs.join(full.withColumnsRenamed({"doc_id": "a", "sigs": "x"}), "a").join(
-        full.withColumnsRenamed({"doc_id": "b", "sigs": "y"}), "b"
+    both = pairs.join(distinct.withColumnsRenamed({"doc_id": "a", "sigs": "x", "id": "ia"}), "a").join(
+        distinct.withColumnsRenamed({"doc_id": "b", "sigs": "y", "id": "ib"}), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
     share = common / (F.size("x") + F.size("y") - common)
-    return both.select("a", "b", share.alias("share")).filter(F.col("share") >= threshold)
+    # The smaller set comes first, of equal ones that with the smaller id.
+    swap = (F.size("x") == F.size("y")) & F.coalesce(F.col("ia") > F.col("ib"), F.lit(False))
+    a, b = F.when(swap, F.col("ib")).otherwise(F.col("ia")), F.when(swap, F.col("ia")).otherwise(F.col("ib"))
+    return both.select(a.alias("a"), b.alias("b"), share.alias("share")).filter(F.col("share") >= threshold)
