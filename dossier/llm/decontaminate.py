@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, column_named, words
+from .common import Stored, column_named, numbered, words
 
 WINDOW = 10
 
@@ -182,8 +182,10 @@ def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     For corpora where losing a whole document is too much. Words are those of the word rule.
     """
-    found = contamination(docs, items, window).select("doc_id", "spans")
-    rows = column_named(docs, "doc_id", "text").join(found, "doc_id")
+    kept, row = numbered(column_named(docs, "doc_id", "text"), "decontaminate")
+    # Judged under the row number, so null and repeated ids keep to their own spans.
+    judged = contamination(kept.select(F.col(row).alias("doc_id"), "text"), items, window)
+    rows = kept.join(judged.select(F.col("doc_id").alias(row), "spans"), row)
     w = words(F.col("text"))
-    kept = F.filter(w, lambda x, i: ~F.exists("spans", lambda s: (i >= s.pos) & (i < s.pos + s.length)))
-    return rows.select("doc_id", F.array_join(kept, " ").alias("text"))
+    left = F.filter(w, lambda x, i: ~F.exists("spans", lambda s: (i >= s.pos) & (i < s.pos + s.length)))
+    return rows.select("doc_id", F.array_join(left, " ").alias("text"))
