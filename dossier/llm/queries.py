@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, hmm, langid, licenses, negatives, pieces, shards, simhash, spots, suffixes
+from . import decontaminate, extract, hmm, langid, licenses, negatives, pieces, repair, shards, simhash, spots, suffixes
 from .common import small_batches
 
 
@@ -79,6 +79,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", label))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the damage its keys ask for."""
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -132,5 +138,66 @@ SELECT p.anchor_id, p.positive_id,
 FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
      AND 50 * p.p <= 100 * s.score AND 100 * s.score <= 95 * p.p
 QUALIFY rank <= 3
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE
+crc_table AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                                      CAST(i AS BIGINT)) ORDER BY i) AS t FROM range(0, 256) r(i)),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+          FROM conversations),
+keyed AS (SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)),
+                        4294967295) % 20 AS kind
+          FROM given, crc_table),
+kept AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+         FROM keyed WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM kept),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+                lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) AS before,
+                trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM placed),
+judged AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate'
+                          WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+inserts AS (FROM (VALUES (0, 0, 0, '', CAST([] AS VARCHAR[])), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+                         (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']),
+                         (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']),
+                         (1, 3, 10, 'II', ['user:', 'assistant:'])) x(s0, s1, more, letters, lines)),
+steps AS (FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) x(s1, initial, s2)),
+moves AS (
+  SELECT j.conv_id, j.k, s AS s1, s AS s2, 2 AS more, 'D' AS letter, CAST([] AS VARCHAR[]) AS lines FROM judged j, range(0, 4) r(s)
+  UNION ALL
+  SELECT j.conv_id, j.k, s1, s2, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+  FROM judged j JOIN steps ON role[1] = initial WHERE fault IN ('', 'truncated')
+  UNION ALL
+  SELECT j.conv_id, j.k, s1, s2, CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, 'R',
+         [CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+  FROM judged j JOIN steps ON initial <> 's' WHERE fault IN ('', 'truncated')),
+ways AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, 0 AS s, lpad('0', 9, '0') AS best, CAST([] AS VARCHAR[]) AS lines
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, k, s, min(best) AS best, arg_min(lines, best) AS lines FROM (
+    SELECT w.conv_id, m.k, m.s2 AS s,
+           lpad(CAST(CAST(w.best[1:9] AS INTEGER) + i.more + m.more AS VARCHAR), 9, '0') || w.best[10:] || i.letters || m.letter AS best,
+           list_concat(list_concat(w.lines, i.lines), m.lines) AS lines
+    FROM ways w JOIN inserts i ON i.s0 = w.s
+         JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.k = w.k + 1 AND m.s1 = i.s1)
+  GROUP BY conv_id, k, s),
+sizes AS (SELECT c.conv_id, count(j.k) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+                 coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+          FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id
+          GROUP BY c.conv_id),
+ends AS (SELECT z.conv_id, min(best) AS best, arg_min(lines, best) AS lines FROM (
+           SELECT z.conv_id, lpad(CAST(CAST(w.best[1:9] AS INTEGER) + i.more AS VARCHAR), 9, '0') || w.best[10:] || i.letters AS best,
+                  list_concat(w.lines, i.lines) AS lines
+           FROM sizes z JOIN ways w ON w.conv_id IS NOT DISTINCT FROM z.conv_id AND w.k = z.n
+                JOIN inserts i ON i.s0 = w.s AND i.s1 IN (0, 3)) z GROUP BY z.conv_id)
+SELECT z.conv_id, z.gaps, z.blank, z.duplicate, z.truncated, z.illegal, CAST(e.best[1:9] AS BIGINT) AS cost, e.best[10:] AS audit,
+       sha256(array_to_string(e.lines, chr(10))) AS repaired_sha256
+FROM sizes z JOIN ends e ON e.conv_id IS NOT DISTINCT FROM z.conv_id
 """,
 }
