@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, hmm, langid, licenses, negatives, pieces, repair, shards, simhash, spots, suffixes
+from . import decontaminate, extract, hmm, langid, licenses, negatives, pieces, repair, rtree, shards, simhash, spots, suffixes
 from .common import small_batches
 
 
@@ -79,6 +79,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", label))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of five-word shingles, and the component of its links at 0.8."""
+    return rtree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation after the damage its keys ask for."""
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -138,6 +144,28 @@ SELECT p.anchor_id, p.positive_id,
 FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
      AND 50 * p.p <= 100 * s.score AND 100 * s.score <= 95 * p.p
 QUALIFY rank <= 3
+""",
+    "op12_ngram_jaccard": r"""
+WITH RECURSIVE
+worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM worded),
+kinds AS (SELECT min(doc_id) AS kind, s, len(s) AS n, list(doc_id) AS ids FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s),
+flat AS (SELECT kind, n, hash(x) AS x FROM (SELECT kind, n, unnest(s) AS x FROM kinds WHERE n > 0)),
+often AS (SELECT x, count(*) AS f FROM flat GROUP BY x),
+placed AS (SELECT kind, n, x, row_number() OVER (PARTITION BY kind ORDER BY f, x) AS k FROM flat JOIN often USING (x)),
+pairs AS (SELECT DISTINCT a.kind AS a, b.kind AS b
+          FROM placed a JOIN placed b ON a.x = b.x AND a.kind < b.kind AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+               AND a.k <= a.n - (4 * a.n + 4) // 5 + 1 AND b.k <= b.n - (4 * b.n + 4) // 5 + 1),
+measured AS (SELECT a, b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS common
+             FROM pairs JOIN kinds x ON x.kind = a JOIN kinds y ON y.kind = b),
+links AS (SELECT a, b FROM measured WHERE 100 * common >= 80 * (total - common)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(k.n AS BIGINT) AS n_shingles, CASE WHEN k.n = 0 THEN s.doc_id ELSE coalesce(m, k.kind) END AS component_id
+FROM (SELECT kind, n, unnest(ids) AS doc_id FROM kinds) k JOIN sets s USING (doc_id) LEFT JOIN least ON a = k.kind
 """,
     "op13_conversation_repair": r"""
 WITH RECURSIVE
