@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, numbered, token_list
+from .common import Stored, token_list
 from .components import components
 
 SHINGLE = 5
@@ -102,73 +102,109 @@ def folded(counts: np.ndarray, width: int) -> np.ndarray:
     return counts.reshape(len(counts), -1, width).sum(axis=1)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """``row, node, n, sigs``; sigs only where the task has not met the set before."""
-    hashes, met = WordHashes(), set()
-    for batch in batches:
-        node, n, sigs = [], [], []
-        for text in batch.column(1):
-            h = shingles(text.as_py(), size, hashes)
-            key = xxhash.xxh64_intdigest(h.tobytes(), SEED)
-            node.append(key)
-            n.append(len(h))
-            sigs.append(h if len(h) and key not in met else None)
-            if len(met) >= KNOWN_SETS:
-                met.clear()
-            met.add(key)
-        cols = [batch.column(0), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32())]
-        yield pa.record_batch([*cols, pa.array(sigs, pa.list_(pa.int64()))], ["row", "node", "n", "sigs"])
-
-
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# Slots of the filter that tells which sets have to be made again; a table of fixed size.
+SLOTS, SLOT_SLICES = 1 << 24, 16
+
+
+def _loads(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """How many members of the task's sets fall into each of ``LOADS`` groups, in slices."""
-    total = np.zeros(LOADS, dtype=np.int64)
+    total, hashes = np.zeros(LOADS, dtype=np.int64), WordHashes()
     for batch in batches:
-        flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        total += np.bincount(flat & (LOADS - 1), minlength=LOADS)
-    parts = total.reshape(SLICES, -1).astype(np.int64)
-    yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(list(parts))], ["slice", "loads"])
+        for text in batch.column(0):
+            total += np.bincount(shingles(text.as_py(), size, hashes) & (LOADS - 1), minlength=LOADS)
+    yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(list(total.reshape(SLICES, -1)))], ["slice", "part"])
+
 
+def _in_slices(parts: DataFrame, kind: str, join) -> list:
+    """Slices of a table of fixed size, joined over all tasks in two steps."""
 
-def _summed(table: pa.Table) -> pa.Table:
-    loads = table.column("loads").combine_chunks()
-    whole = loads.flatten().to_numpy(zero_copy_only=False).reshape(len(loads), -1).sum(axis=0)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "loads": pa.array([whole], pa.list_(pa.int64()))})
+    def one(table: pa.Table) -> pa.Table:
+        return pa.table({"slice": table.column("slice").slice(0, 1), "part": [join(table.column("part").to_pylist())]})
 
+    # No task joins one slice of every task.
+    for key in (F.array("slice", F.pmod(F.xxhash64("part"), F.lit(16)).cast("int")), F.array("slice")):
+        parts = parts.groupBy(key).applyInArrow(one, f"slice int, part {kind}")
+    return [r.part for r in sorted(parts.collect())]
 
-def group_loads(sets: DataFrame) -> np.ndarray:
+
+def group_loads(rows: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Members of all sets per group: ``LOADS`` numbers, whatever the size of the table."""
-    parts = sets.select("sigs").mapInArrow(_loads, "slice int, loads array<long>")
-    # Two steps, so that no task adds up one slice of every task.
-    for key in (F.array("slice", F.pmod(F.xxhash64("loads"), F.lit(16)).cast("int")), F.array("slice")):
-        parts = parts.groupBy(key).applyInArrow(_summed, "slice int, loads array<long>")
-    out = np.zeros((SLICES, LOADS // SLICES), dtype=np.int64)
-    for r in parts.collect():
-        out[r.slice] = r.loads
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
-
-
-def _points(batches: Iterator[pa.RecordBatch], loads: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """``node, n, width, low, counts, prefix`` of every set."""
+    parts = rows.select("text").mapInArrow(lambda it: _loads(it, size), "slice int, part array<long>")
+    found = _in_slices(parts, "array<long>", lambda x: np.sum(np.array(x, dtype=np.int64), axis=0).tolist())
+    out = np.zeros(LOADS, dtype=np.int64)
+    if found:
+        out[:] = np.concatenate(found)
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _marked(nodes: DataFrame) -> np.ndarray:
+    """For each slot, whether a node falls into it."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(SLOTS, dtype=bool)
+        for batch in batches:
+            slots[batch.column(0).to_numpy(zero_copy_only=False) & (SLOTS - 1)] = True
+        parts = np.packbits(slots).reshape(SLOT_SLICES, -1)
+        yield pa.record_batch([pa.array(range(SLOT_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts])], ["slice", "part"])
+
+    def either(parts: list[bytes]) -> bytes:
+        return np.bitwise_or.reduce([np.frombuffer(p, dtype=np.uint8) for p in parts]).tobytes()
+
+    found = _in_slices(nodes.select("node").mapInArrow(made, "slice int, part binary"), "binary", either)
+    bits = np.frombuffer(b"".join(map(bytes, found)), dtype=np.uint8)
+    return np.unpackbits(bits).astype(bool) if len(bits) else np.zeros(SLOTS, dtype=bool)
+
+
+def _name(sigs: np.ndarray) -> int:
+    """The name of a set: a hash of its members, as a signed number."""
+    found = xxhash.xxh64_intdigest(sigs.tobytes(), SEED)
+    return found - (1 << 64) if found >> 63 else found
+
+
+class Met:
+    """Sets that a task has met; forgets when it gets long, so a set may come again."""
+
+    def __init__(self) -> None:
+        self.names: set[int] = set()
+
+    def first(self, name: int) -> bool:
+        if len(self.names) >= KNOWN_SETS:
+            self.names.clear()
+        before = len(self.names)
+        self.names.add(name)
+        return len(self.names) > before
+
+
+_POINT = "node long, n int, width int, low long, counts binary, prefix array<long>"
+
+
+def _points(batches: Iterator[pa.RecordBatch], loads: np.ndarray, percent: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``row, node, n`` of every row; ``width, low, counts, prefix`` too where the set is new and not empty."""
+    hashes, met = WordHashes(), Met()
     for batch in batches:
-        width, low, counts, prefix = [], [], [], []
-        for sigs in batch.column(2):
-            h = sigs.values.to_numpy(zero_copy_only=False)
-            n, wide = len(h), width_of(len(h))
-            c = counts_of(h, wide)
-            while c.max() > 255:
-                wide *= 2
-                c = counts_of(h, wide)
-            width.append(wide)
-            low.append(int(h[0]))
-            counts.append(c.astype(np.uint8).tobytes())
-            # A partner of any size shares at least so many: the smallest partner is a subset.
-            least = -(-percent * n // 100)
-            rare = np.argsort(loads[h & (LOADS - 1)], kind="stable")
-            prefix.append(h[rare[: n - least + 1]])
-        cols = [batch.column(0), batch.column(1), pa.array(width, pa.int32()), pa.array(low, pa.int64())]
-        cols += [pa.array(counts, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-        yield pa.record_batch(cols, ["node", "n", "width", "low", "counts", "prefix"])
+        node, size_of, points = [], [], []
+        for text in batch.column(1):
+            h = shingles(text.as_py(), size, hashes)
+            node.append(_name(h))
+            size_of.append(len(h))
+            points.append(_point(h, loads, percent) if len(h) and met.first(node[-1]) else (None,) * 4)
+        cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size_of, pa.int32())]
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        cols += [pa.array(list(c), t) for c, t in zip(zip(*points, strict=True), types, strict=True)] if points else []
+        if points:
+            yield pa.record_batch(cols, ["row", "node", "n", "width", "low", "counts", "prefix"])
+
+
+def _point(h: np.ndarray, loads: np.ndarray, percent: int) -> tuple[int, int, bytes, np.ndarray]:
+    n, wide = len(h), width_of(len(h))
+    c = counts_of(h, wide)
+    while c.max() > 255:
+        wide *= 2
+        c = counts_of(h, wide)
+    # A partner of any size shares at least so many: the smallest partner is a subset.
+    least = -(-percent * n // 100)
+    rare = np.argsort(loads[h & (LOADS - 1)], kind="stable")
+    return wide, int(h[0]), c.astype(np.uint8).tobytes(), h[rare[: n - least + 1]]
 
 
 _PAGE = "page long, width int, nodes array<long>, sizes array<int>, counts binary, coords array<long>"
@@ -302,11 +338,26 @@ def _sides(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def _verified(store: Stored, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough."""
+def _verified(store: Stored, rows: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar enough; the sets are made again from the texts."""
     pairs = store.write(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = store.write(sets.select("node", "sigs").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    told = rows.sparkSession.sparkContext.broadcast(np.packbits(_marked(ends)))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, hashes, met = np.unpackbits(told.value), WordHashes(), Met()
+        for batch in batches:
+            node, sigs = [], []
+            for text in batch.column(0):
+                h = shingles(text.as_py(), size, hashes)
+                name = _name(h)
+                if marked[name & (SLOTS - 1)] and met.first(name):
+                    node.append(name)
+                    sigs.append(h)
+            yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "sigs"])
+
+    made = rows.select("text").mapInArrow(again, "node long, sigs array<long>")
+    whole = store.write(made.join(ends, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs
     for end, name in (("a", "x"), ("b", "y")):
         both = both.join(whole.select(F.col("node").alias(end), F.col("sigs").alias(name)), end)
@@ -324,30 +375,26 @@ def _verified(store: Stored, sets: DataFrame, pairs: DataFrame, percent: int) ->
 
 
 def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """``row, n, node, component`` for every row of ``row, text``.
+    """``row, n, node, component`` for every row of ``row, text``; ``row`` may be of any type, repeated or null.
 
     ``n`` is the size of the row's set of shingles, ``node`` names the set, ``component`` the
     chain of sets, each with ``100 * common >= percent * union`` to the next, that it belongs
     to (the name of one of them). Rows without words have the empty set, which is similar to
     none; they share its name. Nulls count as empty texts, repeated rows share their set, an
-    empty table gives no rows.
+    empty table gives no rows. Other columns are not read.
 
-    Sets are written once. Shuffled are: the points once (about a fifth of the hashes), these
-    hashes once more to see which pages meet, pages that meet, and sets of surviving pairs.
+    Texts are read four times: for the loads, for the points, and for the sets of surviving
+    pairs in both rounds. Shuffled are the points once (about a fifth of the hashes), these
+    hashes once more to see which pages meet, pages that meet, and the sets of surviving pairs.
     """
     spark = rows.sparkSession
     store = Stored(spark, "rtree")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = rows.select("row", "text").mapInArrow(
-        lambda it: _sets(it, size), "row long, node long, n int, sigs array<long>"
-    )
-    every = store.write(made)
-    sets = every.filter("sigs IS NOT NULL")
-    told = spark.sparkContext.broadcast(group_loads(sets))
-    points = sets.select("node", "n", "sigs").mapInArrow(
-        lambda it: _points(it, told.value, percent),
-        "node long, n int, width int, low long, counts binary, prefix array<long>",
-    )
+    rows = rows.select("row", "text")
+    told = spark.sparkContext.broadcast(group_loads(rows, size))
+    kind = rows.schema["row"].dataType.simpleString()
+    every = store.write(rows.mapInArrow(lambda it: _points(it, told.value, percent, size), f"row {kind}, {_POINT}"))
+    points = every.filter("width IS NOT NULL").drop("row")
     packed = points.repartitionByRange(n, "width", "low", "node").sortWithinPartitions("width", "low", "node")
     pages = store.write(packed.mapInArrow(_pages, _PAGE))
     body = pages.drop("coords")
@@ -360,7 +407,7 @@ def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     own = body.select([F.col(c).alias(c + s) for s in "12" for c in body.columns])
     star = _sides(body, shared.select(F.col("hub").alias("page1"), F.col("page").alias("page2")).distinct())
     first = own.unionByName(star).mapInArrow(lambda it: _first_links(it, percent), "a long, b long")
-    links = store.write(_verified(store, sets, first, percent))
+    links = store.write(_verified(store, rows, first, percent, size))
     found = components(links)
 
     # All pages whose sets are not in one component yet.
@@ -374,7 +421,7 @@ def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     body = body.join(comps.select("page", "comps"), "page")
     pairs = store.write(_open_pairs(store, shared, comps.select("page", "only")))
     other = _sides(body, pairs).mapInArrow(lambda it: _other_links(it, percent), "a long, b long")
-    more = _verified(store, sets, other, percent)
+    more = _verified(store, rows, other, percent, size)
     found = components(links.unionByName(more))
     return every.select("row", "n", "node").join(found, "node", "left").select(
         "row", "n", "node", F.coalesce("component", "node").alias("component")
@@ -409,10 +456,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     of their own, and a row without an id links others like any other; where no row of a
     component has an id, it is null. Otherwise as ``near_copies``.
     """
-    kept, row = numbered(docs.select("doc_id", "text"), "rtree")
-    found = near_copies(kept.select(F.col(row).alias("row"), "text"), percent, size)
-    store = Stored(docs.sparkSession, "rtree-ids")
-    named = store.write(found.join(kept.select(F.col(row).alias("row"), "doc_id"), "row"))
+    found = near_copies(docs.select(F.col("doc_id").alias("row"), "text"), percent, size)
+    named = Stored(docs.sparkSession, "rtree-ids").write(found.withColumnRenamed("row", "doc_id"))
     least = named.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     # Rows of a set meet its component's id by the set, which adaptive execution may split.
     sets = named.filter("n > 0").select("node", "component").distinct().join(least, "component")
