@@ -7,10 +7,11 @@ coordinates. The tree is packed by sorting: near copies mostly have the same sma
 they come into the same page. It is joined with itself from the top:
 
 * upper nodes are compared in very fine groups (one hash each). To share the needed number of
-  members, a set has to share one of its ``n - need + 1`` rarest ones; where the minima over
-  these coordinates sum to nothing, the two pages are never brought together;
+  members, a set has to share one of its ``n - need + 1`` rarest ones, with enough members
+  behind the first such one on both sides; where the minima over these coordinates sum to
+  nothing, or sizes and what is behind do not suffice, two pages are never brought together;
 * pages that meet are compared by their largest coordinates, then sets with pages, then sets
-  with sets, in coarse groups of about eight members each;
+  with sets, in coarser groups of one or two members each;
 * what survives is compared in full.
 
 Only components are wanted, so a cluster of near copies is first linked like a star, and pairs
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Stored, token_list
 from .components import components
+from .simhash import _with_end
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,7 +45,7 @@ LOADS = 1 << 20
 SLICES = 64
 
 # Members per coordinate that the number of groups aims at, and the fewest groups.
-LOAD, LEAST_WIDTH = 8, 16
+LOAD, LEAST_WIDTH = 2, 16
 
 # Words a task remembers the hashes of, and sets it remembers as met.
 KNOWN_WORDS, KNOWN_SETS = 500_000, 500_000
@@ -110,8 +112,9 @@ def _loads(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
     """How many members of the task's sets fall into each of ``LOADS`` groups, in slices."""
     total, hashes = np.zeros(LOADS, dtype=np.int64), WordHashes()
     for batch in batches:
-        for text in batch.column(0):
-            total += np.bincount(shingles(text.as_py(), size, hashes) & (LOADS - 1), minlength=LOADS)
+        found = [shingles(text.as_py(), size, hashes) for text in batch.column(0)]
+        if found:
+            total += np.bincount(np.concatenate(found) & (LOADS - 1), minlength=LOADS)
     yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array(list(total.reshape(SLICES, -1)))], ["slice", "part"])
 
 
@@ -137,8 +140,8 @@ def group_loads(rows: DataFrame, size: int = SHINGLE) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _marked(nodes: DataFrame) -> np.ndarray:
-    """For each slot, whether a node falls into it."""
+def _marked(keys: DataFrame) -> np.ndarray:
+    """For each slot, whether a key falls into it."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(SLOTS, dtype=bool)
@@ -150,7 +153,7 @@ def _marked(nodes: DataFrame) -> np.ndarray:
     def either(parts: list[bytes]) -> bytes:
         return np.bitwise_or.reduce([np.frombuffer(p, dtype=np.uint8) for p in parts]).tobytes()
 
-    found = _in_slices(nodes.select("node").mapInArrow(made, "slice int, part binary"), "binary", either)
+    found = _in_slices(keys.mapInArrow(made, "slice int, part binary"), "binary", either)
     bits = np.frombuffer(b"".join(map(bytes, found)), dtype=np.uint8)
     return np.unpackbits(bits).astype(bool) if len(bits) else np.zeros(SLOTS, dtype=bool)
 
@@ -175,11 +178,11 @@ class Met:
         return len(self.names) > before
 
 
-_POINT = "node long, n int, width int, low long, counts binary, prefix array<long>"
+_POINT = "node long, n int, key long, width int, low long, counts binary, prefix array<long>"
 
 
 def _points(batches: Iterator[pa.RecordBatch], loads: np.ndarray, percent: int, size: int) -> Iterator[pa.RecordBatch]:
-    """``row, node, n`` of every row; ``width, low, counts, prefix`` too where the set is new and not empty."""
+    """``row, node, n, key`` of every row; the rest too where the set is new and not empty."""
     hashes, met = WordHashes(), Met()
     for batch in batches:
         node, size_of, points = [], [], []
@@ -188,11 +191,11 @@ def _points(batches: Iterator[pa.RecordBatch], loads: np.ndarray, percent: int,
             node.append(_name(h))
             size_of.append(len(h))
             points.append(_point(h, loads, percent) if len(h) and met.first(node[-1]) else (None,) * 4)
-        cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size_of, pa.int32())]
+        cols = [batch.column(0), pa.array(node, pa.int64()), pa.array(size_of, pa.int32()), batch.column(2)]
         types = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         cols += [pa.array(list(c), t) for c, t in zip(zip(*points, strict=True), types, strict=True)] if points else []
         if points:
-            yield pa.record_batch(cols, ["row", "node", "n", "width", "low", "counts", "prefix"])
+            yield pa.record_batch(cols, ["row", "node", "n", "key", "width", "low", "counts", "prefix"])
 
 
 def _point(h: np.ndarray, loads: np.ndarray, percent: int) -> tuple[int, int, bytes, np.ndarray]:
@@ -207,22 +210,42 @@ def _point(h: np.ndarray, loads: np.ndarray, percent: int) -> tuple[int, int, by
     return wide, int(h[0]), c.astype(np.uint8).tobytes(), h[rare[: n - least + 1]]
 
 
-_PAGE = "page long, width int, nodes array<long>, sizes array<int>, counts binary, coords array<long>"
+_COORD = [("sig", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("rest", pa.int32())]
+_COORDS = pa.list_(pa.struct(_COORD))
+_PAGE = (
+    "page long, width int, nodes array<long>, sizes array<int>, counts binary, "
+    "coords array<struct<sig: long, low: int, high: int, rest: int>>"
+)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Points sorted by ``width, low, node`` as pages; equal sets come once."""
+    """Points sorted by ``width, low, node`` as pages; equal sets come once.
+
+    A page's fine coordinates tell for each hash the smallest and the largest of the sets that
+    have it among their rarest, and the most members that one of them has from it on.
+    """
     page = TaskContext.get().partitionId() << 40
     last = None
     held: list[tuple] = []
 
     def closed() -> pa.RecordBatch:
         nodes, sizes, width, counts, prefix = zip(*held, strict=True)
-        coords = np.unique(np.concatenate(prefix))
-        one = [[page], [width[0]], [list(nodes)], [list(sizes)], [b"".join(counts)], [coords]]
-        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64())]
-        names = ["page", "width", "nodes", "sizes", "counts", "coords"]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(one, types, strict=True)], names)
+        lengths = [len(x) for x in prefix]
+        sig, size = np.concatenate(prefix), np.repeat(np.array(sizes), lengths)
+        rest = size - np.concatenate([np.arange(x) for x in lengths])
+        order = np.argsort(sig, kind="stable")
+        sig, size, rest = sig[order], size[order], rest[order]
+        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        found = [sig[starts], np.minimum.reduceat(size, starts), np.maximum.reduceat(size, starts)]
+        found.append(np.maximum.reduceat(rest, starts))
+        coords = pa.StructArray.from_arrays(
+            [pa.array(x.astype(np.int64 if k == 0 else np.int32)) for k, x in enumerate(found)], [n for n, _ in _COORD]
+        )
+        one = [[page], [width[0]], [list(nodes)], [list(sizes)], [b"".join(counts)]]
+        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        cols = [pa.array(x, t) for x, t in zip(one, types, strict=True)]
+        cols.append(pa.ListArray.from_arrays(pa.array([0, len(coords)], pa.int32()), coords))
+        return pa.record_batch(cols, ["page", "width", "nodes", "sizes", "counts", "coords"])
 
     for batch in batches:
         node, n, width = (batch.column(k).to_pylist() for k in ("node", "n", "width"))
@@ -239,21 +262,36 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``sig, page`` sorted by both: ``sig, page, hub`` for all but a sig's first page, its hub."""
-    last_sig = last_hub = None
-    for batch in batches:
-        sig, page = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(sig):
+def _runs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``sig, page, low, high, rest`` sorted by the first two, without sigs of a single page.
+
+    ``hub`` is the sig's first page, ``star`` says whether sets of the two may be similar.
+    """
+    held, held_hub, held_start = None, None, True
+    for batch in _with_end(batches):
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else None
+        if held is not None:
+            cols = held if cols is None else [np.append(x, y) for x, y in zip(held, cols, strict=True)]
+        if cols is None or not len(cols[0]):
             continue
-        starts = np.append(True, sig[1:] != sig[:-1])
-        if last_sig is not None and sig[0] == last_sig:
-            starts[0] = False
-        at = np.maximum.accumulate(np.where(starts, np.arange(len(sig)), -1))
-        hub = np.where(at >= 0, page[np.maximum(at, 0)], 0 if last_hub is None else last_hub)
-        last_sig, last_hub = sig[-1], hub[-1]
-        rest = ~starts & (page != hub)
-        yield pa.record_batch([pa.array(x[rest]) for x in (sig, page, hub)], ["sig", "page", "hub"])
+        sig = cols[0]
+        starts = np.append(held_start, sig[1:] != sig[:-1])
+        at = np.maximum.accumulate(np.where(starts, np.arange(len(sig)), 0))
+        hub = [c[at] for c in cols[1:]]
+        if not held_start:
+            run = np.maximum.accumulate(np.where(starts, 1, 0)) == 0
+            hub = [np.where(run, x, h) for x, h in zip(held_hub, hub, strict=True)]
+        out = ~starts | np.append(sig[1:] == sig[:-1], False)
+        page, low, high, rest = cols[1:]
+        star = ~starts & (100 * high.astype(np.int64) >= percent * hub[1].astype(np.int64))
+        star &= 100 * hub[2].astype(np.int64) >= percent * low.astype(np.int64)
+        star &= np.minimum(rest, hub[3]) >= needed(low.astype(np.int64), hub[1].astype(np.int64), percent)
+        if batch is not None:
+            # The last row waits: whether its sig has another page is not known yet.
+            held, held_hub, held_start = [c[-1:] for c in cols], [h[-1] for h in hub], bool(starts[-1])
+            out[-1] = False
+        found = [c[out] for c in (*cols, hub[0], star)]
+        yield pa.record_batch([pa.array(c) for c in found], ["sig", "page", "low", "high", "rest", "hub", "star"])
 
 
 class Page:
@@ -338,26 +376,29 @@ def _sides(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def _verified(store: Stored, rows: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough; the sets are made again from the texts."""
+def _verified(store: Stored, rows: DataFrame, keys: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets are similar enough.
+
+    Their sets are made again, from those texts alone whose ``key`` is marked.
+    """
     pairs = store.write(pairs.distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    told = rows.sparkSession.sparkContext.broadcast(np.packbits(_marked(ends)))
+    told = rows.sparkSession.sparkContext.broadcast(np.packbits(_marked(keys.join(ends, "node").select("key"))))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, hashes, met = np.unpackbits(told.value), WordHashes(), Met()
         for batch in batches:
             node, sigs = [], []
-            for text in batch.column(0):
-                h = shingles(text.as_py(), size, hashes)
+            for i in np.flatnonzero(marked[batch.column(0).to_numpy(zero_copy_only=False) & (SLOTS - 1)]):
+                h = shingles(batch.column(1)[int(i)].as_py(), size, hashes)
                 name = _name(h)
-                if marked[name & (SLOTS - 1)] and met.first(name):
+                if len(h) and met.first(name):
                     node.append(name)
                     sigs.append(h)
             yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "sigs"])
 
-    made = rows.select("text").mapInArrow(again, "node long, sigs array<long>")
-    whole = store.write(made.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    made = rows.select("key", "text").mapInArrow(again, "node long, sigs array<long>")
+    whole = store.write(made.dropDuplicates(["node"]))
     both = pairs
     for end, name in (("a", "x"), ("b", "y")):
         both = both.join(whole.select(F.col("node").alias(end), F.col("sigs").alias(name)), end)
@@ -384,30 +425,33 @@ def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     empty table gives no rows. Other columns are not read.
 
     Texts are read four times: for the loads, for the points, and for the sets of surviving
-    pairs in both rounds. Shuffled are the points once (about a fifth of the hashes), these
+    pairs in both rounds, of which only those are made again. Shuffled are the points once (about a fifth of the hashes), these
     hashes once more to see which pages meet, pages that meet, and the sets of surviving pairs.
     """
     spark = rows.sparkSession
     store = Stored(spark, "rtree")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("row", "text")
+    rows = rows.select("row", "text", F.xxhash64("text").alias("key"))
     told = spark.sparkContext.broadcast(group_loads(rows, size))
     kind = rows.schema["row"].dataType.simpleString()
     every = store.write(rows.mapInArrow(lambda it: _points(it, told.value, percent, size), f"row {kind}, {_POINT}"))
-    points = every.filter("width IS NOT NULL").drop("row")
+    points = every.filter("width IS NOT NULL")
+    keys = points.select("node", "key")
+    points = points.select("node", "n", "width", "low", "counts", "prefix")
     packed = points.repartitionByRange(n, "width", "low", "node").sortWithinPartitions("width", "low", "node")
     pages = store.write(packed.mapInArrow(_pages, _PAGE))
     body = pages.drop("coords")
 
-    coords = pages.select(F.explode("coords").alias("sig"), "page")
+    coords = pages.select("page", F.explode("coords").alias("c")).select("c.sig", "page", "c.low", "c.high", "c.rest")
     coords = coords.repartition(n, "sig").sortWithinPartitions("sig", "page")
-    shared = store.write(coords.mapInArrow(_runs, "sig long, page long, hub long"))
+    runs = "sig long, page long, low int, high int, rest int, hub long, star boolean"
+    shared = store.write(coords.mapInArrow(lambda it: _runs(it, percent), runs))
 
     # A star: every page with itself and with the first page that has one of its hashes.
     own = body.select([F.col(c).alias(c + s) for s in "12" for c in body.columns])
-    star = _sides(body, shared.select(F.col("hub").alias("page1"), F.col("page").alias("page2")).distinct())
+    star = _sides(body, shared.filter("star").select(F.col("hub").alias("page1"), F.col("page").alias("page2")).distinct())
     first = own.unionByName(star).mapInArrow(lambda it: _first_links(it, percent), "a long, b long")
-    links = store.write(_verified(store, rows, first, percent, size))
+    links = store.write(_verified(store, rows, keys, first, percent, size))
     found = components(links)
 
     # All pages whose sets are not in one component yet.
@@ -419,30 +463,30 @@ def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     )
     comps = store.write(comps)
     body = body.join(comps.select("page", "comps"), "page")
-    pairs = store.write(_open_pairs(store, shared, comps.select("page", "only")))
+    pairs = store.write(_open_pairs(store, shared, comps.select("page", "only"), percent))
     other = _sides(body, pairs).mapInArrow(lambda it: _other_links(it, percent), "a long, b long")
-    more = _verified(store, rows, other, percent, size)
+    more = _verified(store, rows, keys, other, percent, size)
     found = components(links.unionByName(more))
     return every.select("row", "n", "node").join(found, "node", "left").select(
         "row", "n", "node", F.coalesce("component", "node").alias("component")
     )
 
 
-def _open_pairs(store: Stored, shared: DataFrame, only: DataFrame) -> DataFrame:
-    """Pairs of pages ``page1 <= page2`` that share a hash and are not in one component as a whole.
+def _open_pairs(store: Stored, shared: DataFrame, only: DataFrame, percent: int) -> DataFrame:
+    """Pairs of pages ``page1 <= page2`` that may hold similar sets and are not in one component as a whole.
 
     The pages of a hash that lie in its largest component are never paired with each other, so
     a hash that many near copies share costs no more than its other pages times all.
     """
-    every = shared.select("sig", "page").unionByName(shared.select("sig", F.col("hub").alias("page")).distinct())
-    marked = store.write(every.join(only, "page"))
+    marked = store.write(shared.select("sig", "page", "low", "high", "rest").join(only, "page"))
     sizes = marked.filter("only IS NOT NULL").groupBy("sig", "only").agg(F.count("*").alias("n"))
     main = sizes.groupBy("sig").agg(F.max_by("only", F.struct("n", "only")).alias("main"))
-    rest = marked.join(main, "sig", "left").filter("only IS NULL OR only <> main").select("sig", "page", "only")
-    rest = store.write(rest)
+    rest = store.write(marked.join(main, "sig", "left").filter("only IS NULL OR only <> main").drop("main"))
     x, y = rest.alias("x"), marked.alias("y")
-    apart = (F.col("x.page") != F.col("y.page")) & ~(F.col("x.only") == F.col("y.only")).eqNullSafe(True)
-    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart)
+    may = f"""x.sig = y.sig AND x.page <> y.page AND NOT (x.only = y.only) <=> true
+        AND 100L * x.high >= {percent}L * y.low AND 100L * y.high >= {percent}L * x.low
+        AND {100 + percent}L * least(x.rest, y.rest) >= {percent}L * (x.low + y.low)"""
+    met = x.join(y, F.expr(may))
     pairs = met.select(F.least("x.page", "y.page").alias("page1"), F.greatest("x.page", "y.page").alias("page2"))
     mixed = only.filter("only IS NULL").select(F.col("page").alias("page1"), F.col("page").alias("page2"))
     return pairs.distinct().unionByName(mixed)
