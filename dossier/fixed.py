@@ -7,6 +7,7 @@ MSWORD = "application/msword"
 MAX_FILE_MB = 10
 PROMPT_CHARS = 12_000
 MAX_TOKENS = 4096
+ANSWER_LIMIT_S = 60
 EXTRACTION_TEMPERATURE = 0.1
 ANALYSIS_TEMPERATURE = 0.2
 

@@ -583,6 +583,14 @@ judged AS (
     "upsert_batch": _with(_RUNS, _STORED_ROWS),
     "profile_store": _with(_RUNS, _STORED_ROWS),
     "upsert_stream": _with(_RUNS, _STORED_ROWS),
+    "upsert_restart": _with(_RUNS, _STORED_ROWS),
+    "timed_answers": """SELECT event_id AS request_id, in_time AS success,
+            CASE WHEN in_time THEN '' ELSE 'no answer within 60 seconds' END AS error,
+            CASE WHEN in_time THEN props ELSE '' END AS answer,
+            CASE WHEN in_time THEN '' ELSE 'no answer within 60 seconds' END AS error_in_json
+        FROM (SELECT *, event_type <> 'error' AND round(value, 6) <= 60 AS in_time FROM events)""",
+    "run_windows": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type <> 'error' AS success,
+            count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2""",
     "visible_profiles": _with(
         _RUNS,
         """SELECT 'service' AS reader, user_id, profile_data FROM stored

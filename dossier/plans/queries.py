@@ -19,7 +19,9 @@ from ..schemas import LIST_SECTIONS
 from ..session import prepare, shared_dir, written
 from ..sources.profiles import append_changes, read_profiles, write_profiles
 from ..sources.uploads import split_units
-from ..streaming.upsert import stream_upsert
+from ..streaming.answers import answered_in_time, timed_envelopes
+from ..streaming.summary import windowed_summary
+from ..streaming.upsert import appended, arriving_files, stop_after, stream_upsert
 from . import standins as S
 
 
@@ -478,6 +480,51 @@ def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(read_profiles(spark, f"{path}/table"))
 
 
+def upsert_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as twelve files in order, one per micro-batch; stopped on the way and started again."""
+    path = f"{shared_dir(spark)}/upsert_restart/{uuid.uuid4().hex}"
+    files = S.arrive(S.table(spark, sf_dir, "events"), "ts", f"{path}/files", 12)
+
+    def start():
+        runs = S.run_columns(arriving_files(spark, files, S.TABLES["events"]))
+        return stream_upsert(runs, f"{path}/table", f"{path}/checkpoint", f"upsert-{path[-8:]}")
+
+    stop_after(start(), f"{path}/table", 4)
+    start().awaitTermination()
+    return _rows(read_profiles(spark, f"{path}/table"))
+
+
+def timed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and answers as two streams: the answer within the limit, or the failure."""
+    path = f"{shared_dir(spark)}/timed_answers/{uuid.uuid4().hex}"
+    asked, given = S.timed_requests(spark, sf_dir)
+    streams = [
+        arriving_files(spark, S.arrive(rows, at, f"{path}/{at}", 8, {at: "TIMESTAMP'{tick}'"}), rows.schema)
+        for rows, at in ((asked, "asked_at"), (given, "answered_at"))
+    ]
+    met = appended(answered_in_time(*streams), f"{path}/met", f"{path}/checkpoint")
+    made = timed_envelopes(met.filter("request_id IS NOT NULL"))
+    return made.select(
+        "request_id",
+        "success",
+        _or(F.col("error"), "").alias("error"),
+        _or(F.get_json_object("json", "$.answer"), "").alias("answer"),
+        _or(F.get_json_object("json", "$.error"), "").alias("error_in_json"),
+    )
+
+
+def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs and users per day and outcome, from runs that arrive late."""
+    path = f"{shared_dir(spark)}/run_windows/{uuid.uuid4().hex}"
+    late = S.late_runs(spark, sf_dir)
+    ticks = {c: "TIMESTAMP'{tick}'" for c in ("ts", "arrived_at")}
+    files = S.arrive(late, "arrived_at", f"{path}/files", 8, ticks)
+    counted = windowed_summary(arriving_files(spark, files, late.schema))
+    out = appended(counted, f"{path}/windows", f"{path}/checkpoint").filter("success IS NOT NULL")
+    day = F.expr(S.zoneless("window_start")).cast("date").cast("string")
+    return out.select(day.alias("day"), "success", "n", "n_users")
+
+
 def visible_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _current(spark, sf_dir)
     views = {"user 7": ("7", "authenticated"), "nobody": (None, "anon"), "service": (None, "service_role")}
@@ -582,6 +629,9 @@ QUERIES = {
         upsert_batch,
         profile_store,
         upsert_stream,
+        upsert_restart,
+        timed_answers,
+        run_windows,
         visible_profiles,
         cascade,
         constraint_audit,

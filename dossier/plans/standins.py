@@ -378,3 +378,57 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("c_acctbal") >= 0)
         .select(F.col("c_custkey").cast("string").alias("user_id"))
     )
+
+
+# Arrivals
+
+
+def instant(column: str) -> str:
+    """A zoneless time as a point in time, the same in every session's time zone."""
+    return f"TIMESTAMP'1970-01-01 00:00:00Z' + ({column} - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+
+
+def zoneless(column: str) -> str:
+    """The way back."""
+    return f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + ({column} - TIMESTAMP'1970-01-01 00:00:00Z')"
+
+
+# Times after all others: files that only tell a stream that time has gone on.
+TICKS = ("2030-01-01 00:00:00Z", "2030-01-02 00:00:00Z")
+
+
+def arrive(rows: DataFrame, at: str, path: str, slices: int, ticks: dict[str, str] | None = None) -> str:
+    """Write rows to ``path`` in the order of the expression ``at``, one job and file per slice of time.
+
+    ``ticks`` gives a column its late time (``{tick}`` stands for it); two rows follow then
+    that have nothing but that.
+    """
+    first, last = rows.agg(F.min(F.expr(at)), F.max(F.expr(at))).first()
+    step = (last - first) / slices if first is not None else None
+    for k in range(slices if step is not None else 0):
+        low, high = F.lit(first + k * step), F.lit(first + (k + 1) * step)
+        here = (F.expr(at) >= low) & (F.expr(at) < high if k < slices - 1 else F.lit(True))
+        rows.filter(here).coalesce(1).write.mode("append").parquet(path)
+    for tick in TICKS if ticks else ():
+        empty = [f"{ticks[c].format(tick=tick)} AS {c}" if c in ticks else f"CAST(NULL AS {t}) AS {c}" for c, t in rows.dtypes]
+        rows.sparkSession.range(1).selectExpr(*empty).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def timed_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A request per event, and its answer ``value`` seconds later; error events get none."""
+    events = table(spark, sf_dir, "events")
+    asked = events.selectExpr("event_id AS request_id", f"{instant('ts')} AS asked_at")
+    later = "make_dt_interval(0, 0, 0, CAST(value AS DECIMAL(18, 6)))"
+    given = events.filter("event_type <> 'error'").selectExpr(
+        "event_id AS request_id", f"{instant('ts')} + {later} AS answered_at", "props AS answer"
+    )
+    return asked, given
+
+
+def late_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with the time they arrive: up to forty minutes after they took place."""
+    return runs(spark, sf_dir).selectExpr(
+        "run_id", "user_id", "success", f"{instant('ts')} AS ts",
+        f"{instant('ts')} + make_dt_interval(0, 0, CAST(run_id % 5 AS INT) * 10, 0) AS arrived_at",
+    )
