@@ -334,6 +334,18 @@ ORACLES: dict[str, str] = {
         """SELECT upload_id, filename, coalesce(service_type, '') AS service_type,
             coalesce(gateway_type, '') AS gateway_type, client_ok FROM typed""",
     ),
+    "upload_scan": _with(
+        _UPLOADS,
+        f"""SELECT folder, filename, CAST(strlen(content) AS BIGINT) AS size_bytes, coalesce(file_type, '') AS file_type,
+            reason, CAST(CASE reason WHEN '' THEN 0 WHEN 'type' THEN 415 WHEN 'empty' THEN 400 ELSE 422 END AS BIGINT) AS status,
+            md5(content) AS text_md5
+        FROM (SELECT *, CASE WHEN file_type IS NULL THEN 'type' WHEN content = '' THEN 'empty'
+                WHEN {_blank('content')} THEN 'blank_text' ELSE '' END AS reason
+            FROM (SELECT 'd' || upload_id % 16 AS folder, filename,
+                CASE WHEN size_bytes = 0 THEN '' ELSE coalesce(text, '') END AS content,
+                CASE WHEN lower(filename) LIKE '%.pdf' THEN '{PDF}'
+                    WHEN lower(filename) LIKE '%.docx' THEN '{DOCX}' END AS file_type FROM uploads))""",
+    ),
     "intake_gates": _with(
         _UPLOADS, "SELECT caller, upload_id, reason, status, error FROM judged"
     ),

@@ -14,10 +14,11 @@ from ..functions.text import drop_blank_lines, strip_fences
 from ..operators import assemble, audits, derive, marts, nested, requests, responses, state
 from ..operators.contacts import contacts as find_contacts
 from ..operators.envelope import envelope as make_envelope
-from ..operators.intake import CALLERS, intake, judge_for_callers
+from ..operators.intake import CALLERS, intake, judge_for_callers, judge_uploads
 from ..schemas import LIST_SECTIONS
 from ..session import prepare, shared_dir, written
 from ..sources.profiles import append_changes, read_profiles, write_profiles
+from ..sources.upload_source import scan_uploads
 from ..sources.uploads import split_units
 from ..streaming.answers import answered_in_time, timed_envelopes
 from ..streaming.summary import windowed_summary
@@ -51,6 +52,20 @@ def intake_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def upload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads written as files, empty ones among them, read back and judged."""
+    path = S.upload_folder(spark, sf_dir, f"{shared_dir(spark)}/upload_scan/{uuid.uuid4().hex}")
+    return judge_uploads(scan_uploads(spark, path, content=True), "service").select(
+        "folder",
+        "filename",
+        "size_bytes",
+        _or(F.col("file_type"), "").alias("file_type"),
+        _or(F.col("reason"), "").alias("reason"),
+        _long(_or(F.col("status"), 0)).alias("status"),
+        F.md5(_or(F.col("text"), "")).alias("text_md5"),
+    )
+
+
 def _judged(spark, sf_dir) -> DataFrame:
     return judge_for_callers(S.uploads(spark, sf_dir), list(CALLERS), ["upload_id"])
 
@@ -592,6 +607,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         intake_types,
+        upload_scan,
         intake_gates,
         intake_quarantine,
         intake_valid,

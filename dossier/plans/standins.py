@@ -8,7 +8,7 @@ table. Keys only choose how a row is spelled or damaged.
 
 from __future__ import annotations
 
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -380,6 +380,33 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Files
+
+
+def upload_folder(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """One file per upload with its text, in sixteen folders; files of zero bytes where it says so."""
+    from pyarrow import fs
+
+    def write(batches):
+        system, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        written = 0
+        for batch in batches:
+            for folder, name, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                system.create_dir(f"{root}/{folder}", recursive=True)
+                with system.open_output_stream(f"{root}/{folder}/{name}") as out:
+                    out.write(text.encode())
+                written += 1
+        yield pa.record_batch([pa.array([written])], ["n"])
+
+    named = uploads(spark, sf_dir).selectExpr(
+        "concat('d', upload_id % 16) AS folder",
+        "filename",
+        "CASE WHEN size_bytes = 0 THEN '' ELSE coalesce(text, '') END AS text",
+    )
+    named.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return path
+
+
 # Arrivals
 
 
