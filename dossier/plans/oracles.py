@@ -328,6 +328,25 @@ _PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 
 _STORED_ROWS = "SELECT id, user_id, profile_data, source_filename, created_at, updated_at FROM stored"
 
+# Every upload's way through the whole run, told from the keys that damage it.
+_FLOW = f"""{_UPLOADS.strip()},
+assembled AS (
+    SELECT upload_id, filename, user_id, mime, size_bytes, service_type,
+        CASE WHEN service_type = '{PDF}' THEN replace(text, chr(10), chr(10) || '  ' || chr(10))
+            ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT ({_blank('x')})), chr(10)) END AS text
+    FROM typed),
+ended AS (
+    SELECT *, upload_id AS k, CASE WHEN service_type IS NULL THEN 'intake type' WHEN size_bytes > 10485760 THEN 'intake size'
+        WHEN size_bytes = 0 THEN 'intake empty' WHEN text IS NULL OR {_blank('text')} THEN 'intake blank_text'
+        WHEN upload_id % 23 = 0 THEN 'extraction no_answer' WHEN upload_id % 10 = 0 THEN 'extraction malformed'
+        WHEN upload_id % 10 = 1 THEN 'extraction not_object' WHEN upload_id % 10 = 2 THEN 'extraction reserved_key'
+        WHEN upload_id % 10 = 3 THEN 'extraction invalid' WHEN upload_id % 29 = 0 THEN 'analysis no_answer'
+        WHEN upload_id % 12 = 0 THEN 'analysis invalid' WHEN upload_id % 12 = 1 THEN 'analysis malformed'
+        WHEN upload_id % 12 = 2 THEN 'analysis not_object' ELSE 'done ' END AS way
+    FROM assembled),
+told AS (SELECT *, split_part(way, ' ', 1) AS step, split_part(way, ' ', 2) AS reason FROM ended),
+kept AS (SELECT k % 50 AS u, max(k) AS k FROM told WHERE step = 'done' AND user_id IS NOT NULL GROUP BY k % 50)"""
+
 ORACLES: dict[str, str] = {
     "intake_types": _with(
         _UPLOADS,
@@ -623,6 +642,25 @@ loose AS (SELECT CASE WHEN success THEN user_id END AS user_id,
             WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM live_users)
             GROUP BY user_id""",
     ),
+    "whole_run": _with(
+        _FLOW,
+        """SELECT upload_id, step, reason,
+            CAST(CASE reason WHEN '' THEN 0 WHEN 'type' THEN 415 WHEN 'size' THEN 413 WHEN 'empty' THEN 400
+                WHEN 'no_answer' THEN 500 WHEN 'not_object' THEN 500 WHEN 'reserved_key' THEN 500 ELSE 422 END AS BIGINT) AS status,
+            step = 'done' AS success, error, error AS error_in_json, name, level, score, text_md5, stored
+        FROM (SELECT *, CASE WHEN step = 'done' THEN '' WHEN reason = 'no_answer' THEN 'no answer within 60 seconds'
+                WHEN step <> 'intake' THEN 'answer refused: ' || reason
+                WHEN reason = 'type' THEN 'Unsupported file type ''' || coalesce(mime, '')
+                    || '''. Please upload a PDF or DOCX file.'
+                WHEN reason = 'size' THEN 'File exceeds maximum size of 10 MB.' WHEN reason = 'empty' THEN 'Uploaded file is empty.'
+                ELSE 'Could not extract any text from the uploaded file.' END AS error,
+            CASE WHEN step = 'done' THEN 'Person ' || k ELSE '' END AS name,
+            CASE WHEN step = 'done' THEN ['Entry', 'Mid', 'Senior'][k % 3 + 1] ELSE '' END AS level,
+            CASE WHEN step = 'done' THEN CAST(k % 101 AS VARCHAR) ELSE '' END AS score,
+            md5(CASE WHEN step = 'done' THEN text ELSE '' END) AS text_md5,
+            k IN (SELECT k FROM kept) AS stored FROM told)""",
+    ),
+    "whole_run_counts": _with(_FLOW, "SELECT step, reason, count(*) AS n FROM told GROUP BY step, reason"),
     "envelope": _with(
         _PROFILES,
         """SELECT 'analysis-' || person_id AS request_id, bad_field = '' AS success,

@@ -14,6 +14,8 @@ from ..functions.text import drop_blank_lines, strip_fences
 from ..operators import assemble, audits, derive, marts, nested, requests, responses, state
 from ..operators.contacts import contacts as find_contacts
 from ..operators.envelope import envelope as make_envelope
+from ..operators.flow import Run
+from ..operators.flow import whole_run as run_flow
 from ..operators.intake import CALLERS, intake, judge_for_callers, judge_uploads
 from ..schemas import LIST_SECTIONS
 from ..session import prepare, shared_dir, written
@@ -603,6 +605,47 @@ def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _flow(spark: SparkSession, sf_dir: str) -> tuple[Run, DataFrame]:
+    """The whole run over all uploads, and the profile table it leaves."""
+    path = f"{shared_dir(spark)}/whole_run/{uuid.uuid4().hex}"
+    made = run_flow(
+        S.flow_uploads(spark, sf_dir), S.flow_units(spark, sf_dir), S.extraction_model, S.analysis_model, path, "flow", 0
+    )
+    return made, read_profiles(spark, path)
+
+
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One envelope per upload, and whether the table holds its profile now."""
+    made, table = _flow(spark, sf_dir)
+    held = table.select(
+        F.get_json_object("profile_data", "$.original_resume.personal_info.name").alias("name"), F.lit(True).alias("stored")
+    )
+    path = {
+        "level": "$.profile_intelligence.career_level",
+        "score": "$.profile_intelligence.profile_completeness.overall_score",
+        "name": "$.parsed_resume.personal_info.name",
+        "error_in_json": "$.error",
+    }
+    said = made.envelopes.select(
+        "upload_id",
+        "step",
+        _or(F.col("reason"), "").alias("reason"),
+        _long(_or(F.col("status"), 0)).alias("status"),
+        "success",
+        _or(F.col("error"), "").alias("error"),
+        *[_or(F.get_json_object("json", p), "").alias(n) for n, p in path.items()],
+        F.md5(_or(F.get_json_object("json", "$.parsed_resume.raw_text"), "")).alias("text_md5"),
+    )
+    return said.join(held, "name", "left").withColumn("stored", _or(F.col("stored"), False))
+
+
+def whole_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the runs ended, as observed while the envelopes were written."""
+    made, _ = _flow(spark, sf_dir)
+    rows = [(step, reason, n) for (step, reason), n in made.counts().items() if n]
+    return spark.createDataFrame(rows, "step string, reason string, n long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -652,6 +695,8 @@ QUERIES = {
         cascade,
         constraint_audit,
         envelope,
+        whole_run,
+        whole_run_counts,
     )
 }
 

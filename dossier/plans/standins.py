@@ -380,6 +380,58 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A whole run
+
+
+def flow_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads of fifty users, a minute apart."""
+    return uploads(spark, sf_dir).selectExpr(
+        "upload_id", "CASE WHEN user_id IS NOT NULL THEN CAST(upload_id % 50 AS STRING) END AS user_id",
+        "filename", "mime", "size_bytes",
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(upload_id AS INT), 0) AS uploaded_at",
+    )
+
+
+def flow_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the uploads' texts, with a blank one after each."""
+    spaced = F.split(F.replace("text", F.lit("\n"), F.lit("\n  \n")), "\n")
+    return uploads(spark, sf_dir).select(F.col("upload_id").alias("doc_id"), F.posexplode(spaced).alias("seq", "text"))
+
+
+def extraction_model(requests: DataFrame) -> DataFrame:
+    """Answers to extraction requests, damaged by key; every 23rd stays out."""
+    json = """to_json(named_struct(
+        'personal_info', named_struct('name', concat('Person ', doc_id), 'email', concat('p', doc_id, '@example.com')),
+        'skills', array(named_struct('category', concat('c', doc_id % 5), 'skills', array(concat('s', doc_id % 7))))))"""
+    damaged = pick(
+        "doc_id % 10",
+        "concat(json, json)",
+        "concat('[', json, ']')",
+        with_key("json", '"raw_text":"x"'),
+        with_key("json", '"languages":null'),
+        otherwise="json",
+    )
+    made = requests.filter("doc_id % 23 <> 0").selectExpr("request_id", "doc_id", f"{json} AS json")
+    return made.selectExpr("request_id", f"{damaged} AS answer")
+
+
+def analysis_model(requests: DataFrame) -> DataFrame:
+    """Answers to analysis requests, damaged by key; every 29th stays out."""
+    json = """to_json(named_struct(
+        'career_level', element_at(array('Entry', 'Mid', 'Senior'), CAST(person_id % 3 AS INT) + 1),
+        'total_years_experience', CAST(person_id % 40 AS DOUBLE),
+        'profile_completeness', named_struct('overall_score', person_id % 101)))"""
+    damaged = pick(
+        "person_id % 12",
+        with_key("json", '"career_level":null'),
+        "substr(json, 1, length(json) - 1)",
+        "concat('[', json, ']')",
+        otherwise="json",
+    )
+    made = requests.filter("person_id % 29 <> 0").selectExpr("request_id", "person_id", f"{json} AS json")
+    return made.selectExpr("request_id", f"{damaged} AS answer")
+
+
 # Files
 
 
