@@ -613,6 +613,8 @@ judged AS (
     ),
     "upsert_batch": _with(_RUNS, _STORED_ROWS),
     "profile_store": _with(_RUNS, _STORED_ROWS),
+    "cascade_store": _with(_RUNS, f"{_STORED_ROWS} WHERE user_id IN (SELECT user_id FROM live_users)"),
+    "own_profile": _with(_RUNS, f"{_STORED_ROWS} WHERE user_id = '7'"),
     "upsert_stream": _with(_RUNS, _STORED_ROWS),
     "upsert_restart": _with(_RUNS, _STORED_ROWS),
     "timed_answers": """SELECT event_id AS request_id, in_time AS success,

@@ -19,7 +19,7 @@ from ..operators.flow import whole_run as run_flow
 from ..operators.intake import CALLERS, intake, judge_for_callers, judge_uploads
 from ..schemas import LIST_SECTIONS
 from ..session import prepare, shared_dir, written
-from ..sources.profiles import append_changes, read_profiles, write_profiles
+from ..sources.profiles import append_changes, cascade_deletions, read_profiles, write_profiles
 from ..sources.upload_source import scan_uploads
 from ..sources.uploads import split_units
 from ..streaming.answers import answered_in_time, timed_envelopes
@@ -483,6 +483,25 @@ def profile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(read_profiles(spark, path))
 
 
+def cascade_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in layers; the profiles of deleted users leave it by tombstones."""
+    path = f"{shared_dir(spark)}/cascade_store/{uuid.uuid4().hex}"
+    early, late = _two_batches(spark, sf_dir)
+    write_profiles(state.batch_changes(early), path)
+    append_changes(state.batch_changes(late), path, "late", 0)
+    cascade_deletions(spark, S.users(spark, sf_dir), path, "cascade", 0)
+    return _rows(read_profiles(spark, path))
+
+
+def own_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one user reads of a stored table: their row, out of their folder alone."""
+    path = f"{shared_dir(spark)}/own_profile/{uuid.uuid4().hex}"
+    early, late = _two_batches(spark, sf_dir)
+    write_profiles(state.batch_changes(early), path)
+    append_changes(state.batch_changes(late), path, "late", 0)
+    return _rows(state.visible_profiles(read_profiles(spark, path, "7"), "7", "authenticated"))
+
+
 def upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of runs, applied micro-batch by micro-batch."""
     path = f"{shared_dir(spark)}/upsert_stream/{uuid.uuid4().hex}"
@@ -687,6 +706,8 @@ QUERIES = {
         stat_cards,
         upsert_batch,
         profile_store,
+        cascade_store,
+        own_profile,
         upsert_stream,
         upsert_restart,
         timed_answers,

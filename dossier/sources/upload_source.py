@@ -59,9 +59,12 @@ class UploadReader(DataSourceReader):
         system, root, _ = _opened(self.path)
         below = [x for x in system.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory]
         found = [Folder(root, "", False), *[Folder(x.path, x.base_name, True) for x in sorted(below, key=lambda x: x.path)]]
-        return [x for x in found if self.only is None or x.name == self.only]
+        # Spark wants one at least; the one without a path lists nothing.
+        return [x for x in found if self.only is None or x.name == self.only] or [Folder("", "", False)]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
         system, _, before = _opened(self.path)
         rows: list[tuple] = []
         weight = 0
