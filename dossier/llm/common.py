@@ -81,11 +81,16 @@ def column_named(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The rows stored once with a number of their own, and the name of its column."""
-    name = "_row"
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have in any letter case."""
     while name in {c.lower() for c in docs.columns}:
         name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows stored once with a number of their own, and the name of its column."""
+    name = free_name(docs, "_row")
     return Stored(docs.sparkSession, label).write(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, column_named, numbered, words
+from .common import column_named, free_name, numbered, words
 
 WINDOW = 10
 
@@ -117,7 +117,7 @@ def found_windows(docs: DataFrame, grams: DataFrame, max_set: int = MAX_SET) ->
             hits = F.concat(*[_every(w, n) for n in lengths])
         return F.struct(F.size(w).cast("long").alias("n_words"), hits.cast(HIT).alias("hits"))
 
-    return docs.withColumn("_found", _let(words(F.col("text")), judged)), fits
+    return docs.withColumn(free_name(docs, "_found"), _let(words(F.col("text")), judged)), fits
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
@@ -164,17 +164,20 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_s
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
-    """Documents without a benchmark window, with all their columns; null texts are clean."""
+    """Documents without a benchmark window, with all their columns; null texts are clean.
+
+    Columns of any name are kept as they are; an empty table stays empty.
+    """
     grams = item_grams(items, window).select("gram", "length").distinct()
     rows, fits = found_windows(docs, grams, max_set)
     if fits:
-        return rows.filter(F.size("_found.hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    row = F.monotonically_increasing_id().alias("_row")
-    kept = Stored(docs.sparkSession, "decontaminate").write(docs.select("*", row))
-    windows = found_windows(kept.select("_row", "text"), grams, max_set)[0]
-    bad = windows.select("_row", F.explode("_found.hits").alias("hit")).select("_row", "hit.*")
-    bad = bad.join(grams, ["gram", "length"], "left_semi").select("_row").distinct()
-    return kept.join(bad, "_row", "left_anti").drop("_row")
+        hits = F.col(f"`{rows.columns[-1]}`").getField("hits")
+        return rows.filter(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept, row = numbered(docs, "decontaminate")
+    windows = found_windows(kept.select(F.col(row).alias("n"), "text"), grams, max_set)[0]
+    bad = windows.select("n", F.explode("_found.hits").alias("hit")).select("n", "hit.*")
+    bad = bad.join(grams, ["gram", "length"], "left_semi").select(F.col("n").alias(row)).distinct()
+    return kept.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -238,8 +238,11 @@ def in_known_language(docs: DataFrame, floor: float = FLOOR, share: float = KNOW
     """Documents in one of the languages learned from them; all columns stay.
 
     Rejected are texts that are null, have no letter, whose score is below ``floor``, or of
-    whose letter triples no language knows ``share``, less the noise at their number.
+    whose letter triples no language knows ``share``, less the noise at their number. A table
+    from which no language can be learned is an error, unless it has no rows.
     """
+    if docs.isEmpty():
+        return docs
     learned = docs.filter(~held_out())
     langs, profiles = train(learned)
     letters = letter_vectors(profiles.shape[1]) if langs else None
@@ -258,4 +261,7 @@ def in_known_language(docs: DataFrame, floor: float = FLOOR, share: float = KNOW
             known = np.array([is_known(t, place, table, share) for t in texts], dtype=bool)
             yield batch.filter(pa.array(has & (best >= floor) & known))
 
-    return docs.mapInArrow(keep, docs.schema) if langs else docs.limit(0)
+    if not langs:
+        # Nothing is learned, so nothing can be told unknown: rejecting all would lose the table.
+        raise ValueError("no document has both a text and a language to learn from")
+    return docs.mapInArrow(keep, docs.schema)

@@ -205,17 +205,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have fingerprint 0 and link like any other. Equal fingerprints are
     one node, so copies are never paired. ``component_id`` is the smallest document id
-    reachable; rows with a null id belong to their fingerprint's component. Repeated rows
+    reachable; rows with a null id link like any other, and where no row has an id it is null. Repeated rows
     stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
     store = Stored(spark, "simhash")
     rows = store.write(fingerprints(docs))
     nodes = store.write(rows.groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")))
-    found = components(links(nodes.filter("id IS NOT NULL")))
-    named = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
-    )
+    # A fingerprint is its own number: rows without an id may be what links two others.
+    found = components(links(nodes.select("fp", F.col("fp").alias("id"))))
+    placed = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = placed.select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = placed.join(least, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

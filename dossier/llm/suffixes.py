@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, column_named
+from .common import Stored, column_named, free_name
 
 LENGTH = 100
 SEED = 51
@@ -675,10 +675,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def finish(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
         return len(starts), _kept(raw, starts, ends).decode("utf-8", "ignore") if len(starts) else None
 
-    numbered = docs.withColumn("_was", F.col("text"))
-    found = repeats(numbered, finish, "n_spans long, left string")
+    was = free_name(docs, "_was")
+    found = repeats(docs.withColumn(was, F.col("text")), finish, "n_spans long, left string")
     found = found.filter("n_spans = 0 OR left <> ''")
-    text = F.when(F.col("n_spans") == 0, F.col("rest._was")).otherwise(F.col("left"))
+    text = F.when(F.col("n_spans") == 0, F.col(f"rest.`{was}`")).otherwise(F.col("left"))
     columns = []
     for c in docs.columns:
         value = text if c == "text" else F.col(f"rest.`{c}`")

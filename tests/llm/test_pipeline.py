@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 from dossier.llm import langid, pieces
-from tests.llm.test_small_ops import contaminated, plain_fingerprint, removed
+from tests.llm.test_near_copies import keepers
+from tests.llm.test_small_ops import contaminated, removed
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -17,14 +18,8 @@ def test_stages(spark, sf_dir, tmp_path):
     judged = {r.doc_id: r for r in langid.identify(docs).collect()}
     assert set(rows[1]) == {d for d, r in judged.items() if r.lang_pred != "und" and r.score >= langid.FLOOR}
 
-    fp = {d: plain_fingerprint(r.text) for d, r in rows[1].items()}
-    first = {d: d for d in fp}
-    for a in sorted(fp):
-        for b in sorted(fp):
-            if b < a and (fp[a] ^ fp[b]).bit_count() <= 3 and first[a] != first[b]:
-                low, high = sorted((first[a], first[b]))
-                first = {d: low if x == high else x for d, x in first.items()}
-    assert set(rows[2]) == set(first.values())
+    entries = [(d, r.text) for d, r in rows[1].items()]
+    assert set(rows[2]) == {entries[k][0] for k in keepers(entries)}
 
     raw = [(d, (r.text or "").encode()) for d, r in rows[2].items()]
     left = {}
