@@ -18,8 +18,7 @@ def test_a_long_run_is_searched_in_linear_time(spark):
     run = "aB3-_" * 200_000
     rows = [(1, run), (2, run + " me@x.org"), (3, "a@b.cc@d.ee a@b.c_d@e.f")]
     found = contacts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.value) for r in found} == {(2, "me@x.org"), (3, "a@b.cc"), (3, "a@b.c"), (3, "_d@e.f")} or found
-    assert {r.value for r in found if r.doc_id == 2} == {"me@x.org"}
+    assert {(r.doc_id, r.value) for r in found} == {(2, "me@x.org"), (3, "a@b.cc"), (3, "a@b.c"), (3, "_d@e.f")}
 
 
 def test_texts_are_searched_once(spark, sf_dir):
