@@ -180,10 +180,13 @@ def scan(
     Base labels come from phrases in the running words; the other labels from text blocks
     (lines) that hold at least ``containment`` of a template's distinct words. With ``runs``
     blocks are also the runs of words across line breaks, from every word on, as long as
-    ``run_lengths`` says, so that wrapped notices are found. ``score`` is 1 where a phrase
-    stands, else the best share found, else 0. ``blocks`` lists the matches by line, a run by
-    the line it begins in; a run over a line that matches itself only raises its share.
-    Null and empty texts have no words and no labels; repeated rows are scanned one by one.
+    ``run_lengths`` says, so that wrapped notices are found, and a line longer than that is
+    judged by the runs in it alone: words strewn over a long line are no notice. ``score`` is
+    1 where a phrase stands, else the best share found, else 0. ``blocks`` lists the matches
+    by line, a run by the line it begins in; a run over a line that matches itself only raises
+    its share. Null and empty texts have no words and no labels; repeated rows are scanned one
+    by one; an empty table gives no rows. Columns but ``doc_id`` and ``text`` are not read, so
+    their names may be any.
     Words are counted over all texts first, then each text is read once; documents are
     neither shuffled nor paired with each other, and the index is as small as the templates.
     """
@@ -203,7 +206,11 @@ def scan(
     rare = min(index.need.values())
 
     def with_runs(w: list[bytes], starts: list[int], blocks: list[tuple]) -> list[tuple]:
-        found = {(block, label): share for block, label, share in blocks}
+        ends = [*starts[1:], len(w)]
+        # A line longer than a template's runs is judged by the runs in it alone.
+        found = {
+            (block, label): share for block, label, share in blocks if ends[block] - starts[block] <= lengths[label]
+        }
         # A text that does not hold a template's words has no run that does.
         for label in index.matches(w):
             for first, last, held in best_runs(w, sets[label], index.need[label], lengths[label]):
