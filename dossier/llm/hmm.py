@@ -31,10 +31,8 @@ SHARED_CLASSES = 2048
 # Words whose counts every task gets, and their longest length; others are joined.
 KNOWN_WORDS = 200_000
 KNOWN_BYTES = 64
-# Passes over a bounded share of the training texts to set the states apart, then over all.
-WARM_TEXTS = 2000
-WARM_PASSES = 8
-PASSES = 3
+# Baum-Welch passes, each over every training text.
+PASSES = 5
 # Added to every expected emission, times the class's share of the corpus.
 SMOOTH = 50.0
 SEED = 6
@@ -88,10 +86,26 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def count_level(n: str):
+    """A number that never falls as the count grows: few thousand levels, single counts up to 4096."""
+    steps = F.floor(F.log2(F.col(n) / 4096) * 256)
+    return F.when(F.col(n) <= 4096, F.col(n)).otherwise(4097 + steps).cast("int")
+
+
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     """What the tasks need of the stored counts: a bounded number of words, and class totals."""
-    short = counts.filter(F.octet_length("word") <= KNOWN_BYTES)
-    top = short.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).collect()
+    short = counts.filter(F.octet_length("word") <= KNOWN_BYTES).withColumn("level", count_level("n"))
+    # The lowest level whose words, with those of all levels above, are few enough. Only they
+    # leave the tasks, so what reaches the driver has the same bound however many tasks there are.
+    levels = sorted(((r.level, r["count"]) for r in short.groupBy("level").count().collect()), reverse=True)
+    lowest, held = None, 0
+    for level, n in levels:
+        held += n
+        if held > KNOWN_WORDS:
+            break
+        lowest = level
+    top = [] if lowest is None else short.filter(F.col("level") >= lowest).select("word", "n").collect()
+    top.sort(key=lambda r: (-r.n, bytes(r.word)))
     words = {}
     for rank, r in enumerate(top):
         w = bytes(r.word)
@@ -310,7 +324,8 @@ def baum_welch(coded: DataFrame, m: Model, v: Vocabulary) -> Model:
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per document.
 
-    Learned from the documents not held out. ``score`` is the model's log10 probability of
+    Learned from the documents not held out, all of them in every pass, so the scores depend on
+    the rows alone and not on how they are split over files or tasks. ``score`` is the model's log10 probability of
     the text, ``base_score`` that of add-one word counts. A null or empty text is an end
     alone. Counts cover every training text, also of repeated rows; words too rare or too
     long to be known in every task meet their counts in a join. Without training texts every
@@ -326,11 +341,7 @@ def score(docs: DataFrame) -> DataFrame:
     coded = store.write(encode(numbered, v))
     model = first_model(v)
     learn = coded.filter("NOT held_out")
-    every = max(1, -(-v.texts // WARM_TEXTS))
     if v.texts:
-        few = store.write(learn.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("row", "classes"))
-        for _ in range(WARM_PASSES):
-            model = baum_welch(few, model, v)
         for _ in range(PASSES):
             model = baum_welch(learn, model, v)
 
