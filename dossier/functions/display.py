@@ -69,3 +69,16 @@ def plain_number(value: Column) -> Column:
     digits = F.regexp_replace(value.cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
     plain = (size >= F.lit(1e-6)) & (size < F.lit(1e21))
     return F.when(value == 0, F.lit("0")).when(plain, digits).otherwise(value.cast("string"))
+
+
+def fault_text(faults):
+    """Message for a list of faults: one line with their number, then one line for each.
+
+    Null where there are none.
+    """
+    lines = F.transform(
+        faults,
+        lambda f: F.concat(F.when(f["path"] == "", F.lit("answer")).otherwise(f["path"]), F.lit(": "), f["rule"]),
+    )
+    head = F.concat(F.size(faults).cast("string"), F.lit(" faults"))
+    return F.when(F.size(faults) > 0, F.concat_ws("\n", head, F.array_join(lines, "\n")))

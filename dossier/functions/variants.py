@@ -133,7 +133,7 @@ def as_real(node: str) -> str:
     )
 
 
-_READERS = {T.BooleanType: as_flag, T.IntegerType: as_whole, T.DoubleType: as_real}
+READERS = {T.BooleanType: as_flag, T.IntegerType: as_whole, T.DoubleType: as_real}
 
 
 def _record_ok(loose: str, strict: str, record: T.StructType, depth: int) -> str:
@@ -182,9 +182,9 @@ def field_ok(
         fits = is_text(node)
     elif "ge" in rule.metadata:
         low, high = rule.metadata["ge"], rule.metadata["le"]
-        fits = f"coalesce({_READERS[type(kind)](node)} BETWEEN {low} AND {high}, false)"
+        fits = f"coalesce({READERS[type(kind)](node)} BETWEEN {low} AND {high}, false)"
     else:
-        fits = f"({_READERS[type(kind)](node)}) IS NOT NULL"
+        fits = f"({READERS[type(kind)](node)}) IS NOT NULL"
     if rule.nullable:
         return f"({node} IS NULL OR is_variant_null({node}) OR ({fits}))"
     if "default" in rule.metadata:
@@ -213,7 +213,7 @@ def field_value(node: str, rule: T.StructField, depth: int = 0, loose: str | Non
         return f"coalesce({loose}, CAST(array() AS {column_type(kind).simpleString()}))"
     if isinstance(kind, T.StructType):
         return f"CASE WHEN {loose} IS NOT NULL THEN {record_value(loose, kind, depth)} END"
-    value = get(node, "string") if isinstance(kind, T.StringType) else _READERS[type(kind)](node)
+    value = get(node, "string") if isinstance(kind, T.StringType) else READERS[type(kind)](node)
     if "default" in rule.metadata:
         return f"coalesce({value}, CAST({rule.metadata['default']} AS {kind.simpleString()}))"
     return value

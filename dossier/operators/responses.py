@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import faults as P
 from ..functions import variants as V
 from ..functions.text import strip_fences
 from ..schemas import PROFILE, RESUME
@@ -45,12 +46,19 @@ def _names(df: DataFrame) -> list[str]:
     return [f"`{c}`" for c in df.columns]
 
 
-def conform(df: DataFrame, text: str, which: str, into: str | None = None) -> DataFrame:
+def conform(
+    df: DataFrame, text: str, which: str, into: str | None = None, faults: bool = False
+) -> DataFrame:
     """Check answers against a record and type them.
 
     Adds ``reason`` and ``status`` (both null for an accepted answer), ``bad_field`` (the
     first field that does not fit) and the typed record in ``into``, null where refused.
     One bad element refuses the whole answer; unknown keys are ignored. No rows are lost.
+
+    With ``faults`` a column of that name lists every place that does not fit, as ``path,
+    rule`` in the order of the record (see :mod:`dossier.functions.faults`); an answer without
+    a readable record has one fault with an empty path and its reason as rule, an accepted one
+    has none. Only refused answers are walked for it.
     """
     record, into = RECORDS[which], into or which
     parsed = parse_answers(df, text, record, RESERVED[which])
@@ -81,8 +89,13 @@ def conform(df: DataFrame, text: str, which: str, into: str | None = None) -> Da
     ).selectExpr("*", "coalesce(problem, nvl2(bad_field, 'invalid', NULL)) AS reason")
     status = " ".join(f"WHEN '{reason}' THEN {code}" for reason, code in STATUS.items())
     value = ", ".join(f"'{name}', {made}" for name, made in zip(record.names, typed))
+    listed = (
+        f"'faults', CASE WHEN reason IS NULL THEN {P.NONE} WHEN problem IS NOT NULL "
+        f"THEN array(named_struct('path', '', 'rule', problem)) "
+        f"ELSE {P.record_faults('root', record)} END, "
+    )
     verdict = (
-        f"named_struct('bad_field', bad_field, 'reason', reason, "
+        f"named_struct('bad_field', bad_field, 'reason', reason, {listed if faults else ''}"
         f"'status', CASE reason {status} END, "
         f"'{into}', CASE WHEN reason IS NULL THEN named_struct({value}) END)"
     )

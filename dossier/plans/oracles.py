@@ -483,6 +483,47 @@ judged AS (
             CASE WHEN bad_field = '' THEN '' ELSE 'refused' END AS professional_summary
         FROM verdicts""",
     ),
+    "answer_faults": """
+WITH keys AS (SELECT o_orderkey AS answer_id, o_orderkey AS k FROM orders),
+entries AS (SELECT answer_id, [[
+        CASE WHEN (k + i) % 4 = 0 THEN 'experience[' || i || '].company: missing' END,
+        CASE WHEN (k + i) % 3 = 0 THEN 'experience[' || i || '].title: text' END,
+        CASE WHEN (k + i) % 7 = 0 THEN 'experience[' || i || '].is_current: flag' END,
+        CASE WHEN (k + i) % 5 = 0 THEN 'experience[' || i || '].responsibilities[1]: text' END,
+        CASE WHEN (k + i) % 5 = 0 THEN 'experience[' || i || '].responsibilities[2]: text' END]
+        FOR i IN range(0, k % 3 + 1)] AS jobs
+    FROM keys),
+listed AS (
+    SELECT k, answer_id, 'resume' AS record,
+        CASE WHEN k % 11 <> 0 AND k % 13 = 0 THEN 'malformed' WHEN k % 11 = 0 THEN 'reserved_key' ELSE '' END AS problem,
+        list_concat([CASE WHEN k % 5 = 0 THEN 'personal_info.name: text' END,
+            CASE WHEN k % 5 = 0 THEN 'personal_info.phone: text' END,
+            CASE WHEN k % 5 = 1 THEN 'personal_info: object' END], flatten(jobs),
+            [CASE WHEN k % 8 = 0 THEN 'skills[0]: object' END,
+            CASE WHEN k % 8 = 0 THEN 'skills[1].category: text' END,
+            CASE WHEN k % 8 = 0 THEN 'skills[1].skills: list' END,
+            CASE WHEN k % 8 = 1 THEN 'skills: list' END,
+            CASE WHEN k % 6 < 2 THEN 'languages: list' END,
+            CASE WHEN k % 6 = 2 THEN 'languages[1]: text' END]) AS places
+    FROM keys JOIN entries USING (answer_id)
+    UNION ALL
+    SELECT k, answer_id, 'profile', '',
+        [CASE k % 4 WHEN 0 THEN 'career_level: missing' WHEN 1 THEN 'career_level: text' END,
+        CASE WHEN k % 6 = 0 THEN 'total_years_experience: number' END,
+        CASE WHEN k % 9 = 0 THEN 'profile_completeness: missing' END,
+        CASE WHEN k % 9 <> 0 THEN 'profile_completeness.overall_score: '
+            || CASE k % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'range' WHEN 2 THEN 'whole' WHEN 3 THEN 'whole' END END,
+        CASE WHEN k % 9 <> 0 AND k % 5 = 0 THEN 'profile_completeness.has_summary: flag' END,
+        CASE WHEN k % 10 = 0 THEN 'professional_summary: text' END] FROM keys),
+found AS (SELECT *, CASE WHEN problem <> '' THEN ['answer: ' || problem]
+        ELSE [x FOR x IN places IF x IS NOT NULL] END AS faults FROM listed)
+SELECT answer_id, record,
+    CASE WHEN problem <> '' THEN problem WHEN len(faults) > 0 THEN 'invalid' ELSE '' END AS reason,
+    CASE WHEN problem = '' AND len(faults) > 0 THEN regexp_extract(faults[1], '^[a-z_]+') ELSE '' END AS bad_field,
+    CAST(len(faults) AS BIGINT) AS n_faults,
+    CASE WHEN len(faults) > 0 THEN len(faults) || ' faults' || chr(10) || array_to_string(faults, chr(10))
+        ELSE '' END AS error
+FROM found""",
     "domain_audit": _with(
         _PROFILES,
         """SELECT field, value, count(*) AS n FROM (

@@ -255,6 +255,22 @@ def resume_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answer_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places that do not fit, in answers with several damages each."""
+    frames = [
+        responses.conform(S.faulty_answers(spark, sf_dir, answer), "answer", which, faults=True).select(
+            "answer_id",
+            F.lit(which).alias("record"),
+            _or(F.col("reason"), "").alias("reason"),
+            _or(F.col("bad_field"), "").alias("bad_field"),
+            _long(F.size("faults")).alias("n_faults"),
+            _or(display.fault_text(F.col("faults")), "").alias("error"),
+        )
+        for which, answer in (("resume", S.FAULTY_RESUME), ("profile", S.FAULTY_PROFILE))
+    ]
+    return _union(frames)
+
+
 def profile_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = S.profiles(S.resumes(spark, sf_dir))
     p = F.col("profile")
@@ -687,6 +703,7 @@ QUERIES = {
         response_json,
         resume_conformance,
         profile_conformance,
+        answer_faults,
         domain_audit,
         cardinality_audit,
         nest_skills,

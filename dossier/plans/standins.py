@@ -351,6 +351,37 @@ def profiles(made: DataFrame) -> DataFrame:
     return conform(profile_answers(made), "answer", "profile")
 
 
+# Answers with several damages each. Every key chooses for itself, so they meet in all ways.
+
+FAULTY_RESUME = """concat('{',
+    CASE k % 5 WHEN 0 THEN '"personal_info":{"name":5,"email":null,"phone":true},'
+        WHEN 1 THEN '"personal_info":"none",' ELSE '' END,
+    '"experience":[', array_join(transform(sequence(0, CAST(k % 3 AS INT)), i -> concat('{',
+        CASE WHEN (k + i) % 4 = 0 THEN '' ELSE '"company":"c",' END,
+        CASE WHEN (k + i) % 7 = 0 THEN '"is_current":"maybe",' ELSE '' END,
+        CASE WHEN (k + i) % 5 = 0 THEN '"responsibilities":["a",null,3],' ELSE '' END,
+        '"title":', CASE WHEN (k + i) % 3 = 0 THEN '7' ELSE '"t"' END, '}')), ','), '],',
+    CASE k % 8 WHEN 0 THEN '"skills":[1,{"category":null,"skills":"x"}],' WHEN 1 THEN '"skills":{},' ELSE '' END,
+    '"languages":', CASE k % 6 WHEN 0 THEN 'null' WHEN 1 THEN '"x"' WHEN 2 THEN '["en",{}]' ELSE '["en"]' END,
+    CASE WHEN k % 11 = 0 THEN ',"raw_text":"x"}' WHEN k % 13 = 0 THEN '' ELSE '}' END)"""
+
+FAULTY_PROFILE = """concat('{',
+    CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '"career_level":null,' ELSE '"career_level":"Mid",' END,
+    CASE WHEN k % 6 = 0 THEN '"total_years_experience":"abc",' ELSE '' END,
+    CASE WHEN k % 9 = 0 THEN '' ELSE concat('"profile_completeness":{',
+        CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN '"overall_score":101,' WHEN 2 THEN '"overall_score":"x",'
+            WHEN 3 THEN '"overall_score":null,' ELSE '"overall_score":50,' END,
+        '"has_summary":', CASE WHEN k % 5 = 0 THEN '"perhaps"' ELSE 'true' END, '},') END,
+    '"professional_summary":', CASE WHEN k % 10 = 0 THEN 'null' ELSE '""' END, '}')"""
+
+
+def faulty_answers(spark: SparkSession, sf_dir: str, answer: str) -> DataFrame:
+    """One answer per order; its key decides what is wrong."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS answer_id", "o_orderkey AS k").selectExpr(
+        "answer_id", f"{answer} AS answer"
+    )
+
+
 # Pipeline runs
 
 

@@ -200,3 +200,56 @@ def test_round_trip_of_a_full_record(spark):
     assert got["personal_info"]["name"] == "Ü" and got["personal_info"]["phone"] is None
     assert got["experience"][0]["responsibilities"] == ["a", "b"]
     assert got["skills"] == [{"category": "k", "skills": ["x"]}] and got["projects"] == []
+
+
+def faults_of(spark, texts, which):
+    frame = spark.createDataFrame([(t,) for t in texts], "answer string")
+    rows = conform(frame, "answer", which, faults=True).collect()
+    return {r.answer: (r.bad_field, [(f.path, f.rule) for f in r.faults]) for r in rows}
+
+
+FAULTS = {
+    '{"languages":null,"skills":[null,{"skills":["a",1]}]}': [
+        ("skills[0]", "object"), ("skills[1].category", "missing"), ("skills[1].skills[1]", "text"),
+        ("languages", "list"),
+    ],
+    '{"personal_info":{"name":{"a":1},"email":[]},"education":[{"institution":null},{}]}': [
+        ("personal_info.name", "text"), ("personal_info.email", "text"),
+        ("education[0].institution", "text"), ("education[1].institution", "missing"),
+    ],
+    '{"experience":[{"company":"c","title":"t","is_current":null,"responsibilities":null},7]}': [
+        ("experience[0].is_current", "flag"), ("experience[0].responsibilities", "list"),
+        ("experience[1]", "object"),
+    ],
+    '{"raw_text":1,"languages":null}': [("", "reserved_key")],
+    "[]": [("", "not_object")],
+    "": [("", "malformed")],
+    "{}": [],
+}
+
+
+def test_every_fault_is_listed(spark):
+    got = faults_of(spark, FAULTS, "resume")
+    assert {t: places for t, (_, places) in got.items()} == FAULTS
+
+
+@pytest.mark.parametrize("which, texts", [("resume", [t for t, _, _ in RESUMES if t]), ("profile", list(PROFILES))])
+def test_faults_agree_with_the_verdict(spark, which, texts):
+    """An answer has faults exactly if it is refused, and the first one lies in the bad field."""
+    frame = spark.createDataFrame([(t,) for t in texts], "answer string")
+    for r in conform(frame, "answer", which, faults=True).collect():
+        assert bool(r.faults) == (r.reason is not None), r.answer
+        if r.bad_field:
+            assert r.faults[0].path.split(".")[0].split("[")[0] == r.bad_field, r.answer
+
+
+def test_score_faults(spark):
+    texts = {f'"overall_score":{v}': rule for v, rule in (
+        ("101", "range"), ("-1", "range"), ('"x"', "whole"), ("87.5", "whole"), ("null", "whole"), ("[]", "whole"),
+    )}
+    answers = {profile(profile_completeness="{" + t + "}"): rule for t, rule in texts.items()}
+    answers[profile(profile_completeness="{}")] = "missing"
+    got = faults_of(spark, answers, "profile")
+    assert {t: places for t, (_, places) in got.items()} == {
+        t: [("profile_completeness.overall_score", rule)] for t, rule in answers.items()
+    }
