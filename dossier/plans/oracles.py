@@ -347,6 +347,14 @@ ended AS (
 told AS (SELECT *, split_part(way, ' ', 1) AS step, split_part(way, ' ', 2) AS reason FROM ended),
 kept AS (SELECT k % 50 AS u, max(k) AS k FROM told WHERE step = 'done' AND user_id IS NOT NULL GROUP BY k % 50)"""
 
+_JOBS = """WITH skills AS (
+    SELECT l_orderkey, CASE WHEN l_partkey % 10 = 0 THEN 'common ' || l_partkey % 7 ELSE 'skill ' || l_partkey END AS skill
+    FROM lineitem),
+required AS (SELECT DISTINCT l_orderkey // 2 AS j, skill FROM skills),
+held AS (SELECT DISTINCT o_custkey AS person_id, skill FROM skills JOIN orders ON l_orderkey = o_orderkey),
+jobs AS (SELECT o_orderkey // 2 AS j, min(o_orderkey) AS job_id FROM orders GROUP BY 1),
+"""
+
 ORACLES: dict[str, str] = {
     "intake_types": _with(
         _UPLOADS,
@@ -483,6 +491,29 @@ judged AS (
             CASE WHEN bad_field = '' THEN '' ELSE 'refused' END AS professional_summary
         FROM verdicts""",
     ),
+    "merged_postings": _JOBS + """
+facts AS (SELECT o_orderkey // 2 AS j, *,
+    CASE o_orderkey % 4 WHEN 0 THEN 'Company ' || o_orderkey // 2 WHEN 1 THEN ' COMPANY,  ' || o_orderkey // 2
+        WHEN 2 THEN 'company-' || o_orderkey // 2 ELSE 'Company (' || o_orderkey // 2 || ')' END AS company,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'Data Engineer' ELSE 'data  engineer' END AS title FROM orders),
+lists AS (SELECT j, string_agg(skill, ',' ORDER BY skill) AS skills FROM required GROUP BY j)
+SELECT min(o_orderkey) AS job_id, count(*) AS n_postings,
+    strftime(min(o_orderdate), '%Y-%m-%d') AS first_seen, strftime(max(o_orderdate), '%Y-%m-%d') AS last_seen,
+    last(company ORDER BY o_orderdate, o_orderkey) AS company, last(title ORDER BY o_orderdate, o_orderkey) AS title,
+    coalesce(last(o_totalprice ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderkey % 5 >= 2), -1.0) AS salary,
+    coalesce(last('Text ' || o_orderkey ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderkey % 7 >= 3), '')
+        AS description, coalesce(any_value(lists.skills), '') AS skills
+FROM facts LEFT JOIN lists USING (j) GROUP BY j""",
+    "suitable_jobs": _JOBS + """
+sizes AS (SELECT j, count(*) AS n_required FROM required GROUP BY j),
+met AS (SELECT person_id, j, count(*) AS matched FROM held JOIN required USING (skill) GROUP BY 1, 2),
+ranked AS (SELECT person_id, j, job_id, matched, n_required, row_number() OVER (PARTITION BY person_id
+        ORDER BY matched / n_required DESC, matched DESC, job_id) AS rank
+    FROM met JOIN sizes USING (j) JOIN jobs USING (j) WHERE 100 * matched >= 40 * n_required QUALIFY rank <= 3),
+gaps AS (SELECT person_id, j, string_agg(skill, ',' ORDER BY skill) AS missing FROM ranked JOIN required USING (j)
+    ANTI JOIN held USING (person_id, skill) GROUP BY 1, 2)
+SELECT person_id, rank, job_id, matched, n_required, coalesce(missing, '') AS missing
+FROM ranked LEFT JOIN gaps USING (person_id, j)""",
     "answer_faults": """
 WITH keys AS (SELECT o_orderkey AS answer_id, o_orderkey AS k FROM orders),
 entries AS (SELECT answer_id, [[

@@ -17,6 +17,7 @@ from ..operators.envelope import envelope as make_envelope
 from ..operators.flow import Run
 from ..operators.flow import whole_run as run_flow
 from ..operators.intake import CALLERS, intake, judge_for_callers, judge_uploads
+from ..operators.jobs import merge_postings, rank_jobs, skill_gap
 from ..schemas import LIST_SECTIONS
 from ..session import prepare, shared_dir, written
 from ..sources.profiles import append_changes, cascade_deletions, read_profiles, write_profiles
@@ -681,6 +682,42 @@ def whole_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "step string, reason string, n long")
 
 
+# Jobs
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_postings(S.postings(spark, sf_dir), ["company", "title"], ["salary", "description"])
+
+
+def merged_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jobs(spark, sf_dir).select(
+        "job_id",
+        "n_postings",
+        F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"),
+        F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"),
+        "company",
+        "title",
+        _or(F.col("salary"), -1.0).alias("salary"),
+        _or(F.col("description"), "").alias("description"),
+        F.array_join("skills", ",").alias("skills"),
+    )
+
+
+def suitable_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three most suitable jobs of every person, at least two fifths of the skills held, and the gaps."""
+    required = written(_jobs(spark, sf_dir).select("job_id", F.explode("skills").alias("skill")), "required_skills")
+    held = written(S.held_skills(spark, sf_dir).distinct(), "held_skills")
+    ranked = skill_gap(rank_jobs(held, required, 3, 40), held, required)
+    return ranked.select(
+        "person_id",
+        _long(F.col("rank")).alias("rank"),
+        "job_id",
+        _long(F.col("matched")).alias("matched"),
+        _long(F.col("n_required")).alias("n_required"),
+        F.array_join("missing", ",").alias("missing"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -735,6 +772,8 @@ QUERIES = {
         envelope,
         whole_run,
         whole_run_counts,
+        merged_postings,
+        suitable_jobs,
     )
 }
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..fixed import DOCX, MSWORD, PDF
 from ..operators import nested
 from ..operators.requests import resume_json
+from ..operators.jobs import canonical
 from ..operators.responses import conform
 
 AS_OF = "2001-08-01"
@@ -382,6 +383,35 @@ def faulty_answers(spark: SparkSession, sf_dir: str, answer: str) -> DataFrame:
     )
 
 
+# Jobs
+
+# Every tenth part is one of seven skills that very many have.
+SKILL = "CASE WHEN l_partkey % 10 = 0 THEN concat('Common-', l_partkey % 7) ELSE concat('Skill ', l_partkey) END"
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One posting per order, two of a job; names are written in four ways, facts have holes."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.expr(SKILL)).alias("skills"))
+    made = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS posting_id",
+        "o_orderdate AS seen_at",
+        """CASE o_orderkey % 4 WHEN 0 THEN concat('Company ', o_orderkey div 2)
+            WHEN 1 THEN concat(' COMPANY,  ', o_orderkey div 2) WHEN 2 THEN concat('company-', o_orderkey div 2)
+            ELSE concat('Company (', o_orderkey div 2, ')') END AS company""",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'Data Engineer' ELSE 'data  engineer' END AS title",
+        "CASE WHEN o_orderkey % 5 < 2 THEN NULL ELSE o_totalprice END AS salary",
+        "CASE WHEN o_orderkey % 7 < 3 THEN ' ' ELSE concat('Text ', o_orderkey) END AS description",
+    )
+    return made.join(lines, made.posting_id == lines.l_orderkey, "left").drop("l_orderkey")
+
+
+def held_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills of customers: the parts they ordered."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("l_orderkey"))
+    skill = canonical(F.expr(SKILL)).alias("skill")
+    return table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select("person_id", skill)
+
+
 # Pipeline runs
 
 
