@@ -11,12 +11,13 @@ positions not divisible by three are sorted and named, the names form shorter st
 are sorted in the same way, and the other suffixes are merged in by their first symbols and
 the ranks behind them. Neighbours in the suffix array whose prefixes agree over the bytes
 that a window may touch are one passage; all but its first place are repeats. Windows over
-the edges of such passages are compared exactly, byte string by byte string, at the end.
+the edges of such passages are compared at the end, anchor by anchor with the bytes around it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ WINDOW = LENGTH - SEED + 1  # strings of SEED bytes in a window; anchors are les
 
 # Texts are hashed in parts of this many bytes; bounds memory, not results.
 PART = 1 << 20
+# Bytes that the windows of one anchor cover.
+AROUND = LENGTH + WINDOW - 1
+# Most different surroundings of one anchor hash that a task holds; bounds memory, not results.
+HELD = 1 << 12
 # Symbols of a prefix that the suffix array tells apart. In text of very short periods a window
 # holds more anchors; such windows are compared exactly like those at edges.
 DEPTH = 27
@@ -66,17 +71,6 @@ def _string_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return _mix((sums[size:] - sums[:-size]) * down[: len(values) - size + 1])
 
 
-def window_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of the LENGTH bytes at ascending starts. Parts without a start are skipped."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    for at in range(0, len(raw), PART):
-        lo, hi = np.searchsorted(starts, (at, at + PART))
-        if lo < hi:
-            part = raw[at : at + PART + LENGTH - 1].astype(np.uint64)
-            out[lo:hi] = _string_hashes(part, LENGTH)[starts[lo:hi] - at]
-    return out
-
-
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor, and the first window it is the anchor of.
 
@@ -497,43 +491,161 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["h", "row"])
 
 
+def _surroundings(raw: np.ndarray, t: Parsed, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed place and windows of anchors, and the bytes that these windows cover.
+
+    The bytes of an anchor at p are those from p - WINDOW + 1 on, AROUND of them; bytes that none
+    of its windows covers are 0. Window j begins at p - WINDOW + 1 + j.
+    """
+    place = t.place[at]
+    lo, hi = t.first[at] - place + WINDOW - 1, t.last[at] - place + WINDOW - 1
+    padded = np.concatenate((np.zeros(WINDOW - 1, dtype=np.uint8), raw, np.zeros(LENGTH, dtype=np.uint8)))
+    around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[place]
+    k = np.arange(AROUND)
+    around = np.where((k >= lo[:, None]) & (k < (hi + LENGTH)[:, None]), around, np.uint8(0))
+    return place << 12 | lo << 6 | hi, around
+
+
+def _runs(place: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Windows ``from_`` to ``to`` of packed anchors, packed as first start and further starts."""
+    return ((place >> 12) - WINDOW + 1 + from_) << 6 | (to - from_)
+
+
+def _sums(around: np.ndarray) -> np.ndarray:
+    values = (around.astype(np.uint64) + np.uint64(1)) * _powers()[0][:AROUND]
+    return np.concatenate((np.zeros((len(around), 1), dtype=np.uint64), np.cumsum(values, axis=1)), axis=1)
+
+
+def _windows_around(place: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor number, window number and hash of every window of packed anchors, in that order."""
+    sums = _sums(around)
+    found = _mix((sums[:, LENGTH:] - sums[:, :-LENGTH]) * _powers()[1][:WINDOW])
+    j = np.arange(WINDOW)
+    row, j = np.nonzero((j >= (place >> 6 & 63)[:, None]) & (j <= (place & 63)[:, None]))
+    return row, j, found[row, j]
+
+
+def _first_seen(keys: np.ndarray) -> np.ndarray:
+    """Whether each key stands there for the first time."""
+    first = np.zeros(len(keys), dtype=bool)
+    first[np.unique(keys, return_index=True)[1]] = True
+    return first
+
+
+def _same_around(h: np.ndarray, place: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """A key that anchors with equal windows have in common."""
+    return _mix(_sums(around)[:, -1] ^ _mix(h.view(np.uint64) + (place & 4095).astype(np.uint64)))
+
+
+_AROUND = "h long, no long, place long, around binary"
+
+
+def _rows(h: np.ndarray, no: np.ndarray, place: np.ndarray, around: np.ndarray | None = None) -> pa.RecordBatch:
+    """A batch of ``h, no, place, around``; without bytes, ``place`` is a packed run of windows."""
+    if around is None:
+        data = pa.nulls(len(no), pa.binary())
+    else:
+        offsets = np.arange(len(no) + 1, dtype=np.int32) * AROUND
+        data = pa.Array.from_buffers(pa.binary(), len(no), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around))])
+    return pa.record_batch([pa.array(h), pa.array(no), pa.array(place), data], ["h", "no", "place", "around"])
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of asked anchors that others share: ``h, no, at``.
+    """Asked anchors that others share, with the bytes around them: ``h, no, place, around``.
 
-    A window that stands earlier in the same text is marked by ``-1 - at`` and takes any ``h``,
-    so that a text of one period is spread.
+    An anchor whose windows all stand earlier in the same text is decided here: its run of
+    windows is passed on without bytes, under any ``h``. So a text of one period is spread.
     """
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(3)]
         cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
         for no, text, shared, *rest in zip(*cols, strict=True):
             t, ask, hashes = _asked(tuple(rest))
-            ask = ask[np.isin(hashes, np.array(shared, dtype=np.int64).view(np.uint64)) & (t.last[ask] >= t.first[ask])]
-            many = t.last[ask] - t.first[ask] + 1
-            starts = np.repeat(t.first[ask] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            found = window_hashes(np.frombuffer(_bytes_of(text), dtype=np.uint8), starts)
-            again = np.ones(len(found), dtype=bool)
-            again[np.unique(found, return_index=True)[1]] = False
-            found = np.where(again, _mix(found + starts.astype(np.uint64)), found)
-            values = (found.view(np.int64), np.full(len(starts), no), np.where(again, -1 - starts, starts))
-            for c, v in zip(parts, values, strict=True):
-                c.append(v)
-        yield pa.record_batch([pa.array(np.concatenate(c), pa.int64()) for c in parts], ["h", "no", "at"])
+            keep = np.isin(hashes, np.array(shared, dtype=np.int64).view(np.uint64)) & (t.last[ask] >= t.first[ask])
+            ask, hashes = ask[keep], hashes[keep].view(np.int64)
+            raw = np.frombuffer(_bytes_of(text), dtype=np.uint8)
+            for k in range(0, len(ask), HELD):
+                h = hashes[k : k + HELD]
+                place, around = _surroundings(raw, t, ask[k : k + HELD])
+                new = _first_seen(_same_around(h, place, around))
+                nos = np.full(len(h), no)
+                yield _rows(h[new], nos[new], place[new], around[new])
+                if not new.all():
+                    old = place[~new]
+                    yield _rows(_mix(old.view(np.uint64)).view(np.int64), nos[~new], _runs(old, old >> 6 & 63, old & 63))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], limit: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that stand earlier, out of rows sorted by ``h, no, place``.
+
+    Of one hash only anchors with different surroundings are held. If there are more than ``limit``,
+    they and what follows of the hash are passed on with their bytes, to be dealt by window.
+    """
+    held = None  # different anchors of the last hash
+    many = None  # the hash that has too many
+    for batch in itertools.chain(batches, [None]):
+        rows = None if batch is None else _with_bytes(batch)
+        if batch is not None and batch.column(3).null_count:
+            done = batch.filter(batch.column(3).is_null())
+            yield _rows(*[done.column(i).to_numpy() for i in range(3)])
+        if rows is None:
+            rows, held, batch = held, None, None
+        elif held is not None:
+            rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+        if rows is None or not len(rows[0]):
+            continue
+        over = rows[0] == many if many is not None else np.zeros(len(rows[0]), dtype=bool)
+        if over.any():
+            yield _rows(*[c[over] for c in rows])
+            rows = tuple(c[~over] for c in rows)
+            if not len(rows[0]):
+                continue
+        h, no, place, around = rows
+        new = _first_seen(_same_around(h, place, around))
+        old = place[~new]
+        if len(old):
+            yield _rows(h[~new], no[~new], _runs(old, old >> 6 & 63, old & 63))
+        h, no, place, around = (c[new] for c in rows)
+        last = int(np.searchsorted(h, h[-1])) if batch is not None else len(h)
+        held, many = tuple(c[last:] for c in (h, no, place, around)), None
+        if len(held[0]) > limit:
+            yield _rows(*held)
+            held, many = None, h[-1]
+        if last:
+            no, place = no[:last], place[:last]
+            row, j, found = _windows_around(place, around[:last])
+            later = np.zeros((last, WINDOW + 2), dtype=np.int8)
+            later[row, j + 1] = ~_first_seen(found)
+            step = np.diff(later, axis=1)
+            (row, from_), to = np.nonzero(step > 0), np.nonzero(step < 0)[1]
+            yield _rows(h[row], no[row], _runs(place[row], from_, to - 1))
+
+
+def _with_bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    rows = batch.filter(batch.column(3).is_valid())
+    around = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint8).reshape(-1, AROUND)
+    return (*[rows.column(i).to_numpy() for i in range(3)], around)
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, no, at`` of every window of the given anchors; h is the window's own hash."""
+    for batch in batches:
+        _, no, place, around = _with_bytes(batch)
+        row, j, found = _windows_around(place, around)
+        at = (place[row] >> 12) - WINDOW + 1 + j
+        yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(no[row]), pa.array(at)], ["h", "no", "at"])
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h those that are not the first of their h by text and place, or are marked."""
+    """Of rows sorted by h those that are not the first of their h by text and place, as packed runs of one."""
     held = np.zeros((3, 0), dtype=np.int64)  # the first of the last h, as far as seen
     for batch in batches:
-        rows = np.stack([c.to_numpy() for c in batch.columns])
-        marked = rows[2] < 0
-        own = np.concatenate((held, rows[:, ~marked]), axis=1)
+        own = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
         own = own[:, np.lexsort(own[::-1])]
         first = np.append(True, own[0, 1:] != own[0, :-1])[: own.shape[1]]
         held = own[:, first][:, -1:]
-        out = np.concatenate((own[1:, ~first], np.stack((rows[1, marked], -1 - rows[2, marked]))), axis=1)
+        out = own[1:, ~first]
         if out.shape[1]:
-            yield pa.record_batch([pa.array(c) for c in out], ["no", "at"])
+            yield pa.record_batch([pa.array(out[0]), pa.array(out[1] << 6)], ["no", "place"])
 
 
 def _union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -606,10 +718,14 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     shared = asks.mapInArrow(_repeated, "h long, row long").groupBy("row").agg(F.collect_set("h").alias("shared"))
     edge = judged.select("row", "no", *string).join(shared, "row")
     edge = texts.select("row", "text").join(edge, "row").select("no", "text", "shared", *string)
-    windows = edge.mapInArrow(_edges, "h long, no long, at long")
-    windows = windows.repartition("h").sortWithinPartitions("h")
-    later = windows.mapInArrow(_again, "no long, at long").groupBy("no").agg(F.collect_list("at").alias("at"))
-    later = store.write(later)
+    asked = edge.mapInArrow(_edges, _AROUND).repartition("h").sortWithinPartitions("h", "no", "place")
+    compared = store.write(asked.mapInArrow(_compare, _AROUND))
+    # Hashes with very many different surroundings: every window goes its own way.
+    single = compared.filter("around IS NOT NULL").mapInArrow(_single_windows, "h long, no long, at long")
+    single = single.repartition("h").sortWithinPartitions("h").mapInArrow(_again, "no long, place long")
+    runs = compared.filter("around IS NULL").select("no", "place").unionByName(single)
+    later = store.write(runs.groupBy("no").agg(F.collect_list("place").alias("at")))
+    store.drop(compared)
     found = judged.join(later, "no", "left").select("row", "n", "places", "firsts", "suffix", "gone", "at")
     every = texts.join(firsts.select("row", F.lit(True).alias("leads")), "row", "left").join(found, "row", "left")
     fields = [f.strip().split()[0] for f in schema.split(",")]
@@ -646,7 +762,7 @@ def _spans(raw: bytes, row: dict) -> tuple[np.ndarray, np.ndarray]:
     gone, at = (np.asarray(row[c], dtype=np.int64) for c in ("gone", "at"))
     suffix = np.frombuffer(row["suffix"], dtype="<i4")
     u = np.flatnonzero((suffix >= 0) & np.isin(suffix, gone) & (t.last >= t.first))
-    return _union(np.concatenate((t.first[u], at)), np.concatenate((t.last[u], at)) + LENGTH)
+    return _union(np.concatenate((t.first[u], at >> 6)), np.concatenate((t.last[u], (at >> 6) + (at & 63))) + LENGTH)
 
 
 def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
