@@ -103,6 +103,20 @@ def _bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _among(values: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Which values are in the pool; both are short, so one small sort is all it takes."""
+    if not len(pool):
+        return np.zeros(len(values), dtype=bool)
+    pool = np.sort(pool)
+    return pool[np.minimum(np.searchsorted(pool, values), len(pool) - 1)] == values
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The numbers of each list of a column; none for null."""
+    ends = np.cumsum(_sizes(column))
+    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
+
+
 _PARSED = "row long, doc long, n long, digest binary, hashes binary, places binary, firsts binary"
 
 
@@ -180,10 +194,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(7)]
         firsts = []
-        known = (x.values.to_numpy().view(np.uint64) for x in batch.column(6))
+        known = (x.view(np.uint64) for x in _lists(batch.column(6)))
         for n, h, p, f, again in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], known, strict=True):
             hashes = np.frombuffer(h, dtype="<u8")
-            repeated = np.isin(hashes, again)
+            repeated = _among(hashes, again)
             symbols, need, digest, suffix = _string_of(Parsed(n, p, f), hashes, repeated)
             firsts.append(f)
             blobs = (p, repeated.tobytes(), hashes[repeated].tobytes(), suffix.astype("<i4").tobytes())
@@ -476,7 +490,7 @@ def _asked(row: tuple) -> tuple[Parsed, np.ndarray, np.ndarray]:
     n, places, firsts, repeated, hashes, suffix, open_ = row
     rep = np.flatnonzero(np.frombuffer(repeated, dtype=bool))
     own = np.frombuffer(suffix, dtype="<i4")[rep]
-    asked = (own < 0) | np.isin(own, np.array(open_ or [], dtype=np.int64))
+    asked = (own < 0) | _among(own, open_)
     return Parsed(n, places, firsts), rep[asked], np.frombuffer(hashes, dtype="<u8")[asked]
 
 
@@ -484,26 +498,19 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the asked anchors, once per text and a second time if one occurs again."""
     for batch in batches:
         found, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-        for row, *rest in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+        blobs = [batch.column(i).to_pylist() for i in range(7)]
+        for row, *rest in zip(*blobs, _lists(batch.column(7)), strict=True):
             h, n = np.unique(_asked(tuple(rest))[2], return_counts=True)
             found.append(np.repeat(h, np.minimum(n, 2)))
             rows.append(np.full(len(found[-1]), row))
         yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["h", "row"])
 
 
-def _surroundings(raw: np.ndarray, t: Parsed, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed place and windows of anchors, and the bytes that these windows cover.
-
-    The bytes of an anchor at p are those from p - WINDOW + 1 on, AROUND of them; bytes that none
-    of its windows covers are 0. Window j begins at p - WINDOW + 1 + j.
-    """
-    place = t.place[at]
-    lo, hi = t.first[at] - place + WINDOW - 1, t.last[at] - place + WINDOW - 1
-    padded = np.concatenate((np.zeros(WINDOW - 1, dtype=np.uint8), raw, np.zeros(LENGTH, dtype=np.uint8)))
-    around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[place]
+def _surroundings(raw: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The AROUND bytes from each ``at`` on, 0 where none of the windows ``lo`` to ``hi`` covers them."""
+    around = np.lib.stride_tricks.sliding_window_view(raw, AROUND)[at]
     k = np.arange(AROUND)
-    around = np.where((k >= lo[:, None]) & (k < (hi + LENGTH)[:, None]), around, np.uint8(0))
-    return place << 12 | lo << 6 | hi, around
+    return np.where((k >= lo[:, None]) & (k < (hi + LENGTH)[:, None]), around, np.uint8(0))
 
 
 def _runs(place: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -553,25 +560,39 @@ def _rows(h: np.ndarray, no: np.ndarray, place: np.ndarray, around: np.ndarray |
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Asked anchors that others share, with the bytes around them: ``h, no, place, around``.
 
-    An anchor whose windows all stand earlier in the same text is decided here: its run of
-    windows is passed on without bytes, under any ``h``. So a text of one period is spread.
+    ``place`` packs the anchor's place p and its windows; window j begins at p - WINDOW + 1 + j,
+    where the bytes begin. An anchor whose windows all stand earlier in the same text is decided
+    here: its run of windows is passed on without bytes, under any ``h``. So a text of one period
+    is spread.
     """
+    margin = bytes(LENGTH)
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for no, text, shared, *rest in zip(*cols, strict=True):
-            t, ask, hashes = _asked(tuple(rest))
-            keep = np.isin(hashes, np.array(shared, dtype=np.int64).view(np.uint64)) & (t.last[ask] >= t.first[ask])
-            ask, hashes = ask[keep], hashes[keep].view(np.int64)
-            raw = np.frombuffer(_bytes_of(text), dtype=np.uint8)
-            for k in range(0, len(ask), HELD):
-                h = hashes[k : k + HELD]
-                place, around = _surroundings(raw, t, ask[k : k + HELD])
-                new = _first_seen(_same_around(h, place, around))
-                nos = np.full(len(h), no)
-                yield _rows(h[new], nos[new], place[new], around[new])
-                if not new.all():
-                    old = place[~new]
-                    yield _rows(_mix(old.view(np.uint64)).view(np.int64), nos[~new], _runs(old, old >> 6 & 63, old & 63))
+        cols = [batch.column(i).to_pylist() for i in (0, 1, *range(3, 9))]
+        parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(6)]
+        texts, begin = [margin], LENGTH
+        for shared, open_, no, text, *rest in zip(_lists(batch.column(2)), _lists(batch.column(9)), *cols, strict=True):
+            t, ask, hashes = _asked((*rest, open_))
+            keep = np.flatnonzero(_among(hashes.view(np.int64), shared) & (t.last[ask] >= t.first[ask]))
+            if len(keep):
+                ask = ask[keep]
+                place = t.place[ask]
+                texts += [_bytes_of(text), margin]
+                values = (hashes[keep].view(np.int64), np.full(len(ask), no), place, t.first[ask], t.last[ask], place + begin)
+                for c, v in zip(parts, values, strict=True):
+                    c.append(v)
+                begin += len(texts[-2]) + LENGTH
+        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        every = [np.concatenate(c) for c in parts]
+        for k in range(0, len(every[0]), 4 * HELD):
+            h, no, place, lo, hi, at = (c[k : k + 4 * HELD] for c in every)
+            lo, hi = lo - place + WINDOW - 1, hi - place + WINDOW - 1
+            around = _surroundings(raw, at - WINDOW + 1, lo, hi)
+            place = place << 12 | lo << 6 | hi
+            new = _first_seen(_mix(_same_around(h, place, around) + no.view(np.uint64)))
+            yield _rows(h[new], no[new], place[new], around[new])
+            if not new.all():
+                old = place[~new]
+                yield _rows(_mix(old.view(np.uint64)).view(np.int64), no[~new], _runs(old, lo[~new], hi[~new]))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], limit: int = HELD) -> Iterator[pa.RecordBatch]:
@@ -761,7 +782,7 @@ def _spans(raw: bytes, row: dict) -> tuple[np.ndarray, np.ndarray]:
     t = Parsed(row["n"], row["places"], row["firsts"])
     gone, at = (np.asarray(row[c], dtype=np.int64) for c in ("gone", "at"))
     suffix = np.frombuffer(row["suffix"], dtype="<i4")
-    u = np.flatnonzero((suffix >= 0) & np.isin(suffix, gone) & (t.last >= t.first))
+    u = np.flatnonzero((suffix >= 0) & _among(suffix, gone) & (t.last >= t.first))
     return _union(np.concatenate((t.first[u], at >> 6)), np.concatenate((t.last[u], (at >> 6) + (at & 63))) + LENGTH)
 
 
