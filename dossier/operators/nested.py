@@ -66,11 +66,13 @@ def assemble_resumes(
         "personal_info", "languages"
     )
     direct = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), children, owners)
+    # Repeats and groups lie in one place with their person, so one exchange serves both steps.
     named = (
         pairs.select(key, "section", "grp", "name")
+        .repartition(key)
         .distinct()
         .groupBy(key, "section", "grp")
-        .agg(F.expr("array_sort(collect_list(name)) AS names"))
+        .agg(F.expr("sort_array(collect_list(name)) AS names"))
         .selectExpr(
             key,
             *[
@@ -83,7 +85,7 @@ def assemble_resumes(
     lists = [s for s in LIST_SECTIONS if s in stacked.columns]
     grouped = stacked.groupBy(key).agg(
         F.expr("first(owner, true) AS owner"),
-        *[F.expr(f"array_sort(collect_list({s})) AS {s}") for s in lists],
+        *[F.expr(f"sort_array(collect_list({s})) AS {s}") for s in lists],
     )
 
     def column(field: T.StructField) -> str:

@@ -136,3 +136,14 @@ def test_every_request_is_answered_or_listed(spark):
     assert sorted(r.request_id for r in joined.collect()) == ["r1", "r3"]
     assert sorted(r.request_id for r in missing.collect()) == ["r0", "r2"]
     assert "original_resume" in joined.columns
+
+
+def test_one_exchange_for_repeats_and_groups(spark):
+    """Pairs go to their person's place once; lists are sorted natively, not by a function per comparison."""
+    people = spark.sql("SELECT 1L AS person_id, array('en') AS languages")
+    pairs = spark.createDataFrame([(1, "skills", "g", n) for n in "bab"], "person_id long, section string, grp string, name string")
+    made = nested.assemble_resumes(people.selectExpr("person_id", "named_struct('name', 'A', 'email', '', 'phone', '', "
+        "'location', '', 'linkedin', '', 'github', '', 'website', '', 'summary', '') AS personal_info", "languages"), [], pairs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "lambdafunction(if" not in plan
+    assert [(g.category, g.skills) for g in made.first().resume.skills] == [("g", ["a", "b"])]
