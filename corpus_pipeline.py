@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import decontaminate, jaccard, langid, pieces, suffixes
+from dossier.llm import copies, decontaminate, langid, pieces, suffixes
 from dossier.llm.common import small_batches
 from dossier.session import shared_dir
 
@@ -22,8 +22,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (Jaccard of five-word shingles)."""
-    return jaccard.deduplicate(docs)
+    """The document with the smallest id of each group of near copies, by fingerprints and by shingle sets."""
+    return copies.deduplicate(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

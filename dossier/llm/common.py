@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,22 @@ def token_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+_scratch: ContextVar[tuple[list[Stored], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What operators store inside goes at the end. A result has to be written before, to a place made outside."""
+    made: list[Stored] = []
+    token = _scratch.set((*_scratch.get(), made))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for store in made:
+            store.clear()
+
+
 class Stored:
     """Tables written to the shared folder by one job, so that they can be removed with it."""
 
@@ -58,6 +77,8 @@ class Stored:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        for made in _scratch.get():
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         """The same rows read back from Parquet; cuts the lineage and survives lost executors."""
@@ -70,10 +91,16 @@ class Stored:
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._remove(table.stored_at)
+
+    def clear(self) -> None:
+        """Remove all tables of this place."""
+        self._remove(self.base)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def column_named(df: DataFrame, *names: str) -> DataFrame:
