@@ -34,6 +34,12 @@ WINDOW = LENGTH - SEED + 1  # strings of SEED bytes in a window; anchors are les
 
 # Texts are hashed in parts of this many bytes; bounds memory, not results.
 PART = 1 << 20
+# Bytes of short texts that are hashed together, and pairs a task gathers before it deals them;
+# they bound memory, not results.
+TOGETHER = 1 << 15
+GATHERED = 1 << 20
+# Buckets of anchor hashes per shuffle partition.
+BUCKETS = 8
 # Bytes that the windows of one anchor cover.
 AROUND = LENGTH + WINDOW - 1
 # Most different surroundings of one anchor hash that a task holds; bounds memory, not results.
@@ -67,8 +73,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _string_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` values from each position on."""
     up, down = _powers()
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((values + np.uint64(1)) * up[: len(values)])))
-    return _mix((sums[size:] - sums[:-size]) * down[: len(values) - size + 1])
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    terms = values + np.uint64(1)
+    terms *= up[: len(values)]
+    np.cumsum(terms, out=sums[1:])
+    h = sums[size:] - sums[:-size]
+    h *= down[: len(h)]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _least_places(h: np.ndarray) -> np.ndarray:
+    """For each window the place of its least hash, the first of equals."""
+    least = h & np.uint64(0xFFFFFFFFFF000000)
+    least |= np.arange(len(h), dtype=np.uint64)
+    span = 1
+    while 2 * span <= WINDOW:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < WINDOW:
+        least = np.minimum(least[: len(least) - (WINDOW - span)], least[WINDOW - span :])
+    least &= np.uint64(0xFFFFFF)
+    return least.view(np.int64)
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,14 +108,7 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes, places, firsts = [], [], []
     for at in range(0, len(raw) - LENGTH + 1, PART):
         h = _string_hashes(raw[at : at + PART + LENGTH - 1].astype(np.uint64), SEED)
-        least = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
-        span = 1
-        while 2 * span <= WINDOW:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < WINDOW:
-            least = np.minimum(least[: len(least) - (WINDOW - span)], least[WINDOW - span :])
-        place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+        place = _least_places(h)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         hashes.append(h[place[first]])
         places.append(place[first] + at)
@@ -99,6 +120,55 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[keep], p[keep], f[keep]
 
 
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`anchors` finds in each text, one after the other, and how many each has.
+
+    Short texts are hashed as one string; windows over two of them are left out.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    found, counts = [(none.view(np.uint64), none, none)], [none]
+    for block in _together(texts):
+        if len(block) == 1:
+            found.append(anchors(np.frombuffer(block[0], dtype=np.uint8)))
+            counts.append(np.array([len(found[-1][0])]))
+            continue
+        size = np.fromiter(map(len, block), dtype=np.int64, count=len(block))
+        end = np.cumsum(size)
+        if end[-1] < LENGTH:
+            counts.append(np.zeros(len(block), dtype=np.int64))
+            continue
+        h = _string_hashes(np.frombuffer(b"".join(block), dtype=np.uint8).astype(np.uint64), SEED)
+        place = _least_places(h)
+        first = np.flatnonzero((np.repeat(end, size) - np.arange(end[-1]) >= LENGTH)[: len(place)])
+        place = place[first]
+        new = np.append(True, place[1:] != place[:-1])[: len(place)]
+        place, first = place[new], first[new]
+        owner = np.searchsorted(end, first, side="right")
+        begin = (end - size)[owner]
+        found.append((h[place], place - begin, first - begin))
+        counts.append(np.bincount(owner, minlength=len(block)))
+    h, p, f = map(np.concatenate, zip(*found, strict=True))
+    return h, p, f, np.concatenate(counts)
+
+
+def _together(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, in blocks of up to TOGETHER bytes; a longer text is a block of its own."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text) > TOGETHER:
+            yield texts[start:k]
+            start, size = k, 0
+        size += len(text)
+    if texts:
+        yield texts[start:]
+
+
+def _blobs(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The numbers that stand one after the other as bytes, ``count`` of them in each."""
+    ends = pa.array(np.append(0, np.cumsum(count)) * values.itemsize, pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, ends.buffers()[1], pa.py_buffer(values.tobytes())])
+
+
 def _bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -123,17 +193,16 @@ _PARSED = "row long, doc long, n long, digest binary, hashes binary, places bina
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _PARSED.split(", ")]
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for text in batch.column(2):
-            raw = _bytes_of(text.as_py())
-            h, p, f = anchors(np.frombuffer(raw, dtype=np.uint8))
-            # Places are kept as distances, which are less than LENGTH.
-            far = np.diff(p, prepend=0).astype("<u1")
-            values = (len(raw), hashlib.blake2b(raw, digest_size=16).digest(), h.astype("<u8").tobytes(), far.tobytes(), (p - f).astype("<u1").tobytes())
-            for c, v in zip(cols, values, strict=True):
-                c.append(v)
-        types = [pa.int64(), *[pa.binary()] * 4]
-        yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+        texts = [_bytes_of(t) for t in batch.column(2).to_pylist()]
+        h, p, f, count = anchors_of(texts)
+        # Places are kept as distances, which are less than LENGTH.
+        far = np.diff(p, prepend=0)
+        begin = (np.cumsum(count) - count)[count > 0]
+        far[begin] = p[begin]
+        digest = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+        made = [pa.array(list(map(len, texts)), pa.int64()), pa.array(digest, pa.binary()), _blobs(h.astype("<u8"), count)]
+        made += [_blobs(far.astype("<u1"), count), _blobs((p - f).astype("<u1"), count)]
+        yield pa.record_batch([batch.column(0), batch.column(1), *made], names)
 
 
 class Parsed:
@@ -146,34 +215,64 @@ class Parsed:
         self.last = np.append(self.first[1:] - 1, n - LENGTH) if len(self.place) else self.first
 
 
-def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each anchor hash once per text, and a second time if it occurs there again."""
     for batch in batches:
-        found = []
-        for raw in batch.column(1):
-            h, n = np.unique(np.frombuffer(raw.as_buffer(), dtype="<u8"), return_counts=True)
-            found.append(np.repeat(h, np.minimum(n, 2)))
-        rows = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-        flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
-        yield pa.record_batch([pa.array(flat), pa.array(rows)], ["h", "row"])
+        for row, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield _once_or_twice(np.frombuffer(raw.as_buffer(), dtype="<u8"), row)
+
+
+def _once_or_twice(hashes: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    h = np.sort(hashes).view(np.int64)
+    h = h[np.append([True, True], h[2:] != h[:-2])[: len(h)]]
+    return h, np.full(len(h), row)
+
+
+_DEALT = "bucket int, h binary, row binary"
+
+
+def _dealt(found: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of hash and row, those of one bucket of hashes together as bytes."""
+    held: list[tuple] = []
+    size = 0
+    for pair in itertools.chain(found, [None]):
+        if pair is not None:
+            held.append(pair)
+            size += len(pair[0])
+        if size and (pair is None or size >= GATHERED):
+            h, row = map(np.concatenate, zip(*held, strict=True))
+            held, size = [], 0
+            bucket = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket)
+            bucket = bucket[by]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            count = np.diff(np.append(starts, len(bucket)))
+            yield pa.record_batch([pa.array(bucket[starts]), _blobs(h[by], count), _blobs(row[by], count)], ["bucket", "h", "row"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``h, row`` sorted by h those whose h comes more than once."""
-    held, given = None, False  # the last row seen, and whether it was passed on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, row = (c.to_numpy() for c in batch.columns)
-        if held is not None:
-            h, row = np.append(held[0], h), np.append(held[1], row)
-        same = np.append(False, h[1:] == h[:-1])
-        twice = same | np.append(same[1:], False)
-        twice[0] |= given
-        out = twice.copy()
-        out[0] &= not given
-        held, given = (h[-1:], row[-1:]), bool(twice[-1])
-        yield pa.record_batch([pa.array(h[out]), pa.array(row[out])], ["h", "row"])
+    """Of pairs sorted by bucket those whose h comes more than once, each pair once."""
+    rows = (x for batch in batches for x in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    for _, group in itertools.groupby(rows, lambda x: x[0]):
+        _, *blobs = zip(*group, strict=True)
+        h, row = (np.frombuffer(b"".join(x), dtype=np.int64) for x in blobs)
+        by = np.argsort(h)
+        h, row = h[by], row[by]
+        same = h[1:] == h[:-1]
+        twice = np.append(same, False) | np.append(False, same)
+        h, row = h[twice], row[twice]
+        by = np.lexsort((h, row))
+        h, row = h[by], row[by]
+        new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
+        yield pa.record_batch([pa.array(h[new]), pa.array(row[new])], ["h", "row"])
+
+
+def _recurring(rows: DataFrame, pairs: Callable, name: str) -> DataFrame:
+    """For each row its hashes, among the ``pairs`` found in ``rows``, that come more than once over all."""
+    buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.mapInArrow(lambda it: _dealt(pairs(it), buckets), _DEALT)
+    again = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "h long, row long")
+    return again.groupBy("row").agg(F.collect_list("h").alias(name))
 
 
 _LIVE = (
@@ -494,16 +593,12 @@ def _asked(row: tuple) -> tuple[Parsed, np.ndarray, np.ndarray]:
     return Parsed(n, places, firsts), rep[asked], np.frombuffer(hashes, dtype="<u8")[asked]
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the asked anchors, once per text and a second time if one occurs again."""
     for batch in batches:
-        found, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
         blobs = [batch.column(i).to_pylist() for i in range(7)]
         for row, *rest in zip(*blobs, _lists(batch.column(7)), strict=True):
-            h, n = np.unique(_asked(tuple(rest))[2], return_counts=True)
-            found.append(np.repeat(h, np.minimum(n, 2)))
-            rows.append(np.full(len(found[-1]), row))
-        yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(rows))], ["h", "row"])
+            yield _once_or_twice(_asked(tuple(rest))[2], row)
 
 
 def _surroundings(raw: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -702,9 +797,7 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     whole = parsed.filter(f"n >= {LENGTH}").groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("f"))
     firsts = store.write(whole.select("f.row"))
     # Anchors that occur again, in this text or another.
-    emitted = parsed.select("row", "hashes").join(firsts, "row", "left_semi").mapInArrow(_emit_hashes, "h long, row long")
-    again = emitted.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, row long")
-    known = again.groupBy("row").agg(F.collect_set("h").alias("known"))
+    known = _recurring(parsed.select("row", "hashes").join(firsts, "row", "left_semi"), _emit_hashes, "known")
     columns = ["row", "doc", "n", "hashes", "places", "firsts", "known"]
     live = store.write(parsed.join(known, "row").select(*columns).mapInArrow(_strings, _LIVE))
     store.drop(parsed)
@@ -735,8 +828,7 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     store.drop(live)
     # Windows that begin or end outside a passage's agreed part: compared one by one, if another
     # such window has the same anchor.
-    asks = judged.select("row", *string).mapInArrow(_ask, "h long, row long").repartition("h").sortWithinPartitions("h")
-    shared = asks.mapInArrow(_repeated, "h long, row long").groupBy("row").agg(F.collect_set("h").alias("shared"))
+    shared = _recurring(judged.select("row", *string), _ask, "shared")
     edge = judged.select("row", "no", *string).join(shared, "row")
     edge = texts.select("row", "text").join(edge, "row").select("no", "text", "shared", *string)
     asked = edge.mapInArrow(_edges, _AROUND).repartition("h").sortWithinPartitions("h", "no", "place")
@@ -756,15 +848,14 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            lists = [cols[name].to_pylist() for name in ("leads", "n", "places", "firsts", "suffix")]
             out = []
-            for k in range(batch.num_rows):
-                row = {name: cols[name][k].as_py() for name in batch.schema.names if name not in ("rest", "gone", "at")}
-                for name in ("gone", "at"):
-                    row[name] = cols[name][k].values.to_numpy() if cols[name][k].is_valid else []
-                raw = _bytes_of(row["text"])
-                out.append(dict(zip(fields, finish(raw, *_spans(raw, row)), strict=True)))
-            made = pa.RecordBatch.from_pylist(out, schema=arrow)
-            yield pa.record_batch([cols["rest"], *made.columns], ["rest", *fields])
+            for text, gone, at, *row in zip(cols["text"].to_pylist(), _lists(cols["gone"]), _lists(cols["at"]), *lists, strict=True):
+                raw = _bytes_of(text)
+                out.append(finish(raw, *_spans(raw, gone, at, *row)))
+            made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), arrow.types, strict=True)] if out else []
+            if made:
+                yield pa.record_batch([cols["rest"], *made], ["rest", *fields])
 
     rest = every.schema["rest"].dataType.simpleString()
     return every.select("text", "leads", "n", "places", "firsts", "suffix", "gone", "at", "rest").mapInArrow(
@@ -772,17 +863,18 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     )
 
 
-def _spans(raw: bytes, row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _spans(
+    raw: bytes, gone: np.ndarray, at: np.ndarray, leads: bool | None, n: int, places: bytes | None, firsts: bytes, suffix: bytes
+) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of repeated bytes of a text."""
     none = np.zeros(0, dtype=np.int64)
-    if len(raw) >= LENGTH and not row["leads"]:
+    if len(raw) >= LENGTH and not leads:
         return np.array([0]), np.array([len(raw)])
-    if row["places"] is None:
+    if places is None or not (len(gone) or len(at)):
         return none, none
-    t = Parsed(row["n"], row["places"], row["firsts"])
-    gone, at = (np.asarray(row[c], dtype=np.int64) for c in ("gone", "at"))
-    suffix = np.frombuffer(row["suffix"], dtype="<i4")
-    u = np.flatnonzero((suffix >= 0) & _among(suffix, gone) & (t.last >= t.first))
+    t = Parsed(n, places, firsts)
+    covers = np.frombuffer(suffix, dtype="<i4")
+    u = np.flatnonzero((covers >= 0) & _among(covers, gone) & (t.last >= t.first))
     return _union(np.concatenate((t.first[u], at >> 6)), np.concatenate((t.last[u], (at >> 6) + (at & 63))) + LENGTH)
 
 
