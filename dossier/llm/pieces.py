@@ -27,10 +27,15 @@ from .common import column_named
 MODEL = os.environ.get("DOSSIER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 SPACE = "▁"
-# Characters of text indexed at once; bounds memory, not results.
+# Characters of text cut into units at once, and of new units indexed at once; they bound memory,
+# not results.
 INDEX_CHARS = 4_000_000
-# Encoded units a worker keeps for later batches; bounds memory, not results.
+INDEX_UNIT_CHARS = 1 << 18
+# Encoded units a worker keeps for later batches and, as other operators run in it too, for later
+# tasks, and pairs of pieces it remembers; they bound memory, not results.
 KEPT_UNITS = 500_000
+KEPT_LATER = 100_000
+KEPT_PAIRS = 300_000
 
 
 class Vocabulary:
@@ -94,6 +99,13 @@ class Vocabulary:
             self._goes[key] = known
         return known
 
+    def trim(self, units: int = KEPT_UNITS) -> None:
+        """Forget what is kept if it is more than a worker may keep."""
+        if len(self.units) > units:
+            self.units.clear()
+        if len(self._goes) > KEPT_PAIRS:
+            self._goes.clear()
+
 
 _LOADED: dict[str, Vocabulary] = {}
 
@@ -271,17 +283,33 @@ class Units(dict):
         """Index and encode the units that came up since the last call."""
         fresh = list(islice(self, self.done, None))
         if fresh:
-            ids, starts = encode_units(fresh, v)
-            self.starts = np.concatenate((self.starts, starts[1:] + len(self.ids)))
-            self.ids = np.concatenate((self.ids, ids))
+            starts, ids = [self.starts], [self.ids]
+            size = len(self.ids)
+            for block in _blocks(fresh):
+                found, begin = encode_units(block, v)
+                starts.append(begin[1:] + size)
+                ids.append(found)
+                size += len(found)
+            self.starts, self.ids = np.concatenate(starts), np.concatenate(ids)
             self.done = len(self)
 
 
+def _blocks(units: list[str]) -> Iterator[list[str]]:
+    """The units in order, in blocks of up to INDEX_UNIT_CHARS characters; a longer unit is a block of its own."""
+    start = size = 0
+    for k, unit in enumerate(units):
+        if k > start and size + len(unit) > INDEX_UNIT_CHARS:
+            yield units[start:k]
+            start, size = k, 0
+        size += len(unit)
+    if units:
+        yield units[start:]
+
+
 def encode_texts(texts: list[str], v: Vocabulary) -> list[np.ndarray]:
     """Ids of each text. An empty text has none; otherwise it begins with a space of its own."""
     units = v.units
-    if len(units) > KEPT_UNITS:
-        units.clear()
+    v.trim()
     rows = [
         np.array([units[u] for u in v.unit.findall(SPACE + t.replace(" ", SPACE))] if t else [], dtype=np.int64)
         for t in texts
@@ -346,6 +374,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     ids_in, texts, size = [], [], 0
         if texts:
             yield coded(ids_in, texts, id_type)
+        if model in _LOADED:
+            _LOADED[model].trim(KEPT_LATER)
+        pa.default_memory_pool().release_unused()
 
     schema = f"doc_id {kind}, n_pieces long, ids array<int>, ids_sha256 string, decoded string, exact boolean"
     return rows.mapInArrow(batches_of_text, schema)

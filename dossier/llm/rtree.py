@@ -48,7 +48,7 @@ SLICES = 64
 LOAD, LEAST_WIDTH = 2, 16
 
 # Words a task remembers the hashes of, and sets it remembers as met.
-KNOWN_WORDS, KNOWN_SETS = 500_000, 500_000
+KNOWN_WORDS, KNOWN_SETS = 100_000, 500_000
 
 # One odd factor per place of a word, by rule.
 PLACES = [np.uint64(xxhash.xxh64_intdigest(str(k), SEED) | 1) for k in range(64)]
