@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_named
+from .common import column_named, lean
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -134,7 +134,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -
             yield pa.record_batch([pa.array([lang] * len(v)), place, pa.array(v)], ["lang", "d", "v"])
 
     rows = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    parts = rows.mapInArrow(bundle, "lang string, d int, v double")
+    parts = rows.mapInArrow(lean(bundle), "lang string, d int, v double")
     # Sums of whole numbers: exact, so the order of the parts does not matter.
     sums = parts.groupBy("lang", "d").agg(F.sum("v").alias("v"))
     found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("p")).collect()
@@ -172,7 +172,7 @@ def known_triples(labelled: DataFrame, least: float = KNOWN) -> tuple[np.ndarray
             yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at), pa.array(times[at])], ["lang", "gram", "n"])
 
     rows = labelled.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     whole = sums.groupBy("lang").agg(F.sum("n").alias("whole"))
     found = sums.join(F.broadcast(whole), "lang").filter(F.col("n") >= F.col("whole") * F.lit(least)).collect()
     langs = {lang: k for k, lang in enumerate(sorted({r.lang for r in found}))}
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], seed: int = SE
                 pred = [langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(lean(judge), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -264,4 +264,4 @@ def in_known_language(docs: DataFrame, floor: float = FLOOR, share: float = KNOW
     if not langs:
         # Nothing is learned, so nothing can be told unknown: rejecting all would lose the table.
         raise ValueError("no document has both a text and a language to learn from")
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import column_named
+from .common import column_named, lean
 
 # Where the vocabulary lies; a setting of the cluster, never part of the repository.
 MODEL = os.environ.get("DOSSIER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -99,11 +99,11 @@ class Vocabulary:
             self._goes[key] = known
         return known
 
-    def trim(self, units: int = KEPT_UNITS) -> None:
+    def trim(self, units: int = KEPT_UNITS, pairs: int | None = None) -> None:
         """Forget what is kept if it is more than a worker may keep."""
         if len(self.units) > units:
             self.units.clear()
-        if len(self._goes) > KEPT_PAIRS:
+        if len(self._goes) > (KEPT_PAIRS if pairs is None else pairs):
             self._goes.clear()
 
 
@@ -117,6 +117,16 @@ def load(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+def forget(path: str, most: int) -> None:
+    """Drop the units and pairs that this worker keeps if they are more than ``most``.
+
+    Steps are sent to workers with copies of the globals they name, so that only a function of
+    this module sees what ``load`` has read there.
+    """
+    if path in _LOADED:
+        _LOADED[path].trim(most, most)
+
+
 def _packed(points: np.ndarray, width: int, pack: int) -> list[np.ndarray]:
     """Keys of the ``width`` characters from each position on, ``pack`` to a number."""
     padded = np.concatenate((points.astype(np.uint64), np.zeros(width + pack, dtype=np.uint64)))
@@ -374,12 +384,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     ids_in, texts, size = [], [], 0
         if texts:
             yield coded(ids_in, texts, id_type)
-        if model in _LOADED:
-            _LOADED[model].trim(KEPT_LATER)
-        pa.default_memory_pool().release_unused()
+        forget(model, KEPT_LATER)
 
     schema = f"doc_id {kind}, n_pieces long, ids array<int>, ids_sha256 string, decoded string, exact boolean"
-    return rows.mapInArrow(batches_of_text, schema)
+    return rows.mapInArrow(lean(batches_of_text), schema)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, token_list
+from .common import Stored, lean, token_list
 from .components import components
 from .simhash import _with_end
 
@@ -132,7 +132,7 @@ def _in_slices(parts: DataFrame, kind: str, join) -> list:
 
 def group_loads(rows: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Members of all sets per group: ``LOADS`` numbers, whatever the size of the table."""
-    parts = rows.select("text").mapInArrow(lambda it: _loads(it, size), "slice int, part array<long>")
+    parts = rows.select("text").mapInArrow(lean(lambda it: _loads(it, size)), "slice int, part array<long>")
     found = _in_slices(parts, "array<long>", lambda x: np.sum(np.array(x, dtype=np.int64), axis=0).tolist())
     out = np.zeros(LOADS, dtype=np.int64)
     if found:
@@ -153,7 +153,7 @@ def _marked(keys: DataFrame) -> np.ndarray:
     def either(parts: list[bytes]) -> bytes:
         return np.bitwise_or.reduce([np.frombuffer(p, dtype=np.uint8) for p in parts]).tobytes()
 
-    found = _in_slices(keys.mapInArrow(made, "slice int, part binary"), "binary", either)
+    found = _in_slices(keys.mapInArrow(lean(made), "slice int, part binary"), "binary", either)
     bits = np.frombuffer(b"".join(map(bytes, found)), dtype=np.uint8)
     return np.unpackbits(bits).astype(bool) if len(bits) else np.zeros(SLOTS, dtype=bool)
 
@@ -397,7 +397,7 @@ def _verified(store: Stored, rows: DataFrame, keys: DataFrame, pairs: DataFrame,
                     sigs.append(h)
             yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "sigs"])
 
-    made = rows.select("key", "text").mapInArrow(again, "node long, sigs array<long>")
+    made = rows.select("key", "text").mapInArrow(lean(again), "node long, sigs array<long>")
     whole = store.write(made.dropDuplicates(["node"]))
     both = pairs
     for end, name in (("a", "x"), ("b", "y")):
@@ -412,7 +412,7 @@ def _verified(store: Stored, rows: DataFrame, keys: DataFrame, pairs: DataFrame,
                 alike[k] = common >= needed(len(x), len(y), percent)
             yield batch.select(["a", "b"]).filter(pa.array(alike))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(compared), "a long, b long")
 
 
 def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -434,23 +434,23 @@ def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     rows = rows.select("row", "text", F.xxhash64("text").alias("key"))
     told = spark.sparkContext.broadcast(group_loads(rows, size))
     kind = rows.schema["row"].dataType.simpleString()
-    every = store.write(rows.mapInArrow(lambda it: _points(it, told.value, percent, size), f"row {kind}, {_POINT}"))
+    every = store.write(rows.mapInArrow(lean(lambda it: _points(it, told.value, percent, size)), f"row {kind}, {_POINT}"))
     points = every.filter("width IS NOT NULL")
     keys = points.select("node", "key")
     points = points.select("node", "n", "width", "low", "counts", "prefix")
     packed = points.repartitionByRange(n, "width", "low", "node").sortWithinPartitions("width", "low", "node")
-    pages = store.write(packed.mapInArrow(_pages, _PAGE))
+    pages = store.write(packed.mapInArrow(lean(_pages), _PAGE))
     body = pages.drop("coords")
 
     coords = pages.select("page", F.explode("coords").alias("c")).select("c.sig", "page", "c.low", "c.high", "c.rest")
     coords = coords.repartition(n, "sig").sortWithinPartitions("sig", "page")
     runs = "sig long, page long, low int, high int, rest int, hub long, star boolean"
-    shared = store.write(coords.mapInArrow(lambda it: _runs(it, percent), runs))
+    shared = store.write(coords.mapInArrow(lean(lambda it: _runs(it, percent)), runs))
 
     # A star: every page with itself and with the first page that has one of its hashes.
     own = body.select([F.col(c).alias(c + s) for s in "12" for c in body.columns])
     star = _sides(body, shared.filter("star").select(F.col("hub").alias("page1"), F.col("page").alias("page2")).distinct())
-    first = own.unionByName(star).mapInArrow(lambda it: _first_links(it, percent), "a long, b long")
+    first = own.unionByName(star).mapInArrow(lean(lambda it: _first_links(it, percent)), "a long, b long")
     links = store.write(_verified(store, rows, keys, first, percent, size))
     found = components(links)
 
@@ -464,7 +464,7 @@ def near_copies(rows: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     comps = store.write(comps)
     body = body.join(comps.select("page", "comps"), "page")
     pairs = store.write(_open_pairs(store, shared, comps.select("page", "only"), percent))
-    other = _sides(body, pairs).mapInArrow(lambda it: _other_links(it, percent), "a long, b long")
+    other = _sides(body, pairs).mapInArrow(lean(lambda it: _other_links(it, percent)), "a long, b long")
     more = _verified(store, rows, keys, other, percent, size)
     found = components(links.unionByName(more))
     return every.select("row", "n", "node").join(found, "node", "left").select(

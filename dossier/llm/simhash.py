@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, column_named, numbered, one_per_component, token_list
+from .common import Stored, column_named, lean, numbered, one_per_component, token_list
 from .components import components
 
 SHINGLE = 3
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` for every document; the fingerprint as a signed long."""
     rows = column_named(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(lean(_fingerprints), f"doc_id {kind}, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ def links(distinct: DataFrame, limit: int = MAX_DIFF) -> DataFrame:
     keyed = distinct.selectExpr("id", "fp", f"explode(array({', '.join(_keys())})) AS key")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = keyed.select("key", "fp", "id").repartition(n, "key").sortWithinPartitions("key", "id")
-    return sorted_rows.mapInArrow(lambda it: _link_groups(it, limit), "a long, b long").distinct()
+    return sorted_rows.mapInArrow(lean(lambda it: _link_groups(it, limit)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
