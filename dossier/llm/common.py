@@ -26,13 +26,14 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 
-# Rows per Arrow batch. Texts are long, so batches are kept small; results do not depend on it.
-BATCH_ROWS = "1000"
+# Rows and bytes per Arrow batch. Texts are long, so batches are kept small; results do not depend on it.
+BATCH_ROWS, BATCH_BYTES = "1000", str(2 << 20)
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """Keep the batches that Python workers hold small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from dossier.llm import pieces
-from dossier.llm.common import lean
+from dossier.llm.common import lean, small_batches
 
 
 def test_new_units_are_indexed_in_blocks(monkeypatch):
@@ -60,3 +60,13 @@ def test_a_lean_step_gives_free_memory_back():
     before = resident()
     assert list(lean(step)(iter([1, 2]))) == [1, 2]
     assert resident() < before + 100
+
+
+def test_long_texts_come_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    long = small_batches(spark).range(0, 600, numPartitions=1).selectExpr("repeat('x', 50000) AS text")
+    found = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 600 and max(r.size for r in found) < 3e6
