@@ -38,8 +38,9 @@ PART = 1 << 20
 # they bound memory, not results.
 TOGETHER = 1 << 15
 GATHERED = 1 << 20
-# Buckets of anchor hashes per shuffle partition.
+# Buckets of anchor hashes per shuffle partition, at most, and pairs that a dealt row holds on average.
 BUCKETS = 8
+FILLED = 64
 # Bytes that the windows of one anchor cover.
 AROUND = LENGTH + WINDOW - 1
 # Most different surroundings of one anchor hash that a task holds; bounds memory, not results.
@@ -267,9 +268,20 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(h[new]), pa.array(row[new])], ["h", "row"])
 
 
-def _recurring(rows: DataFrame, pairs: Callable, name: str) -> DataFrame:
+def _buckets(source: DataFrame, pairs: int) -> int:
+    """How many buckets the pairs found in a stored table go to.
+
+    A task sends a row to each bucket, so rows would grow with the product of tasks and
+    partitions, that is, with the square of the input where both follow it. There are only so many
+    buckets that a row still holds some pairs; rows then grow as the pairs do.
+    """
+    partitions = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(partitions, source.rdd.getNumPartitions())
+    return max(1, min(BUCKETS * partitions, GATHERED // FILLED, pairs // (FILLED * tasks)))
+
+
+def _recurring(rows: DataFrame, pairs: Callable, name: str, buckets: int) -> DataFrame:
     """For each row its hashes, among the ``pairs`` found in ``rows``, that come more than once over all."""
-    buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.mapInArrow(lambda it: _dealt(pairs(it), buckets), _DEALT)
     again = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "h long, row long")
     return again.groupBy("row").agg(F.collect_list("h").alias(name))
@@ -794,10 +806,11 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     texts = _numbered(docs)
     parsed = store.write(texts.select("row", "doc", "text").mapInArrow(_parse, _PARSED))
     # Of copies of a whole text only the first takes part from here on.
-    whole = parsed.filter(f"n >= {LENGTH}").groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("f"))
-    firsts = store.write(whole.select("f.row"))
+    whole = parsed.withColumn("anchors", F.octet_length("places")).filter(f"n >= {LENGTH}").groupBy("digest").agg(F.min(F.struct("doc", "row", "anchors")).alias("f"))
+    firsts = store.write(whole.select("f.row", "f.anchors"))
     # Anchors that occur again, in this text or another.
-    known = _recurring(parsed.select("row", "hashes").join(firsts, "row", "left_semi"), _emit_hashes, "known")
+    buckets = _buckets(parsed, firsts.agg(F.sum("anchors")).first()[0] or 0)
+    known = _recurring(parsed.select("row", "hashes").join(firsts, "row", "left_semi"), _emit_hashes, "known", buckets)
     columns = ["row", "doc", "n", "hashes", "places", "firsts", "known"]
     live = store.write(parsed.join(known, "row").select(*columns).mapInArrow(_strings, _LIVE))
     store.drop(parsed)
@@ -828,7 +841,8 @@ def repeats(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     store.drop(live)
     # Windows that begin or end outside a passage's agreed part: compared one by one, if another
     # such window has the same anchor.
-    shared = _recurring(judged.select("row", *string), _ask, "shared")
+    buckets = _buckets(judged, (judged.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8)
+    shared = _recurring(judged.select("row", *string), _ask, "shared", buckets)
     edge = judged.select("row", "no", *string).join(shared, "row")
     edge = texts.select("row", "text").join(edge, "row").select("no", "text", "shared", *string)
     asked = edge.mapInArrow(_edges, _AROUND).repartition("h").sortWithinPartitions("h", "no", "place")

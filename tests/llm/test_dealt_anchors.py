@@ -32,3 +32,32 @@ def test_pairs_are_dealt_in_few_rows():
     times = collections.Counter(int(h) for x, _ in pairs for h in x)
     assert sorted(found) == sorted({(int(h), int(r)) for x, y in pairs for h, r in zip(x, y) if times[int(h)] > 1})
     assert not list(suffixes._dealt(iter(pairs[-1:]), 8))
+
+
+def test_dealt_rows_do_not_grow_with_tasks_and_partitions(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 123, 3000, dtype=np.uint8).tobytes().decode() for _ in range(64)]
+    rows = [(k, text + texts[k - 1][500:900]) for k, text in enumerate(texts)] + [(90, None), (91, ""), (92, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(16).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    sent, dealt = spark.sparkContext.accumulator(0), suffixes._dealt
+
+    def counted(found, buckets):
+        for batch in dealt(found, buckets):
+            sent.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(suffixes, "_dealt", counted)
+    was, found, counts = spark.conf.get("spark.sql.shuffle.partitions"), [], []
+    try:
+        for partitions in (2, 100):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            before = sent.value
+            found.append(sorted(suffixes.report(docs).collect()))
+            counts.append(sent.value - before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert found[0] == found[1] and sum(r.n_removed for r in found[0]) > 64 * 300
+    pairs = sum(len(suffixes.anchors(np.frombuffer(text.encode(), dtype=np.uint8))[0]) for _, text in rows if text)
+    tasks = 100  # of each of the two steps that deal pairs, at most
+    assert 0 < max(counts) <= 2 * (tasks + pairs // 64)
